@@ -22,8 +22,6 @@ POLLUTANT_LIMITS = [
     ("ozone", "O3", 70, "ppb"),
 ]
 
-NULL_DOUBLE = F.lit(None).cast("double")
-
 
 def blank_nan(column):
     """NaN means missing at the edge of the engine; inside there are only nulls."""

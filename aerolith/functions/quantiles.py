@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 ACCURACY = 10_000
 MARGIN = 4.0 / ACCURACY
+# Up to this many values a group needs no bracket; beyond it the margin spans
+# several neighbouring ranks, so both sides of an interpolation lie inside.
+SMALL = 20_000
 
 
 def quantiles(df, by, value, probs):
@@ -27,9 +30,11 @@ def quantiles(df, by, value, probs):
         F.percentile_approx("_v", low, ACCURACY).alias("_low"),
         F.percentile_approx("_v", high, ACCURACY).alias("_high"),
     )
+    small = F.col("_n") <= SMALL
     wanted = F.array(*[
-        F.struct(F.lit(float(p)).alias("prob"), F.get(F.col("_low"), F.lit(i)).alias("low"),
-                 F.get(F.col("_high"), F.lit(i)).alias("high"))
+        F.struct(F.lit(float(p)).alias("prob"),
+                 F.when(small, float("-inf")).otherwise(F.get("_low", F.lit(i))).alias("low"),
+                 F.when(small, float("inf")).otherwise(F.get("_high", F.lit(i))).alias("high"))
         for i, p in enumerate(probs)
     ])
     brackets = brackets.select(*by, "_n", wanted.alias("_wanted"))
@@ -44,7 +49,8 @@ def quantiles(df, by, value, probs):
     )
     order = Window.partitionBy(*by, "prob").orderBy(F.col("_v").asc_nulls_first())
     last = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rank = F.col("prob") * (F.col("_n") - 1)
+    # Rounded, so that a rank meant to be whole (0.15 of 100) does not miss by an ulp.
+    rank = F.round(F.col("prob") * (F.col("_n") - 1), 9)
     ranked = counted.select(
         *by, "prob", "_v", rank.alias("_rank"),
         (last - F.col("_c")).alias("_from"), last.alias("_to"),

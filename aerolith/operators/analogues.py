@@ -29,9 +29,9 @@ def nearest(vectors, query, k, id_column="vec_id", vector="embedding"):
     The query enters as a scalar, so the scan is scored where it is read and only
     k rows per task leave it.
     """
-    wanted = query.select(vector).scalar()
-    this = query.select(id_column).scalar()
-    scored = vectors.withColumn("similarity", cosine(F.col(vector), wanted)).where(F.col(id_column) != this)
+    wanted = query.select(F.struct(F.col(id_column).alias("id"), F.col(vector).alias("v"))).scalar()
+    others = vectors.withColumn("_q", wanted).where(F.col(id_column) != F.col("_q.id"))
+    scored = others.withColumn("similarity", cosine(F.col(vector), F.col("_q.v"))).drop("_q")
     return scored.orderBy(F.desc("similarity"), id_column).limit(k)
 
 

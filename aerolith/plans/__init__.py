@@ -1,0 +1,4 @@
+from aerolith.plans import audits, evaluation, features, ingest  # noqa: F401
+from aerolith.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

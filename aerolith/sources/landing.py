@@ -23,10 +23,11 @@ def pack_hourly(df, fields, key=KEY, ts=TS):
     packed = df.groupBy(key, day.alias("start")).agg(
         F.map_from_entries(F.collect_list(F.struct(F.hour(ts).alias("h"), F.struct(*fields).alias("v")))).alias("_m")
     )
-    return packed.select(
-        key, "start", F.lit(3600).cast("long").alias("step"),
-        *[F.transform(slots, lambda h, f=f: F.try_element_at("_m", h)[f]).alias(f) for f in fields],
-    )
+
+    def slots_of(field):
+        return F.transform(slots, lambda hour: F.try_element_at("_m", hour)[field]).alias(field)
+
+    return packed.select(key, "start", F.lit(3600).cast("long").alias("step"), *map(slots_of, fields))
 
 
 def join_sources(weather, air, key=KEY, ts=TS):

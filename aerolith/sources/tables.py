@@ -38,10 +38,10 @@ def weather(spark, sf_dir):
         F.avg("k").alias("temperature_2m"),
         F.max("k").alias("relative_humidity_2m"),
         F.min("k").alias("dew_point_2m"),
-        F.avg(F.col("k") + F.col("value") / 10).alias("apparent_temperature"),
+        F.avg(F.col("k") + F.col("value") / 7).alias("apparent_temperature"),
         floor_at(80).alias("precipitation"),
         floor_at(90).alias("rain"),
-        (F.avg("user_id") / 10 + 1000).alias("surface_pressure"),
+        (F.avg("user_id") / 7 + 1000).alias("surface_pressure"),
         F.count("*").cast("double").alias("cloud_cover"),
         F.stddev_samp("value").alias("wind_speed_10m"),
         F.max("user_id").cast("double").alias("wind_direction_10m"),
@@ -53,9 +53,9 @@ def air_quality(spark, sf_dir):
     rows = readings(spark, sf_dir).withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 MINUTES"))
     return rows.groupBy("station", hourly(rows)).agg(
         F.min("value").alias("pm2_5"),
-        F.avg("value").alias("pm10"),
-        (F.avg(F.col("value") * F.col("value")) / 100).alias("ozone"),
-        F.avg(F.abs(F.col("value") - 50)).alias("nitrogen_dioxide"),
+        (F.avg("value") / 0.7).alias("pm10"),
+        (F.avg(F.col("value") * F.col("value")) / 97).alias("ozone"),
+        (F.avg(F.abs(F.col("value") - 50)) / 0.7).alias("nitrogen_dioxide"),
         (F.sum("value") / 10).alias("sulphur_dioxide"),
         F.sum("k").alias("carbon_monoxide"),
         F.min("user_id").cast("double").alias("dust"),
@@ -84,7 +84,7 @@ def daily(spark, sf_dir):
     return orders.groupBy(
         F.col("o_orderpriority").alias("station"),
         F.date_trunc("day", F.col("o_orderdate").cast("timestamp")).alias("ts"),
-    ).agg((F.avg("o_totalprice") / 2000).alias("us_aqi"))
+    ).agg((F.avg("o_totalprice") / 2100).alias("us_aqi"))
 
 
 def vectors(spark, sf_dir):
