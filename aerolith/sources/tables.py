@@ -45,7 +45,7 @@ def weather(spark, sf_dir):
         F.count("*").cast("double").alias("cloud_cover"),
         F.stddev_samp("value").alias("wind_speed_10m"),
         F.max("user_id").cast("double").alias("wind_direction_10m"),
-        (F.max("value") - F.min("value")).alias("wind_gusts_10m"),
+        ((F.max("value") - F.min("value")) / 0.9).alias("wind_gusts_10m"),
     )
 
 
@@ -60,7 +60,7 @@ def air_quality(spark, sf_dir):
         F.sum("k").alias("carbon_monoxide"),
         F.min("user_id").cast("double").alias("dust"),
         ((F.max("k") - F.min("k")) / 100).alias("aerosol_optical_depth"),
-        F.max("value").alias("us_aqi"),
+        (F.max("value") / 0.9).alias("us_aqi"),
     )
 
 
@@ -74,7 +74,7 @@ def series(spark, sf_dir):
     """One hourly value per station: the smallest useful series."""
     rows = readings(spark, sf_dir)
     return rows.groupBy("station", hourly(rows)).agg(
-        F.max("value").alias("us_aqi"), F.sum("value").alias("rain"), F.count("*").alias("n"),
+        (F.max("value") / 0.9).alias("us_aqi"), F.sum("value").alias("rain"), F.count("*").alias("n"),
     )
 
 
