@@ -109,8 +109,9 @@ def is_daylight(ts):
 
 
 def title_name(column):
-    """Feature name as a title: underscores to blanks, words capitalised."""
-    return F.initcap(F.replace(column, F.lit("_"), F.lit(" ")))
+    """Feature name as a title: 'us_aqi_lag_2h' becomes 'Us Aqi Lag 2H'."""
+    words = F.initcap(F.replace(column, F.lit("_"), F.lit(" ")))
+    return F.regexp_replace(words, "([0-9])h$", "$1H")
 
 
 def safe_corr(x, y):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions.columns import similarity_score
 from aerolith.operators import scaling
+from aerolith.operators.features import complete
 from aerolith.operators.series import KEY, TS
 from aerolith.sources.outputs import latest_rows
 
@@ -37,7 +38,7 @@ def nearest(vectors, query, k, id_column="vec_id", vector="embedding"):
 
 def similarities(df, feature_cols, key=KEY, ts=TS):
     """Cosine between every row's scaled features and its station's newest row."""
-    rows = df.na.drop(subset=[*feature_cols, "us_aqi"])
+    rows = complete(df, [*feature_cols, "us_aqi"])
     params = scaling.wide(scaling.fit(rows, feature_cols, "standard", [key]), feature_cols, [key])
     newest = latest_rows(rows.select(key, ts, *feature_cols), key, ts).select(
         key, F.col(ts).alias("_now"), *[F.col(c).alias(f"{c}__now") for c in feature_cols])

@@ -145,9 +145,19 @@ def feature_names(df, key=KEY, ts=TS):
     return [c for c in df.columns if c not in (key, ts, "city", *HORIZONS)]
 
 
+def missing_count(columns):
+    """How many of the columns are null in a row."""
+    return sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in columns), F.lit(0))
+
+
 def complete(df, columns=None):
-    """Rows with every feature and target present (after NaN became null)."""
-    return df.na.drop(subset=columns or feature_names(df) + [h for h in HORIZONS if h in df.columns])
+    """Rows with every feature and target present (after NaN became null).
+
+    One count instead of a null test per column: dozens of separate tests become
+    constraints that the optimizer carries through every later join.
+    """
+    columns = columns or feature_names(df) + [h for h in HORIZONS if h in df.columns]
+    return df.where(missing_count(columns) == 0)
 
 
 def align(df, expected, key=KEY, ts=TS):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from aerolith import session
 from aerolith.operators import metrics, scaling, splits
-from aerolith.operators.features import HORIZONS
+from aerolith.operators.features import HORIZONS, missing_count
 from aerolith.operators.series import KEY, TS
 
 FLOOR = 30.0
@@ -55,6 +55,7 @@ class Scaler(Estimator, HasInputCols, HasOutputCol, DefaultParamsReadable, Defau
     @keyword_only
     def __init__(self, *, inputCols=None, outputCol=None, kind="standard"):
         super().__init__()
+        self._setDefault(kind="standard")
         self._set(**self._input_kwargs)
 
     def _fit(self, dataset):
@@ -82,6 +83,7 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
     @keyword_only
     def __init__(self, *, inputCol=None, outputCol=None, width=None, size=256, seed=42):
         super().__init__()
+        self._setDefault(size=256, seed=42)
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset):
@@ -155,8 +157,7 @@ def score(df, model, columns, max_missing=0, floor=FLOOR, name="prediction"):
     """Null-aware scoring: the raw prediction, the published one (floored, one
     decimal), the number of missing inputs and a status. A row with more than
     ``max_missing`` missing inputs gets no prediction."""
-    missing = sum((F.when(F.col(c).isNull(), 1).otherwise(0) for c in columns), F.lit(0))
-    raw = predict(model, df.withColumn("n_missing", missing), "_raw")
+    raw = predict(model, df.withColumn("n_missing", missing_count(columns)), "_raw")
     usable = F.col("n_missing") <= max_missing
     return raw.withColumns({
         f"raw_{name}": F.when(usable, F.col("_raw")),

@@ -204,7 +204,7 @@ def json_props(spark, sf_dir):
     exp(-0.5 * date_diff('microsecond', ts, TIMESTAMP '2024-02-01') / 1e6 / (365.25 * 24 * 3600)) AS decay,
     round_even(value, 1) AS half_even, CAST(trunc(value) AS INTEGER) AS cut, sqrt(value) AS root,
     abs(value - 50) AS distance, least(98.8, greatest(30, value)) AS clamped,
-    upper(substr(event_type, 1, 1)) || substr(event_type, 2) || ' Lag ' || CAST(hour(ts) AS VARCHAR) || 'h' AS title,
+    upper(substr(event_type, 1, 1)) || substr(event_type, 2) || ' Lag ' || CAST(hour(ts) AS VARCHAR) || 'H' AS title,
     contains(event_type, 'ick') AS has_part,
     'Wind ' || printf('%.1f', round_even(value, 1)) || ' km/h' AS wind_text,
     CASE WHEN hour(ts) % 12 = 0 THEN 12 ELSE hour(ts) % 12 END || CASE WHEN hour(ts) < 12 THEN ' AM' ELSE ' PM' END AS clock,

@@ -20,8 +20,9 @@ FEW = ["us_aqi", "pm2_5", "precipitation", "wind_gusts_10m", "us_aqi_lag_24h", "
 
 
 def _training(spark, sf_dir, columns=FEATURE_COLUMNS):
-    """Complete rows with targets and split labels, written once for all fits."""
-    built = features.build(tables.observations(spark, sf_dir), HORIZONS)
+    """Complete rows with targets and split labels; both tables are written once, as
+    numbering the rows and every fit read them again."""
+    built = session.store(features.build(tables.observations(spark, sf_dir), HORIZONS), "features")
     rows = features.complete(built).select("station", "ts", *columns, *HORIZONS)
     return session.store(splits.embargoed(rows, test_ratio=0.2, val_ratio=0.15), "training")
 

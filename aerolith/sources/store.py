@@ -1,5 +1,6 @@
 """The stored feature table: parquet by day, typed, keyed by station and hour."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,13 +75,23 @@ def latest(df, on, order):
     return df.groupBy(*on).agg(best).select(*on, *[F.col(f"_row.{c}").alias(c) for c in rest + list(order)])
 
 
+def _stored(spark, path, like):
+    """The stored rows, or none when there is no table yet."""
+    try:
+        return spark.read.schema(like.schema).option("basePath", path).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return like.limit(0)
+
+
 def _days(df):
     """Touched days; as many as the calendar has, whatever the number of rows."""
     return [row.day for row in df.select("day").distinct().collect()]
 
 
 def append(spark, df, path, mode="ignore", order=(), key=KEY, ts=TS):
-    """Add rows to the table.
+    """Add rows to the table, starting it if need be.
 
     ``ignore`` adds unseen keys and never touches stored rows. ``latest`` lets a
     new row replace a stored one, rewriting only the touched days. Either may be
@@ -95,11 +106,10 @@ def append(spark, df, path, mode="ignore", order=(), key=KEY, ts=TS):
     days = _days(incoming)
     if not days:
         return
+    stored = _stored(spark, path, incoming).where(F.col("day").isin(days))
     if mode == "ignore":
-        stored = spark.read.option("basePath", path).parquet(path).where(F.col("day").isin(days))
         _write(new_rows(incoming, stored.select(key, ts), key, ts), path, "append", key)
     elif mode == "latest":
-        stored = spark.read.option("basePath", path).parquet(path).where(F.col("day").isin(days))
         observed = (lambda d: F.when(d["is_forecast"], 0).otherwise(1)) if "is_forecast" in df.columns \
             else (lambda d: F.lit(1))
         both = (
