@@ -21,49 +21,50 @@ def quantiles(df, by, value, probs):
 
     Groups without any value do not appear.
     """
-    by = list(by)
+    by, probs = list(by), sorted(float(p) for p in probs)
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    low = [max(0.0, p - MARGIN) for p in probs]
-    high = [min(1.0, p + MARGIN) for p in probs]
     brackets = rows.groupBy(*by).agg(
         F.count("*").alias("_n"),
-        F.percentile_approx("_v", low, ACCURACY).alias("_low"),
-        F.percentile_approx("_v", high, ACCURACY).alias("_high"),
+        F.percentile_approx("_v", [max(0.0, p - MARGIN) for p in probs], ACCURACY).alias("_low"),
+        F.percentile_approx("_v", [min(1.0, p + MARGIN) for p in probs], ACCURACY).alias("_high"),
     )
     small = F.col("_n") <= SMALL
-    wanted = F.array(*[
-        F.struct(F.lit(float(p)).alias("prob"),
-                 F.when(small, float("-inf")).otherwise(F.get("_low", F.lit(i))).alias("low"),
-                 F.when(small, float("inf")).otherwise(F.get("_high", F.lit(i))).alias("high"))
-        for i, p in enumerate(probs)
-    ])
-    brackets = brackets.select(*by, "_n", wanted.alias("_wanted"))
-    # One row below the bracket only counts; the partial sums collapse them per task.
+    everything = lambda edge: F.array_repeat(F.lit(float(edge)), len(probs))
+    brackets = brackets.select(
+        *by, "_n", F.when(small, everything("-inf")).otherwise(F.col("_low")).alias("_low"),
+        F.when(small, everything("inf")).otherwise(F.col("_high")).alias("_high"))
+    # A value is ordered only for the brackets it lies in. For the brackets above it,
+    # it just counts: one number says how many brackets start at or below it.
+    places = F.sequence(F.lit(0), F.lit(len(probs) - 1))
+    inside = F.filter(places, lambda i: (F.get("_low", i) <= F.col("_v")) & (F.col("_v") <= F.get("_high", i)))
+    started = F.size(F.filter("_low", lambda edge: edge <= F.col("_v")))
+    as_value = F.transform(inside, lambda i: F.struct(i.alias("place"), F.col("_v").alias("v")))
+    as_count = F.array(F.struct(started.alias("place"), F.lit(None).cast("double").alias("v")))
     counted = (
         rows.join(brackets, by)
-        .select(*by, "_v", "_n", F.explode("_wanted").alias("_w"))
-        .where(F.col("_v") <= F.col("_w.high"))
-        .groupBy(*by, "_n", F.col("_w.prob").alias("prob"),
-                 F.when(F.col("_v") >= F.col("_w.low"), F.col("_v")).alias("_v"))
-        .agg(F.count("*").alias("_c"))
+        .select(*by, "_n", F.inline(F.concat(as_value, as_count)))
+        .groupBy(*by, "_n", "place", "v").agg(F.count("*").alias("_c"))
+    )
+    # A value below bracket `place` is below all later ones too.
+    reached = F.when(F.col("v").isNotNull(), F.array("place")).when(
+        F.col("place") < len(probs), F.sequence(F.col("place"), F.lit(len(probs) - 1)))
+    both = (
+        counted.select(*by, "_n", F.explode(reached).alias("place"), "v", "_c")
+        .groupBy(*by, "_n", "place", "v").agg(F.sum("_c").alias("_c"))
     )
-    order = Window.partitionBy(*by, "prob").orderBy(F.col("_v").asc_nulls_first())
+    order = Window.partitionBy(*by, "place").orderBy(F.col("v").asc_nulls_first())
     last = F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    prob = F.get(F.array(*[F.lit(p) for p in probs]), F.col("place"))
     # Rounded, so that a rank meant to be whole (0.15 of 100) does not miss by an ulp.
-    rank = F.round(F.col("prob") * (F.col("_n") - 1), 9)
-    ranked = counted.select(
-        *by, "prob", "_v", rank.alias("_rank"),
-        (last - F.col("_c")).alias("_from"), last.alias("_to"),
-    )
+    rank = F.round(prob * (F.col("_n") - 1), 9)
+    ranked = both.select(*by, prob.alias("prob"), "v", rank.alias("_rank"),
+                         (last - F.col("_c")).alias("_from"), last.alias("_to"))
 
     def at(position):
-        inside = (F.col("_from") <= position) & (position < F.col("_to"))
-        return F.max(F.when(inside, F.col("_v")))
+        return F.max(F.when((F.col("_from") <= position) & (position < F.col("_to")), F.col("v")))
 
     picked = ranked.groupBy(*by, "prob").agg(
-        at(F.floor("_rank")).alias("_a"), at(F.ceil("_rank")).alias("_b"),
-        F.max("_rank").alias("_rank"),
-    )
+        at(F.floor("_rank")).alias("_a"), at(F.ceil("_rank")).alias("_b"), F.max("_rank").alias("_rank"))
     missed = F.col("_a").isNull() | F.col("_b").isNull()
     between = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_rank") - F.floor("_rank"))
     return picked.select(

@@ -1,9 +1,8 @@
 """Data audits and profiles, each a few aggregations over the whole table."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from aerolith.functions.columns import BANDS, aqi_band, band_number
+from aerolith.functions.columns import BANDS, band_number
 from aerolith.functions.quantiles import quantiles_wide
 from aerolith.operators.series import HOUR, KEY, TS, with_frames
 
@@ -59,12 +58,19 @@ def profile(df, by, value, stats=("mean", "std", "median")):
     return result
 
 
-def with_spine(grouped, key, column, values, fill=None):
-    """Every station with every value of a small fixed list, empty groups included."""
-    spine = grouped.select(key).distinct().select(
-        key, F.explode(F.array(*[F.lit(v) for v in values])).alias(column))
-    full = spine.join(grouped, [key, column], "left")
-    return full.na.fill(fill) if fill else full
+def with_spine(grouped, key, column, values):
+    """Every station with every value of a small fixed list, empty groups included.
+
+    A station's groups become one small map and are read back in list order, so
+    the profile is computed once and not joined with itself.
+    """
+    stats = [c for c in grouped.columns if c not in (key, column)]
+    packed = grouped.groupBy(key).agg(F.map_from_entries(F.collect_list(
+        F.struct(F.col(column), F.struct(*stats)))).alias("_groups"))
+    places = F.explode(F.array(*[F.lit(v) for v in values])).alias(column)
+    found = F.try_element_at("_groups", F.col(column))
+    return packed.select(key, "_groups", places).withColumn("_g", found).select(
+        key, column, *[F.col(f"_g.{c}").alias(c) for c in stats])
 
 
 def diurnal(df, value="us_aqi", key=KEY, ts=TS):

@@ -59,24 +59,24 @@ def acf(df, value="us_aqi", lags=120, key=KEY, ts=TS):
     return long.select(key, "n", "lag", "acf", (F.sqrt(variance) * Z95).alias("band"))
 
 
-def _durbin_levinson(rows):
-    """Partial autocorrelations of one station from its few autocorrelations."""
-    rho = rows.sort_values("lag")["acf"].to_numpy()
-    partial, phi, error = [], np.zeros(0), 1.0
-    for k, r in enumerate(rho):
-        reflection = (r - phi @ rho[:k][::-1]) / error
-        phi = np.append(phi - reflection * phi[::-1], reflection)
-        error *= 1.0 - reflection**2
-        partial.append(reflection)
-    return pd.DataFrame({
-        KEY: rows[KEY].iloc[0], "lag": np.arange(1, len(rho) + 1), "pacf": partial,
-        "band": Z95 / np.sqrt(rows["n"].iloc[0])})
-
-
-def pacf(df, value="us_aqi", lags=48, ts=TS):
-    """Yule-Walker partial autocorrelation with the biased autocovariance.
-
-    The recursion sees ``lags`` rows per station, however long the series is.
+def pacf(df, value="us_aqi", lags=48, key=KEY, ts=TS):
+    """Yule-Walker partial autocorrelation with the biased autocovariance, by the
+    Durbin-Levinson recursion.
+
+    The recursion sees ``lags`` rows per station, however long the series is. It is
+    an inner function so that it travels to the workers whole.
     """
-    few = acf(df, value, lags, KEY, ts).select(KEY, "n", "lag", "acf")
-    return few.groupBy(KEY).applyInPandas(_durbin_levinson, f"{KEY} string, lag int, pacf double, band double")
+    def recursion(rows):
+        rho = rows.sort_values("lag")["acf"].to_numpy()
+        partial, phi, error = [], np.zeros(0), 1.0
+        for k, r in enumerate(rho):
+            reflection = (r - phi @ rho[:k][::-1]) / error
+            phi = np.append(phi - reflection * phi[::-1], reflection)
+            error *= 1.0 - reflection**2
+            partial.append(reflection)
+        return pd.DataFrame({
+            key: rows[key].iloc[0], "lag": np.arange(1, len(rho) + 1), "pacf": partial,
+            "band": Z95 / np.sqrt(rows["n"].iloc[0])})
+
+    few = acf(df, value, lags, key, ts).select(key, "n", "lag", "acf")
+    return few.groupBy(key).applyInPandas(recursion, f"{key} string, lag int, pacf double, band double")

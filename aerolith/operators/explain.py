@@ -120,24 +120,23 @@ def prune_states(importances, least=0.01, by=("feature",)):
     return found.withColumn("state", state)
 
 
-def _keep_one(rows):
-    """Drop candidates in name order, but never the last of correlated features."""
-    edges, dropped, out = rows.groupby("feature")["partner"].apply(set), set(), []
-    for feature, partners in edges.sort_index().items():
-        partners = {p for p in partners if p is not None}
-        kept = sorted(partners - dropped)
-        if kept or not partners:
-            dropped.add(feature)
-        out.append((feature, feature in dropped, ", ".join(kept)))
-    return pd.DataFrame(out, columns=["feature", "dropped", "kept_partners"])
-
-
 def prune(candidates, partners):
     """Which prunable features may go: one whose correlated partner stays, or one
-    without partners. The one group holds feature names, at most the square of
-    the number of columns, and never data rows."""
+    without partners, in name order, so that the last of correlated features stays.
+    The one group holds feature names, at most the square of the number of columns,
+    and never data rows."""
+    def keep_one(rows):
+        edges, dropped, out = rows.groupby("feature")["partner"].apply(set), set(), []
+        for feature, near in edges.sort_index().items():
+            near = {p for p in near if p is not None}
+            kept = sorted(near - dropped)
+            if kept or not near:
+                dropped.add(feature)
+            out.append((feature, feature in dropped, ", ".join(kept)))
+        return pd.DataFrame(out, columns=["feature", "dropped", "kept_partners"])
+
     pairs = candidates.join(partners.select("feature", "partner"), "feature", "left")
-    return pairs.groupBy().applyInPandas(_keep_one, "feature string, dropped boolean, kept_partners string")
+    return pairs.groupBy().applyInPandas(keep_one, "feature string, dropped boolean, kept_partners string")
 
 
 # Rule, words found in the feature name, comparison, limit.

@@ -91,7 +91,13 @@ def join(left, right, key=KEY, ts=TS, lateness=LATENESS_HOURS):
 
 def _each_batch(df, name, work, checkpoint=None):
     checkpoint = checkpoint or session.scratch(df.sparkSession, f"{name}-checkpoint")
-    query = (df.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+
+    def once_read(batch, number):
+        batch.persist()
+        work(batch, number)
+        batch.unpersist()
+
+    query = (df.writeStream.foreachBatch(once_read).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
     return query
