@@ -31,10 +31,11 @@ def matrix(df, columns, by=(KEY,)):
 
 def partners(correlations, threshold=0.85, by=(KEY,)):
     """Both directions of every strongly correlated pair."""
-    strong = correlations.where(F.abs("corr") > threshold)
-    there = strong.select(*by, F.col("column_a").alias("feature"), F.col("column_b").alias("partner"), "corr")
-    back = strong.select(*by, F.col("column_b").alias("feature"), F.col("column_a").alias("partner"), "corr")
-    return there.unionByName(back)
+    def side(feature, partner):
+        return F.struct(F.col(feature).alias("feature"), F.col(partner).alias("partner"), F.col("corr"))
+
+    both = F.array(side("column_a", "column_b"), side("column_b", "column_a"))
+    return correlations.where(F.abs("corr") > threshold).select(*by, F.inline(both))
 
 
 def acf(df, value="us_aqi", lags=120, key=KEY, ts=TS):

@@ -5,7 +5,7 @@ from typing import NamedTuple
 from pyspark.sql import functions as F
 
 from aerolith.functions.columns import calendar_cycles
-from aerolith.operators.series import KEY, TS, rolling, with_frames
+from aerolith.operators.series import INDEX, KEY, TS, rolling, with_frames
 
 # Measured columns, in the order of the feature vector.
 WEATHER = [
@@ -128,9 +128,9 @@ def build(df, horizons=None, mode="row", key=KEY, ts=TS, block=None, keep=()):
     return calendar(added, ts).select(key, ts, *FEATURE_COLUMNS, *(horizons or {}), *keep)
 
 
-def targets(df, column="us_aqi", horizons=None, mode="row", key=KEY, ts=TS, block=None):
+def targets(df, column="us_aqi", horizons=None, mode="row", key=KEY, ts=TS, block=None, keep=()):
     """The same column 24, 48 and 72 hours ahead."""
-    return add(df, [], horizons or HORIZONS, column, mode, key, ts, block)
+    return add(df, [], horizons or HORIZONS, column, mode, key, ts, block, keep)
 
 
 def ensure(df, names, mode="row", key=KEY, ts=TS, block=None):
@@ -142,7 +142,7 @@ def ensure(df, names, mode="row", key=KEY, ts=TS, block=None):
 
 def feature_names(df, key=KEY, ts=TS):
     """Every column but the key, the time, the place and the targets."""
-    return [c for c in df.columns if c not in (key, ts, "city", *HORIZONS)]
+    return [c for c in df.columns if c not in (key, ts, "city", *HORIZONS, *INDEX)]
 
 
 def missing_count(columns):
@@ -154,10 +154,11 @@ def complete(df, columns=None):
     """Rows with every feature and target present (after NaN became null).
 
     One count instead of a null test per column: dozens of separate tests become
-    constraints that the optimizer carries through every later join.
+    constraints that the optimizer carries through every later join. Row numbers
+    kept from before no longer hold and are dropped.
     """
     columns = columns or feature_names(df) + [h for h in HORIZONS if h in df.columns]
-    return df.where(missing_count(columns) == 0)
+    return df.where(missing_count(columns) == 0).drop(*INDEX)
 
 
 def align(df, expected, key=KEY, ts=TS):

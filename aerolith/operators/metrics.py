@@ -12,17 +12,25 @@ TARGETS = [
 ]
 
 
-def regression(df, truth, pred, by):
-    """RMSE, MAE and R2 per group; R2 is null where the truth does not vary."""
-    pairs = df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull())
+def _errors(truth, pred):
+    """RMSE, MAE and R2 as aggregates; R2 is null where the truth does not vary."""
     error = F.col(truth) - F.col(pred)
     spread = F.var_pop(F.col(truth))
-    return pairs.groupBy(*by).agg(
+    return [
         F.count("*").alias("n"),
         F.sqrt(F.avg(error * error)).alias("rmse"),
         F.avg(F.abs(error)).alias("mae"),
         (1 - F.try_divide(F.avg(error * error), F.when(spread > 0, spread))).alias("r2"),
-    )
+    ]
+
+
+def _pairs(df, truth, pred):
+    return df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull())
+
+
+def regression(df, truth, pred, by):
+    """Forecast errors per group over the rows with both a truth and a prediction."""
+    return _pairs(df, truth, pred).groupBy(*by).agg(*_errors(truth, pred))
 
 
 def by_horizon(df, prediction, horizons, keep=()):
@@ -97,14 +105,11 @@ def select_winner(scores, on=("horizon",), override=None):
 
 
 def variance_identity(df, truth, pred, by):
-    """R2 computed from sums beside 1 - RMSE^2 / variance; they must agree."""
-    m = regression(df, truth, pred, by)
-    spread = df.where(F.col(truth).isNotNull() & F.col(pred).isNotNull()).groupBy(*by).agg(
-        F.min(truth).alias("min_truth"), F.max(truth).alias("max_truth"), F.avg(truth).alias("mean_truth"),
-        F.var_pop(truth).alias("var_truth"),
-        F.sum((F.col(truth) - F.col(pred)) * (F.col(truth) - F.col(pred))).alias("_sse"),
-        F.count("*").alias("_n"))
-    joined = m.join(spread, list(by))
-    theory = 1 - F.try_divide(F.col("_sse"), F.col("var_truth") * F.col("_n"))
-    return joined.withColumn("r2_from_variance", theory).withColumn(
-        "agrees", F.abs(F.col("r2") - theory) < 1e-9).drop("_sse", "_n")
+    """R2 computed from means beside 1 - SSE / (variance * n); they must agree."""
+    error = F.col(truth) - F.col(pred)
+    found = _pairs(df, truth, pred).groupBy(*by).agg(
+        *_errors(truth, pred), F.min(truth).alias("min_truth"), F.max(truth).alias("max_truth"),
+        F.avg(truth).alias("mean_truth"), F.var_pop(truth).alias("var_truth"), F.sum(error * error).alias("_sse"))
+    theory = 1 - F.try_divide(F.col("_sse"), F.col("var_truth") * F.col("n"))
+    return found.withColumn("r2_from_variance", theory).withColumn(
+        "agrees", F.abs(F.col("r2") - theory) < 1e-9).drop("_sse")

@@ -16,6 +16,7 @@ HOUR = 3600
 CELL_HOURS = 24 * 90
 BLOCK_ROWS = 8192
 BLOCK_HOURS = 24 * 180
+INDEX = ("_idx", "_n")
 
 
 def row_index(df, key=KEY, ts=TS, cell_hours=CELL_HOURS):

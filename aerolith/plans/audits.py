@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from aerolith import session
 from aerolith.functions.columns import BANDS
 from aerolith.operators import audits, correlation, features, metrics
 from aerolith.operators.features import HORIZONS, lag
@@ -9,6 +10,14 @@ from aerolith.plans import sql
 from aerolith.plans.registry import query, shown
 from aerolith.sources import tables
 
+
+
+def _written(hours):
+    """The hourly table an audit reads several times, written once; the raw tables
+    are then read once."""
+    return session.store(hours, "hours")
+
+
 _AUDITED = ["wind_speed_10m", "us_aqi", "us_aqi_lag_1h", "us_aqi_lag_24h", "us_aqi_rolling_mean_72h", "pm2_5"]
 
 
@@ -103,7 +112,8 @@ def yoy_summary(spark, sf_dir):
     f"{_STATS} FROM obs GROUP BY 1, 2",
     "station has_rain count_us_aqi", "mean_us_aqi median_us_aqi std_us_aqi"))
 def rain_contrast(spark, sf_dir):
-    return audits.rain_contrast(tables.observations(spark, sf_dir))
+    return audits.rain_contrast(_written(
+        tables.observations(spark, sf_dir).select("station", "ts", "precipitation", "us_aqi")))
 
 
 _LABELS = [label for _, label, _ in BANDS] + ["Unknown"]
@@ -162,7 +172,8 @@ binned AS (SELECT t.station, t.x, t.y, greatest(1, (SELECT count(*) FROM edges A
     "SELECT station, bin, avg(x) AS mean_wind_gusts_10m, avg(y) AS mean_us_aqi, count(*) AS hours "
     "FROM binned GROUP BY 1, 2", "station bin hours", "mean_wind_gusts_10m mean_us_aqi"))
 def quantile_trend(spark, sf_dir):
-    return audits.quantile_trend(tables.observations(spark, sf_dir), "wind_gusts_10m", "us_aqi")
+    return audits.quantile_trend(_written(
+        tables.observations(spark, sf_dir).select("station", "wind_gusts_10m", "us_aqi")), "wind_gusts_10m", "us_aqi")
 
 
 def _sql_corr(x, y):
@@ -209,12 +220,12 @@ def corr_matrix(spark, sf_dir):
     "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) AS band FROM r",
     "station lag n", "acf band"))
 def acf(spark, sf_dir):
-    return correlation.acf(tables.series(spark, sf_dir))
+    return correlation.acf(_written(tables.series(spark, sf_dir).select("station", "ts", "us_aqi")))
 
 
 @query("pacf")
 def pacf(spark, sf_dir):
-    return correlation.pacf(tables.series(spark, sf_dir))
+    return correlation.pacf(_written(tables.series(spark, sf_dir).select("station", "ts", "us_aqi")))
 
 
 @query("r2_identity", shown(

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from aerolith import session
 from aerolith.operators import analogues, features, metrics, scaling, splits
 from aerolith.operators.features import HORIZONS, mean
+from aerolith.operators.series import INDEX
 from aerolith.plans import sql
 from aerolith.plans.registry import query, shown
 from aerolith.sources import tables
@@ -18,7 +19,8 @@ def _rows(spark, sf_dir):
 
 
 def _targets(spark, sf_dir):
-    return features.targets(_rows(spark, sf_dir))
+    """Targets with their row numbers, so that a split need not number again."""
+    return features.targets(_rows(spark, sf_dir), keep=INDEX)
 
 
 @query("chrono_split", f"WITH {INDEXED} SELECT station, ts, "
@@ -56,7 +58,7 @@ def three_way_split(spark, sf_dir):
        "CASE WHEN split = 'train' AND ts < TIMESTAMP '2024-01-09' THEN 'unused' ELSE split END AS split_recent FROM s")
 def ablation_split(spark, sf_dir):
     """The same test rows with all and with only the recent training rows."""
-    rows = splits.indexed(_rows(spark, sf_dir))
+    rows = session.store(splits.indexed(_rows(spark, sf_dir)), "indexed")
     whole = splits.embargoed(rows, val_ratio=0.2).withColumnRenamed("split", "split_all")
     recent = splits.embargoed(rows, val_ratio=0.2, train_since="2024-01-09").select(
         "station", "ts", F.col("split").alias("split_recent"))
@@ -83,7 +85,8 @@ _TRAIN = f"{INDEXED}, train AS (SELECT * FROM indexed WHERE idx < floor(n * (1 -
 
 
 def _train(spark, sf_dir):
-    return splits.chrono(_targets(spark, sf_dir)).where("split = 'train'").drop("split")
+    """Training rows, written once: fitting a weight and applying it read them twice."""
+    return session.store(splits.chrono(_targets(spark, sf_dir)).where("split = 'train'").drop("split"), "train")
 
 
 @query("recency_weights", shown(
@@ -126,7 +129,7 @@ def _scaled_sql(parameters):
 
 def _to_scale(spark, sf_dir):
     obs = tables.observations(spark, sf_dir).withColumn("flat", F.lit(3.0)).select("station", "ts", *_SCALED)
-    return splits.chrono(obs)
+    return session.store(splits.chrono(obs), "to-scale")
 
 
 def _scale(spark, sf_dir, kind, through=lambda params: params):
@@ -198,7 +201,7 @@ c AS (SELECT m.*, b.rmse AS base_rmse, b.mae AS base_mae, b.r2 AS base_r2,
 
 
 def _compared(spark, sf_dir):
-    scores = forecast_metrics(spark, sf_dir)
+    scores = session.store(forecast_metrics(spark, sf_dir), "scores")
     baseline = scores.where("model = 'persistence'")
     return metrics.against(scores.where("model <> 'persistence'"), baseline, ["station", "horizon"])
 

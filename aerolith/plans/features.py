@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from aerolith import session
 from aerolith.operators import audits, features
 from aerolith.operators.features import (
     AIR, CANDIDATES, CYCLES, FEATURE_COLUMNS, HORIZONS, MEASURES, REBUILT, STANDARD, WEATHER,
@@ -63,7 +64,7 @@ def feature_table(spark, sf_dir):
     f"WITH {sql.FEATURES} SELECT * FROM features", KEYS, " ".join(["us_aqi_lag_1h", *REBUILT])))
 def derive_missing_features(spark, sf_dir):
     obs = tables.observations(spark, sf_dir).select("station", "ts", "us_aqi", "pm2_5", "surface_pressure")
-    stored = features.add(obs, [lag("us_aqi", 1)])
+    stored = session.store(features.add(obs, [lag("us_aqi", 1)]), "features")
     return features.ensure(stored, ["us_aqi_lag_1h", *REBUILT]).select(
         "station", "ts", "us_aqi_lag_1h", *REBUILT)
 

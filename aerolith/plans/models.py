@@ -140,8 +140,8 @@ s AS (SELECT station AS st, {', '.join(f'regr_slope(aqi_day1, {c}) AS {c}_b, avg
         for c in _LINEAR), "station ts feature", "value"))
 def shapley_linear(spark, sf_dir):
     obs = tables.observations(spark, sf_dir).select("station", "ts", *_LINEAR)
-    params = explain.slopes(features.targets(obs, horizons={"aqi_day1": 24}), _LINEAR, "aqi_day1")
-    return explain.linear_shapley(obs, params)
+    rows = session.store(features.targets(obs, horizons={"aqi_day1": 24}), "targets")
+    return explain.linear_shapley(rows.drop("aqi_day1"), explain.slopes(rows, _LINEAR, "aqi_day1"))
 
 
 @query("fold_importance")
@@ -172,7 +172,7 @@ def prune_states(spark, sf_dir):
     """Exact importances of one-feature linear models over three folds."""
     obs = tables.observations(spark, sf_dir).withColumn("flat", F.lit(3.0)).select("station", "ts", *_PRUNED)
     known = features.targets(obs, horizons={"aqi_day1": 24}).where("aqi_day1 IS NOT NULL")
-    rows = splits.folds(known, 3)
+    rows = session.store(splits.folds(session.store(known, "known"), 3), "folds")
     params = explain.slopes(rows.where("role = 'train'"), _PRUNED, "aqi_day1", by=("station", "fold"))
     test = rows.where("role = 'test'").unpivot(["station", "ts", "fold"], _PRUNED, "feature", "x")
     effect = F.abs(F.col("coefficient") * (F.col("x") - F.col("mean")))
