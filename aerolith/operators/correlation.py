@@ -18,15 +18,17 @@ def pair(df, x, y, by=(KEY,)):
 def matrix(df, columns, by=(KEY,)):
     """Lower triangle in long form, each pair over its own complete rows.
 
-    All pairs come from one aggregation of one scan.
+    One scan: a row is laid out as its pairs, and the pairs' sums combine before
+    the shuffle. Hundreds of aggregates side by side would not compile.
     """
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[:i]]
-    wide = df.groupBy(*by).agg(*[
-        safe_corr(F.col(a), F.col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[
-        F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"_{i}").alias("corr"))
-        for i, (a, b) in enumerate(pairs)])
-    return wide.select(*by, F.inline(rows))
+    laid_out = F.posexplode(F.array(*[
+        F.struct(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs]))
+    long = df.select(*by, laid_out.alias("_i", "_p")).select(*by, "_i", F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y"))
+    found = long.groupBy(*by, "_i").agg(safe_corr(F.col("_x"), F.col("_y")).alias("corr"))
+    names = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
+    name = F.get(names, F.col("_i"))
+    return found.select(*by, name["a"].alias("column_a"), name["b"].alias("column_b"), "corr")
 
 
 def partners(correlations, threshold=0.85, by=(KEY,)):
@@ -42,20 +44,23 @@ def acf(df, value="us_aqi", lags=120, key=KEY, ts=TS):
     """Autocorrelation at lags 1 to ``lags`` rows with its 95 % band.
 
     Null values are dropped first; sums are divided by the full length. One ordered
-    pass computes all lags; the band follows from the few resulting rows.
+    pass gives each row its recent past, whose products are summed per lag; the band
+    follows from the few resulting rows.
     """
-    known = df.where(F.col(value).isNotNull()).select(key, ts, F.col(value).alias("_x"))
-    means = known.groupBy(key).agg(F.avg("_x").alias("_m"))
-    centred = known.join(means, key).select(key, ts, (F.col("_x") - F.col("_m")).alias("x"))
+    known = df.where(F.col(value).isNotNull()).select(key, ts, F.col(value).alias("_v"))
+    means = known.groupBy(key).agg(F.avg("_v").alias("_m"))
+    centred = known.join(means, key).select(key, ts, (F.col("_v") - F.col("_m")).alias("x"))
     past = with_frames(
-        centred, lambda f: {f"p{k}": f.shift("x", k) for k in range(1, lags + 1)}, before=lags, key=key, ts=ts)
-    total = F.sum(F.col("x") * F.col("x"))
-    sums = past.groupBy(key).agg(F.count("*").alias("n"), total.alias("_d"), *[
-        F.sum(F.col("x") * F.col(f"p{k}")).alias(f"_{k}") for k in range(1, lags + 1)])
-    rows = F.array(*[F.struct(F.lit(k).alias("lag"), F.try_divide(F.col(f"_{k}"), F.col("_d")).alias("acf"))
-                     for k in range(1, lags + 1)])
-    long = sums.select(key, "n", F.inline(rows))
-    earlier = Window.partitionBy(key).orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
+        centred, lambda f: {"past": F.collect_list("x").over(f.last(lags + 1))}, before=lags, key=key, ts=ts)
+    products = past.select(key, "x", F.size("past").alias("_s"), F.posexplode("past").alias("_p", "_x"))
+    sums = products.groupBy(key, (F.col("_s") - 1 - F.col("_p")).alias("lag")).agg(
+        F.sum(F.col("x") * F.col("_x")).alias("_sum"), F.count("*").alias("_c"))
+    station = Window.partitionBy(key).orderBy("lag")
+    whole = station.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    long = sums.select(
+        key, "lag", F.first("_c").over(whole).alias("n"),
+        F.try_divide(F.col("_sum"), F.first("_sum").over(whole)).alias("acf")).where("lag > 0")
+    earlier = station.rowsBetween(Window.unboundedPreceding, -1)
     variance = (1 + 2 * F.coalesce(F.sum(F.col("acf") * F.col("acf")).over(earlier), F.lit(0.0))) / F.col("n")
     return long.select(key, "n", "lag", "acf", (F.sqrt(variance) * Z95).alias("band"))
 
