@@ -209,13 +209,18 @@ def corr_matrix(spark, sf_dir):
     return correlation.matrix(tables.observations(spark, sf_dir), MATRIX)
 
 
+def _acf_sql(lags):
+    return (
+        f"{sql.SERIES}, c AS (SELECT station, us_aqi - avg(us_aqi) OVER (PARTITION BY station) AS x, "
+        "row_number() OVER (PARTITION BY station ORDER BY ts) AS i FROM series), "
+        "d AS (SELECT station, count(*) AS n, sum(x * x) AS d FROM c GROUP BY 1), "
+        f"a AS (SELECT c.station, k.k AS lag, sum(c.x * p.x) AS s FROM c JOIN range(1, {lags + 1}) AS k(k) ON true "
+        "JOIN c AS p ON p.station = c.station AND p.i = c.i - k.k GROUP BY 1, 2), "
+        "r AS (SELECT a.station, lag, n, s / d AS acf FROM a JOIN d ON d.station = a.station)")
+
+
 @query("acf", shown(
-    f"WITH {sql.SERIES}, c AS (SELECT station, us_aqi - avg(us_aqi) OVER (PARTITION BY station) AS x, "
-    "row_number() OVER (PARTITION BY station ORDER BY ts) AS i FROM series), "
-    "d AS (SELECT station, count(*) AS n, sum(x * x) AS d FROM c GROUP BY 1), "
-    "a AS (SELECT c.station, k.k AS lag, sum(c.x * p.x) AS s FROM c JOIN range(1, 121) AS k(k) ON true "
-    "JOIN c AS p ON p.station = c.station AND p.i = c.i - k.k GROUP BY 1, 2), "
-    "r AS (SELECT a.station, lag, n, s / d AS acf FROM a JOIN d ON d.station = a.station) "
+    f"WITH {_acf_sql(120)} "
     "SELECT *, 1.959963984540054 * sqrt((1 + 2 * coalesce(sum(acf * acf) OVER (PARTITION BY station ORDER BY lag "
     "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) AS band FROM r",
     "station lag n", "acf band"))
@@ -223,7 +228,17 @@ def acf(spark, sf_dir):
     return correlation.acf(_written(tables.series(spark, sf_dir).select("station", "ts", "us_aqi")))
 
 
-@query("pacf")
+# One recursion step per lag: the list `phi` holds the coefficients so far.
+@query("pacf", shown(
+    f"WITH RECURSIVE {_acf_sql(48)}, rho AS (SELECT station, n, list(acf ORDER BY lag) AS rho FROM r GROUP BY 1, 2), "
+    "steps AS (SELECT station, CAST(0 AS BIGINT) AS k, CAST([] AS DOUBLE[]) AS phi, CAST(1 AS DOUBLE) AS err, "
+    "CAST(NULL AS DOUBLE) AS pacf FROM rho UNION ALL "
+    "SELECT station, k + 1, list_concat(list_transform(range(1, k + 1), lambda i: phi[i] - refl * phi[k + 1 - i]), [refl]), "
+    "err * (1 - refl * refl), refl FROM (SELECT s.station, k, phi, err, (rho[k + 1] - coalesce(list_sum("
+    "list_transform(range(1, k + 1), lambda i: phi[i] * rho[k + 1 - i])), 0)) / err AS refl "
+    "FROM steps AS s JOIN rho ON rho.station = s.station WHERE k < 48) AS x) "
+    "SELECT s.station, s.k AS lag, s.pacf, 1.959963984540054 / sqrt(n) AS band FROM steps AS s "
+    "JOIN rho ON rho.station = s.station WHERE k > 0", "station lag", "pacf band"))
 def pacf(spark, sf_dir):
     return correlation.pacf(_written(tables.series(spark, sf_dir).select("station", "ts", "us_aqi")))
 

@@ -271,37 +271,38 @@ def cosine_topk(spark, sf_dir):
 
 _LIKE = ["us_aqi", "pm2_5", "wind_speed_10m", "relative_humidity_2m", "surface_pressure", "us_aqi_lag_24h",
          "us_aqi_rolling_mean_24h"]
-_NOT_NULL = " AND ".join(f"{c} IS NOT NULL" for c in _LIKE)
 
 
-def _z(table, c):
-    return f"(({table}.{c} - p.{c}_c) / p.{c}_s)"
+def similar_sql(columns):
+    """CTEs from the feature rows to the table `similar_days`."""
+    def z(table, c):
+        return f"(({table}.{c} - p.{c}_c) / p.{c}_s)"
 
+    def length(table):
+        total = " + ".join(f"{z(table, c)} * {z(table, c)}" for c in columns)
+        return f"CASE WHEN {total} = 0 THEN 1 ELSE sqrt({total}) END"
 
-def _length(table):
-    total = " + ".join(f"{_z(table, c)} * {_z(table, c)}" for c in _LIKE)
-    return f"CASE WHEN {total} = 0 THEN 1 ELSE sqrt({total}) END"
-
-
-_SIMILAR = f"""WITH {sql.FEATURES}, rows_known AS (SELECT * FROM features WHERE {_NOT_NULL}),
-p AS (SELECT station, max(ts) AS now_ts, {', '.join(map(_standard, _LIKE))} FROM rows_known GROUP BY 1),
+    known = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    return f"""rows_known AS (SELECT * FROM features WHERE {known}),
+p AS (SELECT station, max(ts) AS now_ts, {', '.join(map(_standard, columns))} FROM rows_known GROUP BY 1),
 now_row AS (SELECT r.* FROM rows_known AS r JOIN p ON p.station = r.station AND p.now_ts = r.ts),
-scored AS (SELECT r.*, p.now_ts, ({' + '.join(f"{_z('r', c)} * {_z('q', c)}" for c in _LIKE)})
-    / (({_length('r')}) * ({_length('q')})) AS cosine
+scored AS (SELECT r.*, p.now_ts, ({' + '.join(f"{z('r', c)} * {z('q', c)}" for c in columns)})
+    / (({length('r')}) * ({length('q')})) AS cosine
   FROM rows_known AS r JOIN p ON p.station = r.station JOIN now_row AS q ON q.station = r.station
   WHERE r.ts < p.now_ts),
 usable AS (SELECT *, ts <= now_ts - INTERVAL 7 DAY AS old, max(CASE WHEN ts <= now_ts - INTERVAL 7 DAY THEN 1 ELSE 0 END)
     OVER (PARTITION BY station) AS any_old FROM scored),
 best AS (SELECT *, row_number() OVER (PARTITION BY station, CAST(ts AS DATE) ORDER BY cosine DESC, ts) AS of_day
   FROM usable WHERE old OR any_old = 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY cosine DESC, ts) AS place FROM best WHERE of_day = 1)
-SELECT station, place, strftime(ts, '%b %d, %Y') AS date, CAST(round_even(us_aqi, 0) AS INTEGER) AS historical_aqi,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY cosine DESC, ts) AS place FROM best WHERE of_day = 1),
+similar_days AS (SELECT station, place, strftime(ts, '%b %d, %Y') AS date,
+  CAST(round_even(us_aqi, 0) AS INTEGER) AS historical_aqi,
   cosine, round_even((cosine + 1) / 2 * 100, 1) AS similarity, round_even(wind_speed_10m, 1) AS wind,
   round_even(relative_humidity_2m, 1) AS humidity, round_even(relative_humidity_2m, 1) > 70 AS humidity_high
-FROM ranked WHERE place <= 4"""
+FROM ranked WHERE place <= 4)"""
 
 
-@query("analogue_days", shown(_SIMILAR, "station place date historical_aqi humidity_high",
+@query("analogue_days", shown(f"WITH {sql.FEATURES}, {similar_sql(_LIKE)} SELECT * FROM similar_days", "station place date historical_aqi humidity_high",
                               "cosine similarity wind humidity"))
 def analogue_days(spark, sf_dir):
     built = features.add(tables.observations(spark, sf_dir), [features.lag("us_aqi", 24), mean("us_aqi", 24)])

@@ -7,6 +7,7 @@ from aerolith.functions import columns as C
 from aerolith.operators import analogues, audits, features, metrics
 from aerolith.operators.features import FEATURE_COLUMNS, HORIZONS, STORED_COLUMNS, WEATHER, AIR, mean
 from aerolith.plans import sql
+from aerolith.plans.evaluation import similar_sql
 from aerolith.plans.registry import query, shown
 from aerolith.sources import landing, outputs, store, tables
 
@@ -293,7 +294,17 @@ def forecast_csv(spark, sf_dir):
 _DAYS_FEATURES = ["us_aqi", "pm2_5", "wind_speed_10m", "relative_humidity_2m", "surface_pressure"]
 
 
-@query("forecast_payload", None)
+@query("forecast_payload", f"""WITH {sql.OBS}, features AS (SELECT * FROM obs), {_FORECAST}, {_STATE},
+  {similar_sql(_DAYS_FEATURES)},
+  pollutants AS (SELECT station, to_json(list({{'pollutant': pollutant, 'value': value, 'unit': unit,
+    'limit_value': limit_value, 'percent_of_limit': percent_of_limit, 'status': status}} ORDER BY place)) AS pollutants
+    FROM state GROUP BY 1),
+  days AS (SELECT station, to_json(list({{'date': date, 'historical_aqi': historical_aqi, 'similarity': similarity,
+    'humidity_high': humidity_high}} ORDER BY place)) AS similar_days FROM similar_days GROUP BY 1)
+  SELECT f.station, strftime(f.ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS last_updated,
+    CAST(to_json({{'today': today, 'day1': day1, 'day2': day2, 'day3': day3}}) AS VARCHAR) AS predictions,
+    CAST(pollutants AS VARCHAR) AS pollutants, CAST(similar_days AS VARCHAR) AS similar_days
+  FROM forecast AS f LEFT JOIN pollutants AS p ON p.station = f.station LEFT JOIN days AS d ON d.station = f.station""")
 def forecast_payload(spark, sf_dir):
     """Nested rows as JSON text, written as JSON and read back."""
     obs = tables.observations(spark, sf_dir)

@@ -62,7 +62,10 @@ def train_all(spark, sf_dir):
     return models.train_all(_training(spark, sf_dir), FEATURE_COLUMNS, _configs())[1]
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", shown(
+    f"WITH {sql.TRAINING} SELECT station, count(*) AS rows, 0.0::DOUBLE AS largest_difference FROM features WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in FEATURE_COLUMNS + list(HORIZONS)) + " GROUP BY station",
+    "station rows", "largest_difference"))
 def model_roundtrip(spark, sf_dir):
     """Predictions of a pipeline before saving and after loading, side by side."""
     rows = _training(spark, sf_dir)

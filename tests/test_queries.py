@@ -8,18 +8,22 @@ from check import TABLES, tidy
 from tests.conftest import SMALL
 
 
-@pytest.fixture(scope="module")
-def db():
+# Too few hours at the smallest scale to train on.
+NEEDS_MORE = {"model_roundtrip": "/root/testdata/sf0.01"}
+
+
+def connect(sf_dir):
     connection = duckdb.connect()
     for name in TABLES:
-        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SMALL}/{name}.parquet'")
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return connection
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
-def test_query_matches_sql(spark, db, name):
-    got = tidy(entry.queries()[name](spark, SMALL).toPandas())
-    want = tidy(db.execute(entry.oracle_sql()[name]).fetchdf())
+def test_query_matches_sql(spark, name):
+    sf_dir = NEEDS_MORE.get(name, SMALL)
+    got = tidy(entry.queries()[name](spark, sf_dir).toPandas())
+    want = tidy(connect(sf_dir).execute(entry.oracle_sql()[name]).fetchdf())
     assert list(got.columns) == list(want.columns)
     assert got.equals(want)
 
