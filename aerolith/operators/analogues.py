@@ -7,10 +7,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aerolith.functions.columns import similarity_score
-from aerolith.operators import scaling
 from aerolith.operators.features import complete
 from aerolith.operators.series import KEY, TS
-from aerolith.sources.outputs import latest_rows
 
 
 def dot(a, b):
@@ -39,18 +37,20 @@ def nearest(vectors, query, k, id_column="vec_id", vector="embedding"):
 def similarities(df, feature_cols, key=KEY, ts=TS):
     """Cosine between every row's scaled features and its station's newest row."""
     rows = complete(df, [*feature_cols, "us_aqi"])
-    params = scaling.wide(scaling.fit(rows, feature_cols, "standard", [key]), feature_cols, [key])
-    newest = latest_rows(rows.select(key, ts, *feature_cols), key, ts).select(
-        key, F.col(ts).alias("_now"), *[F.col(c).alias(f"{c}__now") for c in feature_cols])
-    joined = rows.join(params.join(newest, key), key)
+    nonzero = lambda x: F.when(x == 0, 1.0).otherwise(x)
+    # Scaling parameters and the newest row come from one pass over the rows.
+    params = rows.groupBy(key).agg(
+        F.max(ts).alias("_now"), F.max_by(F.struct(*feature_cols), F.col(ts)).alias("_newest"),
+        F.struct(*[F.avg(c).alias(c) for c in feature_cols]).alias("_centre"),
+        F.struct(*[nonzero(F.stddev_pop(c)).alias(c) for c in feature_cols]).alias("_scale"))
+    joined = rows.join(params, key)
 
     def scaled(column, c):
-        return (column - F.col(f"{c}__centre")) / F.col(f"{c}__scale")
+        return (column - F.col(f"_centre.{c}")) / F.col(f"_scale.{c}")
 
     here = [scaled(F.col(c), c) for c in feature_cols]
-    there = [scaled(F.col(f"{c}__now"), c) for c in feature_cols]
+    there = [scaled(F.col(f"_newest.{c}"), c) for c in feature_cols]
     length = lambda parts: F.sqrt(reduce(add, [x * x for x in parts]))
-    nonzero = lambda x: F.when(x == 0, 1.0).otherwise(x)
     product = reduce(add, [x * y for x, y in zip(here, there)])
     score = product / (nonzero(length(here)) * nonzero(length(there)))
     return joined.select(*df.columns, "_now", score.alias("similarity"))

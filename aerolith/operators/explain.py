@@ -96,11 +96,10 @@ def linear_contributions(model, df, columns):
 
 def fold_importance(df, columns, label, config, n_splits=3, samples=20):
     """Mean absolute Shapley value per fold and feature, on each fold's test part."""
-    rows = session.store(splits.folds(df, n_splits), "folds")
+    rows = session.store(splits.indexed(df), "numbered")
     tables = []
     for fold in range(1, n_splits + 1):
-        part = rows.where(F.col("fold") == fold)
-        train, test = part.where("role = 'train'"), part.where("role = 'test'")
+        train, test = splits.one_fold(rows, fold, n_splits)
         model = models.fit(train, columns, label, config)
         values = shapley(model, test, columns, background(train, columns), samples)
         tables.append(values.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance")).withColumn(

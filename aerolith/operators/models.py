@@ -252,16 +252,15 @@ def feature_search(df, base, candidates, label, config=None, least=0.005):
 
 def compare_by_fold(df, columns, label, configs, n_splits=5):
     """RMSE of each model on the same folds and the paired difference to the first."""
-    rows = session.store(splits.folds(df, n_splits), "folds")
+    rows = session.store(splits.indexed(df), "numbered")
     names, tables = list(configs), []
     for fold in range(1, n_splits + 1):
-        part = rows.where(F.col("fold") == fold)
-        train, test = part.where("role = 'train'"), part.where("role = 'test'")
+        train, test = splits.one_fold(rows, fold, n_splits)
         if any(c.weight for c in configs.values()):
             train = with_weights(train)
         for name in names:
             held = predict(fit(train, columns, label, configs[name]), test)
-            tables.append(held.select("fold", F.lit(name).alias("model"), F.col(label).alias("truth"), "pred"))
+            tables.append(held.select(F.lit(fold).alias("fold"), F.lit(name).alias("model"), F.col(label).alias("truth"), "pred"))
     long = tables[0]
     for table in tables[1:]:
         long = long.unionByName(table)

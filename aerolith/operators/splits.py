@@ -54,13 +54,23 @@ def embargoed(df, test_ratio=0.2, val_ratio=0.0, embargo_hours=EMBARGO_HOURS, tr
     return _tidy(rows.join(starts, key).withColumn("split", label))
 
 
+def fold_role(fold, n_splits):
+    """train, test or null: the part a numbered row plays in an expanding fold."""
+    size = F.floor(F.col("_n") / F.lit(n_splits + 1))
+    start = F.col("_n") - (F.lit(n_splits + 1) - fold) * size
+    return F.when(F.col("_idx") < start, "train").when(F.col("_idx") < start + size, "test")
+
+
 def folds(df, n_splits=3, key=KEY, ts=TS):
     """Expanding folds: every row once per fold it plays a part in."""
-    size = F.floor(F.col("_n") / F.lit(n_splits + 1))
-    start = F.col("_n") - (F.lit(n_splits + 1) - F.col("fold")) * size
-    role = F.when(F.col("_idx") < start, "train").when(F.col("_idx") < start + size, "test")
     each = indexed(df, key, ts).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(n_splits))))
-    return _tidy(each.withColumn("role", role).where(F.col("role").isNotNull()))
+    return _tidy(each.withColumn("role", fold_role(F.col("fold"), n_splits)).where(F.col("role").isNotNull()))
+
+
+def one_fold(rows, fold, n_splits):
+    """Training and test rows of one fold of a numbered table; nothing is copied."""
+    role = fold_role(F.lit(fold), n_splits)
+    return _tidy(rows.where(role == "train")), _tidy(rows.where(role == "test"))
 
 
 def window_consistency(df, horizons, key=KEY, ts=TS):

@@ -305,6 +305,7 @@ FROM ranked WHERE place <= 4)"""
 @query("analogue_days", shown(f"WITH {sql.FEATURES}, {similar_sql(_LIKE)} SELECT * FROM similar_days", "station place date historical_aqi humidity_high",
                               "cosine similarity wind humidity"))
 def analogue_days(spark, sf_dir):
-    built = features.add(tables.observations(spark, sf_dir), [features.lag("us_aqi", 24), mean("us_aqi", 24)])
+    obs = tables.observations(spark, sf_dir).select("station", "ts", *_LIKE[:5])
+    built = session.store(features.add(obs, [features.lag("us_aqi", 24), mean("us_aqi", 24)]), "features")
     found = analogues.top_days(built, _LIKE)
     return session.store(found, "analogues")

@@ -242,11 +242,10 @@ def scalar_functions(spark, sf_dir):
         F.date_format(F.date_add("ts", 2), "MMM d").alias("label_after_next"))
 
 
-def _forecast(spark, sf_dir):
+def _forecast(obs):
     """Newest row per station with stand-in predictions: means of the last day,
     two days and three days, floored at 30."""
-    obs = tables.observations(spark, sf_dir).select("station", "ts", "us_aqi")
-    built = features.add(obs, [mean("us_aqi", n) for n in HORIZONS.values()])
+    built = features.add(obs.select("station", "ts", "us_aqi"), [mean("us_aqi", n) for n in HORIZONS.values()])
     newest = outputs.latest_rows(built)
     floor = lambda c: F.bround(F.greatest(F.lit(30.0), F.col(c)), 1)
     return newest.select(
@@ -274,7 +273,7 @@ _LONG_SELECT = f"""SELECT station, horizon,
 
 @query("forecast_long", f"WITH {sql.OBS}, {_FORECAST}, {_LONG} {_LONG_SELECT}")
 def forecast_long(spark, sf_dir):
-    return outputs.forecast_long(_forecast(spark, sf_dir)).drop("advice")
+    return outputs.forecast_long(_forecast(tables.observations(spark, sf_dir))).drop("advice")
 
 
 @query("forecast_csv", f"WITH {sql.OBS}, {_FORECAST}, {_LONG} SELECT l.*, "
@@ -282,10 +281,11 @@ def forecast_long(spark, sf_dir):
        f"round_even(o.pm2_5, 1) AS pm2_5 FROM ({_LONG_SELECT}) AS l JOIN obs AS o ON o.station = l.station "
        "AND o.ts = (SELECT max(x.ts) FROM obs AS x WHERE x.station = o.station)")
 def forecast_csv(spark, sf_dir):
-    newest = outputs.latest_rows(tables.observations(spark, sf_dir))
+    obs = session.store(tables.observations(spark, sf_dir), "hours")
+    newest = outputs.latest_rows(obs)
     state = newest.select("station", F.bround("wind_speed_10m", 1).alias("wind"),
                           F.bround("relative_humidity_2m", 1).alias("humidity"), F.bround("pm2_5", 1).alias("pm2_5"))
-    rows = outputs.forecast_long(_forecast(spark, sf_dir)).drop("advice").join(state, "station")
+    rows = outputs.forecast_long(_forecast(obs)).drop("advice").join(state, "station")
     path = session.scratch(spark, "forecast-csv")
     outputs.write_csv(rows, path)
     return spark.read.option("header", True).schema(rows.schema).csv(path)
@@ -307,9 +307,9 @@ _DAYS_FEATURES = ["us_aqi", "pm2_5", "wind_speed_10m", "relative_humidity_2m", "
   FROM forecast AS f LEFT JOIN pollutants AS p ON p.station = f.station LEFT JOIN days AS d ON d.station = f.station""")
 def forecast_payload(spark, sf_dir):
     """Nested rows as JSON text, written as JSON and read back."""
-    obs = tables.observations(spark, sf_dir)
+    obs = session.store(tables.observations(spark, sf_dir), "hours")
     nested = outputs.payload(
-        _forecast(spark, sf_dir), outputs.against_limits(outputs.latest_pollutants(obs)),
+        _forecast(obs), outputs.against_limits(outputs.latest_pollutants(obs)),
         analogues.top_days(obs, _DAYS_FEATURES))
     path = session.scratch(spark, "payload")
     nested.write.json(path)

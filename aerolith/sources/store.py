@@ -99,10 +99,9 @@ def append(spark, df, path, mode="ignore", order=(), key=KEY, ts=TS):
     """
     incoming = _by_day(df, ts)
     on = [key, ts, "day"]
-    if order:
-        incoming = latest(incoming, on, list(order))
-    else:
-        incoming = incoming.dropDuplicates([key, ts])
+    # Without an order the largest row wins, so that a repeated task picks the same.
+    by = list(order) or [c for c in df.columns if c not in on]
+    incoming = latest(incoming, on, by) if by else incoming.distinct()
     days = _days(incoming)
     if not days:
         return
