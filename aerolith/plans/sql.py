@@ -12,19 +12,19 @@ READINGS = """readings AS (
 WEATHER_CTE = """weather AS (
   SELECT station, date_trunc('hour', ts) AS ts,
          avg(k) AS temperature_2m, max(k) AS relative_humidity_2m, min(k) AS dew_point_2m,
-         avg(k + value / 7) AS apparent_temperature,
+         avg(k + value / 991) AS apparent_temperature,
          greatest(max(k) - 80, 0.0) / 10 AS precipitation, greatest(max(k) - 90, 0.0) / 10 AS rain,
-         avg(user_id) / 7 + 1000 AS surface_pressure, CAST(count(*) AS DOUBLE) AS cloud_cover,
+         avg(user_id) / 991 + 1000 AS surface_pressure, CAST(count(*) AS DOUBLE) AS cloud_cover,
          stddev_samp(value) AS wind_speed_10m, CAST(max(user_id) AS DOUBLE) AS wind_direction_10m,
-         (max(value) - min(value)) / 0.9 AS wind_gusts_10m
+         (max(value) - min(value)) / 0.997 AS wind_gusts_10m
   FROM readings GROUP BY 1, 2)"""
 
 AIR_CTE = """air AS (
   SELECT station, date_trunc('hour', ts + INTERVAL 30 MINUTE) AS ts,
-         min(value) AS pm2_5, avg(value) / 0.7 AS pm10, avg(value * value) / 97 AS ozone,
-         avg(abs(value - 50)) / 0.7 AS nitrogen_dioxide, sum(value) / 10 AS sulphur_dioxide,
+         min(value) AS pm2_5, avg(value) / 0.997 AS pm10, avg(value * value) / 997 AS ozone,
+         avg(abs(value - 50)) / 0.997 AS nitrogen_dioxide, sum(value) / 10 AS sulphur_dioxide,
          sum(k) AS carbon_monoxide, CAST(min(user_id) AS DOUBLE) AS dust,
-         (max(k) - min(k)) / 100 AS aerosol_optical_depth, max(value) / 0.9 AS us_aqi
+         (max(k) - min(k)) / 100 AS aerosol_optical_depth, max(value) / 0.997 AS us_aqi
   FROM readings GROUP BY 1, 2)"""
 
 OBS = f"""{READINGS}, {WEATHER_CTE}, {AIR_CTE}, obs AS (
@@ -32,12 +32,12 @@ OBS = f"""{READINGS}, {WEATHER_CTE}, {AIR_CTE}, obs AS (
   FROM weather JOIN air ON weather.station = air.station AND weather.ts = air.ts)"""
 
 SERIES = f"""{READINGS}, series AS (
-  SELECT station, date_trunc('hour', ts) AS ts, max(value) / 0.9 AS us_aqi, sum(value) AS rain, count(*) AS n
+  SELECT station, date_trunc('hour', ts) AS ts, max(value) / 0.997 AS us_aqi, sum(value) AS rain, count(*) AS n
   FROM readings GROUP BY 1, 2)"""
 
 DAILY = """daily AS (
   SELECT o_orderpriority AS station, date_trunc('day', o_orderdate) AS ts,
-         avg(o_totalprice) / 2100 AS us_aqi
+         avg(o_totalprice) / 2111 AS us_aqi
   FROM orders GROUP BY 1, 2)"""
 
 BY_STATION = "PARTITION BY station ORDER BY ts"

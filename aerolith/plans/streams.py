@@ -24,7 +24,7 @@ def _events(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    return _events(spark, sf_dir).withColumn("us_aqi", F.col("value") / 0.9)
+    return _events(spark, sf_dir).withColumn("us_aqi", F.col("value") / 0.997)
 
 
 def _landed(df, name):
@@ -56,7 +56,7 @@ _CLOSED = "window_end <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"
 
 @query("stream_tumbling", shown(
     "SELECT * FROM (SELECT event_type AS station, date_trunc('hour', ts) AS window_start, "
-    "date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, avg(value / 0.9) AS mean_us_aqi, count(*) AS n FROM events "
+    "date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, avg(value / 0.997) AS mean_us_aqi, count(*) AS n FROM events "
     f"GROUP BY 1, 2, 3) AS w WHERE {_CLOSED}", "station window_start window_end n", "mean_us_aqi"))
 def stream_tumbling(spark, sf_dir):
     return streams.result(streams.tumbling(_index(spark, sf_dir), "us_aqi"), "tumbling")
@@ -64,7 +64,7 @@ def stream_tumbling(spark, sf_dir):
 
 @query("stream_sliding", shown(
     "SELECT * FROM (SELECT event_type AS station, date_trunc('hour', ts) - k.k * INTERVAL 1 HOUR AS window_start, "
-    "date_trunc('hour', ts) - k.k * INTERVAL 1 HOUR + INTERVAL 24 HOUR AS window_end, avg(value / 0.9) AS mean_us_aqi, "
+    "date_trunc('hour', ts) - k.k * INTERVAL 1 HOUR + INTERVAL 24 HOUR AS window_end, avg(value / 0.997) AS mean_us_aqi, "
     f"count(*) AS n FROM events, range(24) AS k(k) GROUP BY 1, 2, 3) AS w WHERE {_CLOSED}",
     "station window_start window_end n", "mean_us_aqi"))
 def stream_sliding(spark, sf_dir):

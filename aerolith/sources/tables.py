@@ -2,7 +2,9 @@
 
 ``events`` stand for readings: an event type is a station, the event value the
 raw index, the number in ``props`` a second sensor. The air-quality network's
-clock is half an hour ahead, so its hours are not the weather's hours.
+clock is half an hour ahead, so its hours are not the weather's hours. Unit factors
+are prime-based: means of plain cents often end exactly between two rounded values,
+where the order of a sum decides the last digit.
 """
 
 from pyspark.sql import functions as F
@@ -38,14 +40,14 @@ def weather(spark, sf_dir):
         F.avg("k").alias("temperature_2m"),
         F.max("k").alias("relative_humidity_2m"),
         F.min("k").alias("dew_point_2m"),
-        F.avg(F.col("k") + F.col("value") / 7).alias("apparent_temperature"),
+        F.avg(F.col("k") + F.col("value") / 991).alias("apparent_temperature"),
         floor_at(80).alias("precipitation"),
         floor_at(90).alias("rain"),
-        (F.avg("user_id") / 7 + 1000).alias("surface_pressure"),
+        (F.avg("user_id") / 991 + 1000).alias("surface_pressure"),
         F.count("*").cast("double").alias("cloud_cover"),
         F.stddev_samp("value").alias("wind_speed_10m"),
         F.max("user_id").cast("double").alias("wind_direction_10m"),
-        ((F.max("value") - F.min("value")) / 0.9).alias("wind_gusts_10m"),
+        ((F.max("value") - F.min("value")) / 0.997).alias("wind_gusts_10m"),
     )
 
 
@@ -53,14 +55,14 @@ def air_quality(spark, sf_dir):
     rows = readings(spark, sf_dir).withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 MINUTES"))
     return rows.groupBy("station", hourly(rows)).agg(
         F.min("value").alias("pm2_5"),
-        (F.avg("value") / 0.7).alias("pm10"),
-        (F.avg(F.col("value") * F.col("value")) / 97).alias("ozone"),
-        (F.avg(F.abs(F.col("value") - 50)) / 0.7).alias("nitrogen_dioxide"),
+        (F.avg("value") / 0.997).alias("pm10"),
+        (F.avg(F.col("value") * F.col("value")) / 997).alias("ozone"),
+        (F.avg(F.abs(F.col("value") - 50)) / 0.997).alias("nitrogen_dioxide"),
         (F.sum("value") / 10).alias("sulphur_dioxide"),
         F.sum("k").alias("carbon_monoxide"),
         F.min("user_id").cast("double").alias("dust"),
         ((F.max("k") - F.min("k")) / 100).alias("aerosol_optical_depth"),
-        (F.max("value") / 0.9).alias("us_aqi"),
+        (F.max("value") / 0.997).alias("us_aqi"),
     )
 
 
@@ -74,7 +76,7 @@ def series(spark, sf_dir):
     """One hourly value per station: the smallest useful series."""
     rows = readings(spark, sf_dir)
     return rows.groupBy("station", hourly(rows)).agg(
-        (F.max("value") / 0.9).alias("us_aqi"), F.sum("value").alias("rain"), F.count("*").alias("n"),
+        (F.max("value") / 0.997).alias("us_aqi"), F.sum("value").alias("rain"), F.count("*").alias("n"),
     )
 
 
@@ -84,7 +86,7 @@ def daily(spark, sf_dir):
     return orders.groupBy(
         F.col("o_orderpriority").alias("station"),
         F.date_trunc("day", F.col("o_orderdate").cast("timestamp")).alias("ts"),
-    ).agg((F.avg("o_totalprice") / 2100).alias("us_aqi"))
+    ).agg((F.avg("o_totalprice") / 2111).alias("us_aqi"))
 
 
 def vectors(spark, sf_dir):
