@@ -1,6 +1,5 @@
 """Session settings and the shared working folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -31,17 +30,9 @@ def prepare(spark):
 
 
 def shared_dir(spark):
-    """Folder all executors can reach, as the cluster names it.
-
-    Only a local session may fall back to a folder of this machine.
-    """
+    """Folder all executors can reach: the cluster's checkpoint folder, else its warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
     return base
