@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from aerolith.llm import exact, warc
-from aerolith.session import prepare, scratch
+from aerolith.llm import exact, mixing, simhash, toxicity, warc
+from aerolith.session import prepare, scratch, store
 
 QUERIES = {}
 ORACLES = {}
@@ -50,3 +50,40 @@ def warc_round_trip(spark, sf_dir):
     return warc.read(spark, path).select(
         F.expr("nullif(record_id, 'null')").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
         "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+@query("op5_toxicity")
+def toxicity_scores(spark, sf_dir):
+    """Per document: a score learned from the labels of rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), lexicon).select(
+        "doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), F.col("tox_score").alias("score"),
+        (F.col("tox_score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: Exponents that temper today's token shares of sources, languages and topics towards even ones.
+TEMPER = (0.7, 0.7, 0.7)
+
+
+@query("op9_mixing", mixing.oracle("documents", TEMPER) + """
+SELECT doc_id, mix_source AS source, mix_lang AS lang, mix_topic AS topic, mix_tokens AS tokens,
+       round(mix_weight, 6) AS weight, round(mix_probability, 6) AS probability, mix_kept AS kept
+FROM drawn
+""")
+def mixing_weights(spark, sf_dir):
+    """Per document: its cell, raked weight, probability and whether it is drawn."""
+    measured = store(mixing.measure(table(spark, sf_dir, "documents")).select(
+        "doc_id", "mix_id", "mix_tokens", *mixing.DIMS), "measured")
+    cells = mixing.rake(measured, dict(zip(mixing.DIMS, TEMPER)))
+    return mixing.draw(measured, cells, mixing.DIMS).select(
+        "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"),
+        F.col("mix_tokens").alias("tokens"), F.round("mix_weight", 6).alias("weight"),
+        F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
+
+
+@query("op7_simhash")
+def simhash_classes(spark, sf_dir):
+    """Per document: the fingerprint of its three-word shingles and the class of fingerprints within two bits."""
+    found = simhash.classes(table(spark, sf_dir, "documents"), shingle=3, most=2)
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
