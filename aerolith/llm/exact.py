@@ -24,14 +24,17 @@ from aerolith.session import store
 FANOUT = 8
 
 KEY = ["digest", "size", "check"]
+#: An entry of a run. Whether a batch says its columns may be null differs between batches.
+SHAPE = pa.schema([("grp", pa.int64()), ("digest", pa.binary()), ("size", pa.int64()), ("check", pa.int64()),
+                   ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("copies", pa.int64())])
 
 
 def _firsts(batches):
     """One entry per (grp, key) of a sorted stream: its first row, with the copies added up."""
-    names = ["grp", *KEY, "keep_id", "keep_row", "copies"]
+    names = SHAPE.names
     held = None
     for batch in batches:
-        table = pa.Table.from_batches([batch]).select(names)
+        table = pa.Table.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in names], schema=SHAPE)
         if table.num_rows == 0:
             continue
         if held is not None:
@@ -97,15 +100,16 @@ def groups(docs, id_col="doc_id", text_col="text", keep="smallest", normalise=No
 def deduplicate(docs, id_col="doc_id", text_col="text", keep="smallest", normalise=None):
     """The rows of docs that stay, with all their columns.
 
-    A row that stays is known by its identifier, so rows that repeat identifier and text
-    exactly count as one and the last step drops the repeats.
+    A row that stays is known by its identifier and digest. Only where rows repeat both does
+    a last step drop the repeats, which costs another exchange of the texts.
     """
     found = groups(docs, id_col, text_col, keep, normalise)
-    kept = found.where(F.col("row") == F.col("keep_row")).select(
-        F.col("id").alias("__id"), F.lower(F.hex("digest")).alias("__digest"))
+    chosen = F.col("row") == F.col("keep_row")
+    unrepeated = found.groupBy("id", "digest").count().where("count > 1").isEmpty()
+    kept = found.where(chosen).select(F.col("id").alias("__id"), F.lower(F.hex("digest")).alias("__digest"))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     if normalise is not None:
         text = normalise(text)
     marked = docs.withColumns({"__own": docs[id_col].cast("long"), "__sha": F.sha2(text, 256)})
     one = marked.join(kept, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest")), "left_semi")
-    return one.dropDuplicates(["__own", "__sha"]).select(*docs.columns)
+    return (one if unrepeated else one.dropDuplicates(["__own", "__sha"])).select(*docs.columns)
