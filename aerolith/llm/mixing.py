@@ -55,8 +55,8 @@ def _targets(spark, cells, dim, wanted):
     else:
         now = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("m"))
         shares = now.select(dim, F.when(F.col("m") > 0, F.pow("m", F.lit(float(wanted)))).otherwise(0.0).alias("goal"))
-    total = shares.agg(F.sum("goal").alias("all_goals"))
-    return store(shares.join(F.broadcast(total)).select(dim, (F.col("goal") / F.col("all_goals")).alias("goal")), "goals")
+    total = shares.agg(F.sum("goal")).first()[0]
+    return store(shares.select(dim, (F.col("goal") / F.lit(total)).alias("goal")), "goals")
 
 
 def rake(measured, targets, rounds=ROUNDS):
@@ -69,18 +69,18 @@ def rake(measured, targets, rounds=ROUNDS):
     cells = store(measured.groupBy(*dims).agg(F.sum("mix_tokens").alias("tokens")), "cells")
     goals = {dim: _targets(spark, cells, dim, wanted) for dim, wanted in targets.items()}
     fitted = cells.withColumn("ratio", F.lit(1.0))
-    total = cells.agg(F.sum("tokens").cast("double").alias("all_tokens"))
+    total = F.lit(cells.agg(F.sum("tokens").cast("double")).first()[0])
     for _ in range(rounds):
         for dim in dims:
             mass = F.col("tokens") * F.col("ratio")
-            now = fitted.groupBy(dim).agg(F.sum(mass).alias("m")).join(goals[dim], dim, "left").join(F.broadcast(total))
+            now = fitted.groupBy(dim).agg(F.sum(mass).alias("m")).join(goals[dim], dim, "left")
             factor = now.select(dim, F.when(
-                F.col("m") > 0, F.coalesce("goal", F.lit(0.0)) * F.col("all_tokens") / F.col("m")).otherwise(1.0).alias("factor"))
+                F.col("m") > 0, F.coalesce("goal", F.lit(0.0)) * total / F.col("m")).otherwise(1.0).alias("factor"))
             fitted = fitted.join(factor, dim).select(*dims, "tokens", (F.col("ratio") * F.col("factor")).alias("ratio"))
         fitted = store(fitted, "raked")
-    most = fitted.where("tokens > 0").agg(F.max("ratio").alias("most"))
-    return fitted.join(F.broadcast(most)).select(
-        *dims, "tokens", "ratio", F.least(F.lit(1.0), F.coalesce(F.col("ratio") / F.col("most"), F.lit(1.0))).alias("probability"))
+    most = F.lit(fitted.where("tokens > 0").agg(F.max("ratio")).first()[0]).cast("double")
+    return fitted.select(
+        *dims, "tokens", "ratio", F.least(F.lit(1.0), F.coalesce(F.col("ratio") / most, F.lit(1.0))).alias("probability"))
 
 
 def uniform(key):

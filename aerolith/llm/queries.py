@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from aerolith.llm import exact, mixing, simhash, toxicity, warc
+from aerolith.llm import exact, mixing, simhash, toxicity, vectors, warc
 from aerolith.session import prepare, scratch, store
 
 QUERIES = {}
@@ -87,3 +87,24 @@ def simhash_classes(spark, sf_dir):
     """Per document: the fingerprint of its three-word shingles and the class of fingerprints within two bits."""
     found = simhash.classes(table(spark, sf_dir, "documents"), shingle=3, most=2)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op3_vectors", """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.v) = len(b.v)
+    AND list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+classes AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM classes LEFT JOIN counts USING (vec_id)
+""")
+def vector_classes(spark, sf_dir):
+    """Per vector: the vectors it links with, its class, and whether it stays."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")

@@ -237,8 +237,8 @@ def learn(docs, labels, id_col="doc_id", text_col="text", rows=FIT_ROWS):
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).where(
         (F.col("good") >= LEAST_DOCS) & (F.col("bad") * clean * 2 < F.col("good") * toxic))
     lexicon = Lexicon(lexicon.weights, [r["phrase"] for r in innocent.orderBy(F.desc("good"), "phrase").limit(EXCEPTIONS).collect()])
-    seen = sample.mapInArrow(_phrases(lexicon), shape).select("toxic", "f1", "f2", "f3").orderBy("f1", "f2", "f3", "toxic").collect()
-    values = np.array([tuple(r) for r in seen], float)
+    seen = sample.mapInArrow(_phrases(lexicon), shape).select("toxic", "f1", "f2", "f3").collect()
+    values = np.array(sorted(tuple(r) for r in seen), float)
     return Lexicon(lexicon.weights, lexicon.exceptions, _curve(values[:, 1:], values[:, 0]))
 
 
