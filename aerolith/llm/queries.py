@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from aerolith.llm import exact, mixing, simhash, toxicity, vectors, warc
+from aerolith.llm import exact, mixing, passages, simhash, toxicity, vectors, warc
 from aerolith.session import prepare, scratch, store
 
 QUERIES = {}
@@ -108,3 +108,27 @@ FROM classes LEFT JOIN counts USING (vec_id)
 def vector_classes(spark, sf_dir):
     """Per vector: the vectors it links with, its class, and whether it stays."""
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op4_passages", r"""
+WITH words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+windows AS (
+  SELECT *, string_agg(word, ' ') OVER ahead AS content, count(*) OVER ahead AS size
+  FROM words WINDOW ahead AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+twice AS (SELECT content FROM windows WHERE size = 35 GROUP BY content HAVING count(*) > 1),
+starts AS (SELECT doc_id, i, word, size = 35 AND content IN (SELECT content FROM twice) AS repeats FROM windows),
+marked AS (
+  SELECT *, bool_or(repeats) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM starts),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS rest
+  FROM marked GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(rest, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+""")
+def passage_cuts(spark, sf_dir):
+    """Per document: its words, the words cut as repeated passages, and a digest of the rest."""
+    cut = passages.cut(table(spark, sf_dir, "documents"))
+    return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
