@@ -106,10 +106,13 @@ def deduplicate(docs, id_col="doc_id", text_col="text", keep="smallest", normali
     found = groups(docs, id_col, text_col, keep, normalise)
     chosen = F.col("row") == F.col("keep_row")
     unrepeated = found.groupBy("id", "digest").count().where("count > 1").isEmpty()
-    kept = found.where(chosen).select(F.col("id").alias("__id"), F.lower(F.hex("digest")).alias("__digest"))
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    if normalise is not None:
-        text = normalise(text)
-    marked = docs.withColumns({"__own": docs[id_col].cast("long"), "__sha": F.sha2(text, 256)})
-    one = marked.join(kept, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__digest")), "left_semi")
-    return (one if unrepeated else one.dropDuplicates(["__own", "__sha"])).select(*docs.columns)
+    kept = found.where(chosen).select("id", F.lower(F.hex("digest")).alias("key"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return keep_rows(docs, kept, id_col, F.sha2(text if normalise is None else normalise(text), 256), unrepeated)
+
+
+def keep_rows(docs, kept, id_col, key, unrepeated):
+    """The rows of docs whose identifier and text key are in kept (id, key), with docs' own columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col(id_col).cast("long").alias("own"), key.alias("own_key"))
+    one = rows.join(kept, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_key") == F.col("key")), "left_semi")
+    return (one if unrepeated else one.dropDuplicates(["own", "own_key"])).select("whole.*")

@@ -11,7 +11,7 @@ hash of the identifier: repeated tasks repeat them.
 
 Defined cases: a null or empty dimension value is the one value ""; a text without words
 counts no tokens and gets the weight of its cell; values without a target get weight 0; a
-marginal that holds no tokens keeps its factor; a null identifier is drawn like the text
+marginal that holds no tokens keeps its factor, so a table without any word is drawn whole; a null identifier is drawn like the text
 "null"; rows that repeat an identifier are drawn alike; an empty table gives an empty result.
 """
 
@@ -55,7 +55,7 @@ def _targets(spark, cells, dim, wanted):
     else:
         now = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("m"))
         shares = now.select(dim, F.when(F.col("m") > 0, F.pow("m", F.lit(float(wanted)))).otherwise(0.0).alias("goal"))
-    total = shares.agg(F.sum("goal")).first()[0]
+    total = shares.agg(F.sum("goal")).first()[0] or 1.0
     return store(shares.select(dim, (F.col("goal") / F.lit(total)).alias("goal")), "goals")
 
 
@@ -78,9 +78,9 @@ def rake(measured, targets, rounds=ROUNDS):
                 F.col("m") > 0, F.coalesce("goal", F.lit(0.0)) * total / F.col("m")).otherwise(1.0).alias("factor"))
             fitted = fitted.join(factor, dim).select(*dims, "tokens", (F.col("ratio") * F.col("factor")).alias("ratio"))
         fitted = store(fitted, "raked")
-    most = F.lit(fitted.where("tokens > 0").agg(F.max("ratio")).first()[0]).cast("double")
-    return fitted.select(
-        *dims, "tokens", "ratio", F.least(F.lit(1.0), F.coalesce(F.col("ratio") / most, F.lit(1.0))).alias("probability"))
+    most = fitted.where("tokens > 0").agg(F.max("ratio")).first()[0]
+    share = F.least(F.lit(1.0), F.col("ratio") / F.lit(most)) if most else F.lit(1.0)
+    return fitted.select(*dims, "tokens", "ratio", share.alias("probability"))
 
 
 def uniform(key):
@@ -100,9 +100,9 @@ DIMS = ["mix_source", "mix_lang", "mix_topic"]
 
 def sample(docs, targets, rounds=ROUNDS):
     """The drawn rows of docs with their own columns."""
-    measured = measure(docs)
+    measured = measure(docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "text", "source", "lang"))
     cells = rake(measured, dict(zip(DIMS, targets)), rounds)
-    return draw(measured, cells, DIMS).where("mix_kept").select(*docs.columns)
+    return draw(measured, cells, DIMS).where("mix_kept").select("whole.*")
 
 
 def oracle(table, targets, rounds=ROUNDS):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from aerolith.llm import exact, mixing, passages, simhash, toxicity, vectors, warc
+from aerolith.llm import exact, language, mixing, packing, passages, secretscan, simhash, toxicity, vectors, warc
 from aerolith.session import prepare, scratch, store
 
 QUERIES = {}
@@ -132,3 +132,22 @@ def passage_cuts(spark, sf_dir):
     """Per document: its words, the words cut as repeated passages, and a digest of the rest."""
     cut = passages.cut(table(spark, sf_dir, "documents"))
     return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_secrets")
+def secret_spans(spark, sf_dir):
+    """Per document: the spans of secrets, by pattern and by randomness."""
+    return secretscan.digest(secretscan.scan(table(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
+@query("op2_packing")
+def packed_pieces(spark, sf_dir):
+    """Per piece of a document: its place there, its ids' digest and its place in a sequence."""
+    return packing.pieces(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language")
+def page_languages(spark, sf_dir):
+    """Per page: the language that text, markup, address and host make likeliest."""
+    model = language.learn(table(spark, sf_dir, "documents"))
+    return language.identify(table(spark, sf_dir, "pages"), model).drop("posterior").withColumnRenamed("id", "page_id")

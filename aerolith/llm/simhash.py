@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from aerolith.llm.components import components
+from aerolith.llm.exact import keep_rows
 from aerolith.session import store
 
 SEED = 42
@@ -389,8 +390,6 @@ def deduplicate(docs, id_col="doc_id", text_col="text", shingle=SHINGLE, similar
     """The rows of docs that stay, one of each group of near copies: the smallest identifier."""
     found = near_duplicates(docs, id_col, text_col, shingle, similarity)
     unrepeated = found.groupBy("id", "hash").count().where("count > 1").isEmpty()
-    kept = found.where("row = root").select(F.col("id").alias("__id"), F.col("hash").alias("__hash"))
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    marked = docs.withColumns({"__own": docs[id_col].cast("long"), "__text": F.xxhash64(text)})
-    one = marked.join(kept, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
-    return (one if unrepeated else one.dropDuplicates(["__own", "__text"])).select(*docs.columns)
+    kept = found.where("row = root").select("id", F.col("hash").alias("key"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return keep_rows(docs, kept, id_col, F.xxhash64(text), unrepeated)

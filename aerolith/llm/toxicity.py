@@ -242,10 +242,16 @@ def learn(docs, labels, id_col="doc_id", text_col="text", rows=FIT_ROWS):
     return Lexicon(lexicon.weights, lexicon.exceptions, _curve(values[:, 1:], values[:, 0]))
 
 
-def score(texts, lexicon, text_col="text"):
-    """texts with a column tox_score; texts is scored batch by batch, nothing is shuffled."""
+def score(texts, lexicon, text_col="text", to="tox_score"):
+    """texts with the score in a column named by `to`; scored batch by batch, nothing is shuffled."""
     @F.pandas_udf("double")
     def scored(column):
         return column.map(lambda t: lexicon.score(t or ""))
 
-    return texts.withColumn("tox_score", scored(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    return texts.withColumn(to, scored(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+
+
+def reject(docs, lexicon, text_col="text", bar=0.5):
+    """The rows of docs that score below the bar, with their own columns."""
+    rows = docs.select(F.struct(*docs.columns).alias("whole"), F.col(text_col).alias("scored_text"))
+    return score(rows, lexicon, "scored_text").where(F.col("tox_score") < bar).select("whole.*")
