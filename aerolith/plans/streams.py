@@ -1,14 +1,12 @@
 """Streaming queries, run to the end of the given tables.
 
-Append mode shows a window only after the watermark passed it, so the SQL states
-the same bound.
+Windows that are still open are published too, so the SQL is that of the whole table.
 """
 
 from pyspark.sql import functions as F
 
 from aerolith import session
 from aerolith.operators import features, models
-from aerolith.operators.features import lag, mean
 from aerolith.operators.models import Config
 from aerolith.plans import sql
 from aerolith.plans.registry import query, shown
@@ -20,7 +18,7 @@ KEYS = "station ts"
 
 def _events(spark, sf_dir):
     schema = tables.table(spark, sf_dir, "events").schema
-    return tables.as_readings(streams.read(spark, sf_dir, schema, "events.parquet"))
+    return tables.as_readings(streams.read(spark, f"{sf_dir}/events.parquet", schema))
 
 
 def _index(spark, sf_dir):
@@ -47,37 +45,37 @@ def stream_ingest(spark, sf_dir):
 @query("stream_dedup", shown(
     "SELECT event_type AS station, ts, event_id, value FROM events", KEYS + " event_id", "value"))
 def stream_dedup(spark, sf_dir):
-    arrivals = _events(spark, sf_dir).unionByName(_events(spark, sf_dir))
-    return streams.result(streams.dedup(arrivals.select("station", "ts", "event_id", "value")), "dedup")
-
-
-_CLOSED = "window_end <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"
+    """Every event arrives twice and is stored once, late ones too."""
+    arrivals = _events(spark, sf_dir).unionByName(_events(spark, sf_dir)).select("station", "ts", "event_id", "value")
+    path = session.scratch(spark, "deduplicated")
+    streams.dedup_into(arrivals, path, session.scratch(spark, "late"))
+    return spark.read.parquet(path).drop("day")
 
 
 @query("stream_tumbling", shown(
-    "SELECT * FROM (SELECT event_type AS station, date_trunc('hour', ts) AS window_start, "
+    "SELECT event_type AS station, date_trunc('hour', ts) AS window_start, "
     "date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, avg(value / 0.997) AS mean_us_aqi, count(*) AS n FROM events "
-    f"GROUP BY 1, 2, 3) AS w WHERE {_CLOSED}", "station window_start window_end n", "mean_us_aqi"))
+    "GROUP BY 1, 2, 3", "station window_start window_end n", "mean_us_aqi"))
 def stream_tumbling(spark, sf_dir):
-    return streams.result(streams.tumbling(_index(spark, sf_dir), "us_aqi"), "tumbling")
+    return streams.published(streams.tumbling(_index(spark, sf_dir), "us_aqi"), "tumbling", ["station", "window_start", "window_end"])
 
 
 @query("stream_sliding", shown(
-    "SELECT * FROM (SELECT event_type AS station, date_trunc('hour', ts) - k.k * INTERVAL 1 HOUR AS window_start, "
+    "SELECT event_type AS station, date_trunc('hour', ts) - k.k * INTERVAL 1 HOUR AS window_start, "
     "date_trunc('hour', ts) - k.k * INTERVAL 1 HOUR + INTERVAL 24 HOUR AS window_end, avg(value / 0.997) AS mean_us_aqi, "
-    f"count(*) AS n FROM events, range(24) AS k(k) GROUP BY 1, 2, 3) AS w WHERE {_CLOSED}",
+    "count(*) AS n FROM events, range(24) AS k(k) GROUP BY 1, 2, 3",
     "station window_start window_end n", "mean_us_aqi"))
 def stream_sliding(spark, sf_dir):
-    return streams.result(streams.tumbling(_index(spark, sf_dir), "us_aqi", "24 hours", "1 hour"), "sliding")
+    days = streams.tumbling(_index(spark, sf_dir), "us_aqi", "24 hours", "1 hour")
+    return streams.published(days, "sliding", ["station", "window_start", "window_end"])
 
 
-def _shifted_sql(offsets, delay):
+def _shifted_sql(offsets):
     joins = " ".join(f"LEFT JOIN series AS s{i} ON s{i}.station = s.station AND s{i}.ts = s.ts - INTERVAL '{k} hours'"
                      for i, k in enumerate(offsets.values()))
     columns = ", ".join(f"s{i}.us_aqi AS {name}" for i, name in enumerate(offsets))
     return shown(
-        f"WITH {sql.SERIES} SELECT s.station, s.ts, s.us_aqi, {columns} FROM series AS s {joins} "
-        f"WHERE s.ts + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL {delay} HOUR FROM series)",
+        f"WITH {sql.SERIES} SELECT s.station, s.ts, s.us_aqi, {columns} FROM series AS s {joins}",
         KEYS, "us_aqi " + " ".join(offsets))
 
 
@@ -89,14 +87,14 @@ def _hourly(spark, sf_dir):
     return _landed(tables.series(spark, sf_dir).select("station", "ts", "us_aqi"), "hourly")
 
 
-@query("stream_lags", _shifted_sql(_LAGS, 2))
+@query("stream_lags", _shifted_sql(_LAGS))
 def stream_lags(spark, sf_dir):
-    return streams.result(streams.shifted(_hourly(spark, sf_dir), "us_aqi", _LAGS), "lags")
+    return streams.published(streams.shifted(_hourly(spark, sf_dir), "us_aqi", _LAGS), "lags", ["station", "ts"])
 
 
-@query("stream_targets", _shifted_sql(_AHEAD, 74))
+@query("stream_targets", _shifted_sql(_AHEAD))
 def stream_targets(spark, sf_dir):
-    return streams.result(streams.shifted(_hourly(spark, sf_dir), "us_aqi", _AHEAD), "targets")
+    return streams.published(streams.shifted(_hourly(spark, sf_dir), "us_aqi", _AHEAD), "targets", ["station", "ts"])
 
 
 @query("stream_join", shown(
@@ -109,10 +107,8 @@ def stream_join(spark, sf_dir):
 
 @query("stream_score")
 def stream_score(spark, sf_dir):
-    columns = ["us_aqi", "us_aqi_lag_24h", "us_aqi_rolling_mean_24h"]
-    hourly = tables.series(spark, sf_dir).select("station", "ts", "us_aqi")
-    rows = session.store(
-        features.add(hourly, [lag("us_aqi", 24), mean("us_aqi", 24)], {"aqi_day1": 24}), "scored-rows")
+    columns = features.FEATURE_COLUMNS
+    rows = session.store(features.build(tables.observations(spark, sf_dir), {"aqi_day1": 24}), "scored-rows")
     model = models.fit(rows, columns, "aqi_day1", Config("ridge", "standard"))
     path = session.scratch(spark, "scores")
     streams.score(_landed(rows.select("station", "ts", *columns), "arriving"), model, columns, path)

@@ -7,7 +7,8 @@ from pyspark.sql import types as T
 from aerolith.operators.features import STORED_COLUMNS
 from aerolith.operators.series import KEY, TS
 
-FILES_PER_DAY = 8
+#: Rows of a file at most.
+FILE_ROWS = 5_000_000
 
 
 def schema(columns=STORED_COLUMNS, key=KEY, ts=TS):
@@ -21,19 +22,20 @@ def project(df, allowed=STORED_COLUMNS, key=KEY, ts=TS):
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
 
 
-def _by_day(df, ts):
+def by_day(df, ts):
     return df.withColumn("day", F.date_format(ts, "yyyy-MM-dd"))
 
 
-def _write(df, path, mode, key):
-    spread = F.pmod(F.hash(key), F.lit(FILES_PER_DAY))
-    (df.repartition("day", spread).write.mode(mode).partitionBy("day")
+def _write(df, path, mode):
+    """Rows of a day come together, in as many tasks as the day needs: adaptive execution
+    joins small days and splits busy ones, whatever station they come from."""
+    (df.hint("rebalance", "day").write.mode(mode).partitionBy("day").option("maxRecordsPerFile", FILE_ROWS)
        .option("partitionOverwriteMode", "dynamic").parquet(path))
 
 
 def create(df, path, key=KEY, ts=TS):
     """Start a table; fails if there is one."""
-    _write(_by_day(df, ts), path, "errorifexists", key)
+    _write(by_day(df, ts), path, "errorifexists")
 
 
 def read(spark, path, start=None, end=None, columns=None, ts=TS):
@@ -75,7 +77,7 @@ def latest(df, on, order):
     return df.groupBy(*on).agg(best).select(*on, *[F.col(f"_row.{c}").alias(c) for c in rest + list(order)])
 
 
-def _stored(spark, path, like):
+def stored(spark, path, like):
     """The stored rows, or none when there is no table yet."""
     try:
         return spark.read.schema(like.schema).option("basePath", path).parquet(path)
@@ -97,26 +99,26 @@ def append(spark, df, path, mode="ignore", order=(), key=KEY, ts=TS):
     new row replace a stored one, rewriting only the touched days. Either may be
     repeated with the same rows without changing the table again.
     """
-    incoming = _by_day(df, ts)
+    incoming = by_day(df, ts)
     on = [key, ts, "day"]
     # Without an order the largest row wins, so that a repeated task picks the same.
     by = list(order) or [c for c in df.columns if c not in on]
-    incoming = latest(incoming, on, by) if by else incoming.distinct()
     days = _days(incoming)
     if not days:
         return
-    stored = _stored(spark, path, incoming).where(F.col("day").isin(days))
+    incoming = latest(incoming, on, by) if by else incoming.distinct()
+    known = stored(spark, path, incoming).where(F.col("day").isin(days))
     if mode == "ignore":
-        _write(new_rows(incoming, stored.select(key, ts), key, ts), path, "append", key)
+        _write(new_rows(incoming, known.select(key, ts), key, ts), path, "append")
     elif mode == "latest":
         observed = (lambda d: F.when(d["is_forecast"], 0).otherwise(1)) if "is_forecast" in df.columns \
             else (lambda d: F.lit(1))
         both = (
-            stored.withColumns({"_observed": observed(stored), "_new": F.lit(0)})
+            known.withColumns({"_observed": observed(known), "_new": F.lit(0)})
             .unionByName(incoming.withColumns({"_observed": observed(incoming), "_new": F.lit(1)}))
         )
         merged = latest(both, on, ["_observed", "_new"]).drop("_observed", "_new")
-        _write(merged.select(*stored.columns), path, "overwrite", key)
+        _write(merged.select(*known.columns), path, "overwrite")
     else:
         raise ValueError(f"mode is 'ignore' or 'latest', not {mode!r}")
 

@@ -7,6 +7,7 @@ counted in the query's progress (``late_rows``).
 """
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aerolith import session
 from aerolith.operators import models
@@ -16,10 +17,16 @@ from aerolith.sources import store
 LATENESS_HOURS = 2
 
 
-def read(spark, path, schema, glob=None):
+def read(spark, path, schema):
+    """The table at ``path``, one file or a folder of them, as a stream; fails when it holds no file."""
+    files = spark.read.schema(schema).parquet(path).inputFiles()
+    if not files:
+        raise FileNotFoundError(f"no file in {path}")
+    folder, _, name = path.rstrip("/").rpartition("/")
     reader = spark.readStream.schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+    if len(files) == 1 and files[0].endswith(f"/{name}"):
+        # A source is a folder: the one file is picked from the folder it is in.
+        return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 
@@ -44,6 +51,27 @@ def result(df, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def published(df, name, on, checkpoint=None):
+    """Every row of a grouped stream, windows that are still open too.
+
+    Each batch writes the rows it changed to its own folder, so a repeated batch replaces
+    them; of a key's versions the last counts.
+    """
+    spark = df.sparkSession
+    path = session.scratch(spark, name)
+    checkpoint = checkpoint or session.scratch(spark, f"{name}-checkpoint")
+
+    def work(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    query = (df.writeStream.outputMode("update").foreachBatch(work).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    shape = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
+    versions = spark.read.schema(shape).option("basePath", path).parquet(path)
+    return store.latest(versions, list(on), ["batch"]).drop("batch").select(*df.columns)
+
+
 def late_rows(query):
     """Rows a finished query dropped because they came after the watermark."""
     return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
@@ -54,6 +82,26 @@ def dedup(df, key=KEY, ts=TS, lateness=LATENESS_HOURS):
     return df.withWatermark(ts, f"{lateness} hours").dropDuplicatesWithinWatermark([key, ts])
 
 
+def dedup_into(df, path, late_path, checkpoint=None, key=KEY, ts=TS, lateness=LATENESS_HOURS):
+    """The first row per station and time into the stored table, whenever it comes.
+
+    A new row that comes more than ``lateness`` hours behind the stored ones is written to
+    ``late_path`` as well, one folder per batch.
+    """
+    def work(batch, number):
+        spark = batch.sparkSession
+        stored = store.stored(spark, path, store.by_day(batch, ts))
+        newest = stored.agg(F.max(ts)).first()[0]
+        if newest is not None:
+            behind = batch.where(F.col(ts) < F.lit(newest) - hours(lateness))
+            days = [row.day for row in store.by_day(behind, ts).select("day").distinct().collect()]
+            late = store.new_rows(behind, stored.where(F.col("day").isin(days)).select(key, ts), key, ts)
+            late.dropDuplicates([key, ts]).write.mode("overwrite").parquet(f"{late_path}/batch={number}")
+        store.append(spark, batch, path, "ignore", key=key, ts=ts)
+
+    return _each_batch(df, "dedup", work, checkpoint)
+
+
 def tumbling(df, value, length="1 hour", step=None, key=KEY, ts=TS, lateness=LATENESS_HOURS):
     """Mean and count per window; a window appears once the watermark passed it."""
     window = F.window(ts, length, step) if step else F.window(ts, length)

@@ -2,6 +2,7 @@ import pytest
 
 from aerolith import session
 from aerolith.streaming import streams
+from tests.conftest import SMALL
 
 
 @pytest.fixture()
@@ -57,3 +58,45 @@ def test_ingest_twice_is_ingest_once(spark, feed, hourly):
     for _ in range(2):
         streams.ingest(source, path)
     assert spark.read.parquet(path).count() == 40
+
+
+def scrambled(spark, sf_dir, parts=4):
+    """The events of a scale as a folder of part files in scrambled order."""
+    folder = session.scratch(spark, "scrambled")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    for k in range(parts):
+        events.where(f"pmod(xxhash64(event_id), {parts}) = {k}").coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_dedup", "stream_tumbling", "stream_sliding"])
+def test_streams_read_a_folder_of_files(spark, name):
+    from aerolith.plans import QUERIES
+
+    one = QUERIES[name](spark, SMALL)
+    many = QUERIES[name](spark, scrambled(spark, SMALL))
+    assert one.count() > 0
+    assert many.select(*one.columns).exceptAll(one).count() == 0 == one.exceptAll(many.select(*one.columns)).count()
+
+
+def test_a_stream_without_files_fails(spark):
+    empty = session.scratch(spark, "empty")
+    spark.range(0).write.parquet(empty)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|no file"):
+        streams.read(spark, empty + "-missing", spark.range(0).schema)
+
+
+def test_late_first_rows_are_stored_and_listed(spark, feed, hourly):
+    path, late, checkpoint = (session.scratch(spark, n) for n in ("table", "late", "checkpoint"))
+    for batch in (hourly(range(10, 20), start="2024-01-02"), hourly(range(10)), hourly(range(10))):
+        streams.dedup_into(feed(batch), path, late, checkpoint=checkpoint)
+    assert spark.read.parquet(path).count() == 20
+    assert spark.read.option("basePath", late).parquet(late).count() == 10
+
+
+def test_open_windows_are_published_over_several_batches(spark, feed, hourly):
+    checkpoint = session.scratch(spark, "checkpoint")
+    for batch in (hourly(range(5)), hourly(range(5), station="b")):
+        source = feed(batch)
+    got = streams.published(streams.tumbling(source, "us_aqi"), "w", ["station", "window_start", "window_end"], checkpoint)
+    assert got.count() == 10
