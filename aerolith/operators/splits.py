@@ -18,10 +18,14 @@ def _tidy(df):
     return df.drop("_idx", "_n", "_cut", "_cut2")
 
 
+def first_row(share):
+    """Number of the first row of the part that holds the last ``share`` of a series."""
+    return F.floor(F.col("_n") * F.lit(1 - share))
+
+
 def chrono(df, test_ratio=0.2, key=KEY, ts=TS):
     """The first part of each series trains, the rest tests; no gap."""
-    cut = F.floor(F.col("_n") * F.lit(1 - test_ratio))
-    label = F.when(F.col("_idx") < cut, "train").otherwise("test")
+    label = F.when(F.col("_idx") < first_row(test_ratio), "train").otherwise("test")
     return _tidy(indexed(df, key, ts).withColumn("split", label))
 
 
@@ -33,8 +37,7 @@ def embargoed(df, test_ratio=0.2, val_ratio=0.0, embargo_hours=EMBARGO_HOURS, tr
     drops older training rows and leaves the other parts as they are.
     """
     rows = indexed(df, key, ts)
-    first_test = F.col("_n") - F.floor(F.col("_n") * F.lit(test_ratio))
-    first_val = first_test - F.floor(F.col("_n") * F.lit(val_ratio))
+    first_test, first_val = first_row(test_ratio), first_row(test_ratio + val_ratio)
     starts = rows.groupBy(key).agg(
         F.min(F.when(F.col("_idx") >= first_test, F.col(ts))).alias("_cut2"),
         F.min(F.when(F.col("_idx") >= first_val, F.col(ts))).alias("_cut"))
@@ -61,16 +64,28 @@ def fold_role(fold, n_splits):
     return F.when(F.col("_idx") < start, "train").when(F.col("_idx") < start + size, "test")
 
 
-def folds(df, n_splits=3, key=KEY, ts=TS):
-    """Expanding folds: every row once per fold it plays a part in."""
+def _clear(embargo_hours, ts):
+    """A training row whose targets end before the test part starts."""
+    return F.unix_seconds(ts) + embargo_hours * HOUR < F.unix_seconds("_start")
+
+
+def folds(df, n_splits=3, embargo_hours=EMBARGO_HOURS, key=KEY, ts=TS):
+    """Expanding folds: every row once per fold it plays a part in. Training rows within
+    ``embargo_hours`` of the fold's first test row play none."""
     each = indexed(df, key, ts).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(n_splits))))
-    return _tidy(each.withColumn("role", fold_role(F.col("fold"), n_splits)).where(F.col("role").isNotNull()))
+    each = each.withColumn("role", fold_role(F.col("fold"), n_splits)).where(F.col("role").isNotNull())
+    starts = each.where("role = 'test'").groupBy(key, "fold").agg(F.min(ts).alias("_start"))
+    kept = each.join(starts, [key, "fold"]).where((F.col("role") == "test") | _clear(embargo_hours, ts))
+    return _tidy(kept.drop("_start"))
 
 
-def one_fold(rows, fold, n_splits):
-    """Training and test rows of one fold of a numbered table; nothing is copied."""
+def one_fold(rows, fold, n_splits, embargo_hours=EMBARGO_HOURS, key=KEY, ts=TS):
+    """Training and test rows of one fold of a numbered table, with the same embargo."""
     role = fold_role(F.lit(fold), n_splits)
-    return _tidy(rows.where(role == "train")), _tidy(rows.where(role == "test"))
+    test = rows.where(role == "test")
+    starts = test.groupBy(key).agg(F.min(ts).alias("_start"))
+    train = rows.where(role == "train").join(starts, key).where(_clear(embargo_hours, ts)).drop("_start")
+    return _tidy(train), _tidy(test)
 
 
 def window_consistency(df, horizons, key=KEY, ts=TS):

@@ -101,11 +101,34 @@ def test_embargo_keeps_targets_out_of_later_parts(hourly):
 
 
 def test_folds_follow_the_expanding_rule(hourly):
-    rows = splits.folds(hourly(range(10)), 3)
+    rows = splits.folds(hourly(range(10)), 3, embargo_hours=0)
     count = {(r.fold, r.role): r["count"] for r in rows.groupBy("fold", "role").count().collect()}
     assert count == {(1, "train"): 4, (1, "test"): 2, (2, "train"): 6, (2, "test"): 2, (3, "train"): 8, (3, "test"): 2}
 
 
+def test_folds_keep_targets_out_of_their_test_part(spark, hourly):
+    """In every fold the last training row and the first test row are more than 72 hours apart."""
+    data = hourly(range(1500), skip=range(700, 760)).unionByName(hourly(range(900), station="b", start="2024-02-01"))
+    rows = splits.folds(data, 5)
+    edges = rows.groupBy("station", "fold").agg(
+        F.max(F.when(F.col("role") == "train", F.unix_seconds("ts"))).alias("a"),
+        F.min(F.when(F.col("role") == "test", F.unix_seconds("ts"))).alias("b")).collect()
+    assert len(edges) == 10 and all(e.b - e.a > 72 * 3600 for e in edges)
+    numbered = splits.indexed(data)
+    for fold in (1, 5):
+        train, test = splits.one_fold(numbered, fold, 5)
+        last, first = (part.groupBy("station").agg(f(F.unix_seconds("ts")).alias("t")) for part, f in ((train, F.max), (test, F.min)))
+        gaps = [r.a - r.b for r in first.withColumnRenamed("t", "a").join(last.withColumnRenamed("t", "b"), "station").collect()]
+        assert len(gaps) == 2 and min(gaps) > 72 * 3600
+
+
+def test_all_splits_cut_at_the_same_row(hourly):
+    data = hourly(range(1237))
+    first = [part.where("split = 'test'").agg(F.min("ts")).first()[0]
+             for part in (splits.chrono(data), splits.embargoed(data), splits.embargoed(data, val_ratio=0.15))]
+    assert len(set(first)) == 1
+
+
 def test_constant_truth_has_no_r2(spark):
     df = spark.createDataFrame([("h", 5.0, 4.0), ("h", 5.0, 6.0)], "horizon string, t double, p double")
     row = metrics.regression(df, "t", "p", ["horizon"]).first()
