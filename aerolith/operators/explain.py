@@ -1,6 +1,7 @@
 """Shapley values, importances over folds, pruning and domain rules."""
 
 import pandas as pd
+from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import functions as F
 
 from aerolith import session
@@ -20,7 +21,28 @@ def background(df, columns, rows=50, key=KEY, ts=TS):
     return picked.agg(F.collect_list("_v").alias("_background"))
 
 
-def shapley(model, df, columns, reference, samples=100, key=KEY, ts=TS):
+def is_linear(model):
+    """A scaler and a linear regression, with nothing between."""
+    return len(model.stages) == 2 and isinstance(model.stages[-1], LinearRegressionModel)
+
+
+def exact_shapley(model, df, columns, key=KEY, ts=TS):
+    """Shapley values of a linear pipeline: each feature's share is its coefficient times its
+    distance from the scaler's centre. Long result as of ``shapley``; the base is the
+    prediction at the centre."""
+    shares = linear_contributions(model, df, columns)
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), share.alias("value")) for c, share in shares.items()])
+    return df.select(key, ts, F.inline(rows)).withColumn("base", F.lit(float(model.stages[-1].intercept)))
+
+
+def shapley(model, df, columns, reference=None, samples=100, key=KEY, ts=TS):
+    """Shapley values of a pipeline: exact ones if it is linear, else sampled ones."""
+    if is_linear(model):
+        return exact_shapley(model, df, columns, key, ts)
+    return sampled_shapley(model, df, columns, reference, samples, key, ts)
+
+
+def sampled_shapley(model, df, columns, reference, samples=100, key=KEY, ts=TS):
     """Sampled Shapley values of any pipeline (Castro, Gomez and Tejada, 2009).
 
     Each row walks ``samples`` random feature orders from a background row to
@@ -90,11 +112,11 @@ def linear_contributions(model, df, columns):
     """Contribution columns of a fitted linear pipeline, against the scaler's centre."""
     scaler, linear = model.stages[0], model.stages[-1]
     parts = zip(columns, linear.coefficients.toArray(), scaler.getOrDefault(scaler.centre),
-                scaler.getOrDefault(scaler.scale))
-    return {c: (F.coalesce(F.col(c), F.lit(0.0)) - F.lit(m)) / F.lit(s) * F.lit(float(b)) for c, b, m, s in parts}
+                scaler.getOrDefault(scaler.scale), scaler.getOrDefault(scaler.fill))
+    return {c: (F.coalesce(F.col(c), F.lit(f)) - F.lit(m)) / F.lit(s) * F.lit(float(b)) for c, b, m, s, f in parts}
 
 
-def fold_importance(df, columns, label, config, n_splits=3, samples=20):
+def fold_importance(df, columns, label, config, n_splits=3, samples=100):
     """Mean absolute Shapley value per fold and feature, on each fold's test part."""
     rows = session.store(splits.indexed(df), "numbered")
     tables = []
@@ -170,9 +192,9 @@ def domain_rules(df, pairs, by=(KEY,)):
     return wide.select(*by, F.inline(F.array(*rows)))
 
 
-def report(df, columns, label, config, n_splits=3, samples=20, least=0.01, corr_threshold=0.85):
+def report(df, columns, label, config, n_splits=3, samples=100, least=0.01, corr_threshold=0.85):
     """Rules, fold stability and pruning of one model as a single long table."""
-    rows = session.store(splits.chrono(df), "explained")
+    rows = session.store(splits.embargoed(df), "explained")
     train, test = rows.where("split = 'train'").drop("split"), rows.where("split = 'test'").drop("split")
     model = models.fit(train, columns, label, config)
     values = session.store(shapley(model, test, columns, background(train, columns), samples), "shapley")

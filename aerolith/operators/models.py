@@ -28,26 +28,29 @@ FLOOR = 30.0
 
 
 class ScaledVector(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
-    """Columns to one vector, scaled with stored parameters; missing counts as 0."""
+    """Columns to one vector, scaled with stored parameters; a missing value counts as the training median."""
 
     centre = Param(Params._dummy(), "centre", "value subtracted per column", TypeConverters.toListFloat)
     scale = Param(Params._dummy(), "scale", "divisor per column", TypeConverters.toListFloat)
+    fill = Param(Params._dummy(), "fill", "value of a missing input per column", TypeConverters.toListFloat)
 
     @keyword_only
-    def __init__(self, *, inputCols=None, outputCol=None, centre=None, scale=None):
+    def __init__(self, *, inputCols=None, outputCol=None, centre=None, scale=None, fill=None):
         super().__init__()
         self._set(**self._input_kwargs)
 
     def _transform(self, dataset):
-        parts = zip(self.getInputCols(), self.getOrDefault(self.centre), self.getOrDefault(self.scale))
-        values = [(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(m)) / F.lit(s) for c, m, s in parts]
+        parts = zip(self.getInputCols(), self.getOrDefault(self.centre), self.getOrDefault(self.scale),
+                    self.getOrDefault(self.fill))
+        values = [(F.coalesce(F.col(c).cast("double"), F.lit(f)) - F.lit(m)) / F.lit(s) for c, m, s, f in parts]
         return dataset.withColumn(self.getOutputCol(), array_to_vector(F.array(*values)))
 
 
 class Scaler(Estimator, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """Fits ``ScaledVector`` on training rows: 'standard', 'robust' or 'none'.
 
-    Two numbers per column reach the driver, as with any fitted stage.
+    Three numbers per column reach the driver, as with any fitted stage. The value that stands
+    for a missing input is the column's median, within a thousandth of the ranks.
     """
 
     kind = Param(Params._dummy(), "kind", "standard, robust or none", TypeConverters.toString)
@@ -60,14 +63,16 @@ class Scaler(Estimator, HasInputCols, HasOutputCol, DefaultParamsReadable, Defau
 
     def _fit(self, dataset):
         columns, kind = self.getInputCols(), self.getOrDefault(self.kind)
+        medians = dataset.select(*[F.col(c).cast("double").alias(c) for c in columns]).approxQuantile(columns, [0.5], 0.001)
+        fill = [float(m[0]) if m else 0.0 for m in medians]
         if kind == "none":
             found = {}
         else:
-            filled = dataset.select(*columns).na.fill(0.0)
+            filled = dataset.select(*columns).na.fill(dict(zip(columns, fill)))
             found = {r.feature: (r.centre, r.scale) for r in scaling.fit(filled, columns, kind, []).collect()}
         pairs = [found.get(c, (0.0, 1.0)) for c in columns]
         return ScaledVector(inputCols=columns, outputCol=self.getOutputCol(),
-                            centre=[p[0] for p in pairs], scale=[p[1] for p in pairs])
+                            centre=[p[0] for p in pairs], scale=[p[1] for p in pairs], fill=fill)
 
 
 class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):

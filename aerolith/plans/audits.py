@@ -18,7 +18,7 @@ def _written(hours):
     return session.store(hours, "hours")
 
 
-_AUDITED = ["wind_speed_10m", "us_aqi", "us_aqi_lag_1h", "us_aqi_lag_24h", "us_aqi_rolling_mean_72h", "pm2_5"]
+_AUDITED = ["station", "ts", *features.FEATURE_COLUMNS]
 
 
 @query("missing_audit", shown(

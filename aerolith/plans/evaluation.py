@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from aerolith import session
 from aerolith.operators import analogues, features, metrics, scaling, splits
-from aerolith.operators.features import HORIZONS, mean
+from aerolith.operators.features import FEATURE_COLUMNS, HORIZONS, mean
 from aerolith.operators.series import INDEX
 from aerolith.plans import sql
 from aerolith.plans.registry import query, shown
@@ -30,8 +30,8 @@ def chrono_split(spark, sf_dir):
 
 
 def _starts(val=0.0):
-    return f"""cuts AS (SELECT *, n - floor(n * 0.2::DOUBLE) AS c2,
-      n - floor(n * 0.2::DOUBLE) - floor(n * {val}::DOUBLE) AS c1 FROM indexed),
+    return f"""cuts AS (SELECT *, floor(n * (1 - 0.2::DOUBLE)) AS c2,
+      floor(n * (1 - (0.2::DOUBLE + {val}::DOUBLE))) AS c1 FROM indexed),
     starts AS (SELECT station, min(ts) FILTER (WHERE idx >= c2) AS test_start,
       min(ts) FILTER (WHERE idx >= c1) AS val_start FROM cuts GROUP BY 1)"""
 
@@ -66,8 +66,10 @@ def ablation_split(spark, sf_dir):
 
 
 @query("ts_folds", f"WITH {INDEXED}, f AS (SELECT *, n - (4 - fold) * (n // 4) AS start, n // 4 AS size "
-       "FROM indexed, range(1, 4) AS r(fold)) SELECT station, ts, fold, "
-       "CASE WHEN idx < start THEN 'train' ELSE 'test' END AS role FROM f WHERE idx < start + size")
+       "FROM indexed, range(1, 4) AS r(fold)), g AS (SELECT *, min(ts) FILTER (WHERE idx >= start AND idx < start + size) "
+       "OVER (PARTITION BY station, fold) AS test_start FROM f) SELECT station, ts, fold, "
+       "CASE WHEN idx < start THEN 'train' ELSE 'test' END AS role FROM g "
+       "WHERE idx < start + size AND (idx >= start OR ts + INTERVAL 72 HOUR < test_start)")
 def ts_folds(spark, sf_dir):
     return splits.folds(_rows(spark, sf_dir), 3).drop("us_aqi")
 
@@ -105,9 +107,9 @@ def smog_weights(spark, sf_dir):
     return splits.event_weight(_train(spark, sf_dir), splits.smog()).select("station", "ts", "weight_event")
 
 
-_SCALED = ["us_aqi", "pm2_5", "rain", "wind_speed_10m", "flat"]
-_SCALED_SQL = f"""{sql.OBS}, numbered AS (SELECT station, ts, us_aqi, pm2_5, rain, wind_speed_10m, 3.0::DOUBLE AS flat,
-    row_number() OVER (PARTITION BY station ORDER BY ts) - 1 AS idx, count(*) OVER (PARTITION BY station) AS n FROM obs),
+_SCALED = [*FEATURE_COLUMNS, "flat"]
+_SCALED_SQL = f"""{sql.FEATURES}, numbered AS (SELECT station, ts, {', '.join(FEATURE_COLUMNS)}, 3.0::DOUBLE AS flat,
+    row_number() OVER (PARTITION BY station ORDER BY ts) - 1 AS idx, count(*) OVER (PARTITION BY station) AS n FROM features),
   fitted AS (SELECT * FROM numbered WHERE idx < floor(n * (1 - 0.2::DOUBLE)))"""
 
 
@@ -128,8 +130,8 @@ def _scaled_sql(parameters):
 
 
 def _to_scale(spark, sf_dir):
-    obs = tables.observations(spark, sf_dir).withColumn("flat", F.lit(3.0)).select("station", "ts", *_SCALED)
-    return session.store(splits.chrono(obs), "to-scale")
+    built = features.build(tables.observations(spark, sf_dir)).withColumn("flat", F.lit(3.0)).select("station", "ts", *_SCALED)
+    return session.store(splits.chrono(session.store(built, "features")), "to-scale")
 
 
 def _scale(spark, sf_dir, kind, through=lambda params: params):
@@ -245,14 +247,24 @@ def regime_metrics(spark, sf_dir):
     return metrics.regimes(_forecasts(spark, sf_dir), "us_aqi", by=("horizon", "model"))
 
 
+_VALIDATION = f"""indexed AS (SELECT station, ts, row_number() OVER (PARTITION BY station ORDER BY ts) - 1 AS idx,
+    count(*) OVER (PARTITION BY station) AS n FROM series), {_starts(0.15)},
+  held AS (SELECT c.station, ts FROM cuts AS c JOIN starts AS s ON s.station = c.station WHERE {_THREE} = 'validation')"""
+
+
 @query("select_winner", shown(
-    f"WITH {_ERRORS}, m AS ({_score('horizon, model')}), r AS (SELECT *, row_number() OVER "
+    f"WITH {_ERRORS}, {_VALIDATION}, m AS ("
+    + _score("horizon, model", "(station, ts) IN (SELECT (station, ts) FROM held)")
+    + "), r AS (SELECT *, row_number() OVER "
     "(PARTITION BY horizon ORDER BY rmse, model) AS place FROM m) SELECT horizon, model AS winner, rmse AS winner_rmse, "
     "CASE WHEN horizon = 'aqi_day2' THEN 'mean_24h' ELSE model END AS chosen, "
     "CASE WHEN horizon = 'aqi_day2' THEN model <> 'mean_24h' ELSE false END AS overridden FROM r WHERE place = 1",
     "horizon winner chosen overridden", "winner_rmse"))
 def select_winner(spark, sf_dir):
-    scores = metrics.regression(_forecasts(spark, sf_dir), "truth", "pred", ["horizon", "model"])
+    """The model with the least error on the validation part; the test part is not looked at."""
+    held = splits.embargoed(_rows(spark, sf_dir), val_ratio=0.15).where("split = 'validation'").select("station", "ts")
+    rows = _forecasts(spark, sf_dir).join(held, ["station", "ts"], "left_semi")
+    scores = metrics.regression(rows, "truth", "pred", ["horizon", "model"])
     return metrics.select_winner(scores, override={"aqi_day2": "mean_24h"})
 
 
@@ -269,10 +281,6 @@ def cosine_topk(spark, sf_dir):
     return analogues.nearest(vectors, newest, 10).select("vec_id", "label", "similarity")
 
 
-_LIKE = ["us_aqi", "pm2_5", "wind_speed_10m", "relative_humidity_2m", "surface_pressure", "us_aqi_lag_24h",
-         "us_aqi_rolling_mean_24h"]
-
-
 def similar_sql(columns):
     """CTEs from the feature rows to the table `similar_days`."""
     def z(table, c):
@@ -302,10 +310,9 @@ similar_days AS (SELECT station, place, strftime(ts, '%b %d, %Y') AS date,
 FROM ranked WHERE place <= 4)"""
 
 
-@query("analogue_days", shown(f"WITH {sql.FEATURES}, {similar_sql(_LIKE)} SELECT * FROM similar_days", "station place date historical_aqi humidity_high",
+@query("analogue_days", shown(f"WITH {sql.FEATURES}, {similar_sql(FEATURE_COLUMNS)} SELECT * FROM similar_days", "station place date historical_aqi humidity_high",
                               "cosine similarity wind humidity"))
 def analogue_days(spark, sf_dir):
-    obs = tables.observations(spark, sf_dir).select("station", "ts", *_LIKE[:5])
-    built = session.store(features.add(obs, [features.lag("us_aqi", 24), mean("us_aqi", 24)]), "features")
-    found = analogues.top_days(built, _LIKE)
+    built = session.store(features.build(tables.observations(spark, sf_dir)), "features")
+    found = analogues.top_days(built, FEATURE_COLUMNS)
     return session.store(found, "analogues")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from aerolith import session
 from aerolith.operators import correlation, explain, features, models, splits
-from aerolith.operators.features import FEATURE_COLUMNS, HORIZONS, lag, mean
+from aerolith.operators.features import FEATURE_COLUMNS, HORIZONS, MEASURES, lag, mean
 from aerolith.operators.models import Config
 from aerolith.plans import sql
 from aerolith.plans.audits import MATRIX, MATRIX_SQL
@@ -16,8 +16,6 @@ from aerolith.plans.registry import query, shown
 from aerolith.sources import outputs, tables
 
 ROUNDS = {"maxIter": 20}
-FEW = ["us_aqi", "pm2_5", "precipitation", "wind_gusts_10m", "us_aqi_lag_24h", "us_aqi_rolling_mean_24h"]
-
 
 def _training(spark, sf_dir, columns=FEATURE_COLUMNS):
     """Complete rows with targets and split labels; both tables are written once, as
@@ -100,30 +98,29 @@ def top_importances(spark, sf_dir):
 
 @query("feature_search")
 def feature_search(spark, sf_dir):
+    """Lags, rolling values, changes and cycles tried one after another on top of what is measured."""
     rows = _training(spark, sf_dir)
-    candidates = ["us_aqi_lag_2h", "us_aqi_lag_3h", "us_aqi_rolling_mean_12h", "pm2_5_change_rate_1h"]
-    return models.feature_search(rows, FEW, candidates, "aqi_day1")[1]
+    return models.feature_search(rows, MEASURES, [c for c in FEATURE_COLUMNS if c not in MEASURES], "aqi_day1")[1]
 
 
 @query("cv_compare")
 def cv_compare(spark, sf_dir):
     rows = _training(spark, sf_dir).drop("split")
-    return models.compare_by_fold(rows, FEW, "aqi_day2", {
-        "ridge": Config("ridge", "robust"), "kernel": Config("kernel", "robust", None, {"size": 64})}, n_splits=3)
+    return models.compare_by_fold(rows, FEATURE_COLUMNS, "aqi_day2", {
+        "ridge": Config("ridge", "robust"), "kernel": Config("kernel", "robust")}, n_splits=5)
 
 
-def _explained(spark, sf_dir, columns=FEW):
-    built = features.add(tables.observations(spark, sf_dir), [lag("us_aqi", 24), mean("us_aqi", 24)], HORIZONS)
-    rows = features.complete(built, [*columns, *HORIZONS]).select("station", "ts", *columns, *HORIZONS)
-    return session.store(rows, "explained")
+def _explained(spark, sf_dir):
+    built = session.store(features.build(tables.observations(spark, sf_dir), HORIZONS), "features")
+    return session.store(features.complete(built).select("station", "ts", *FEATURE_COLUMNS, *HORIZONS), "explained")
 
 
 @query("shapley_sampled", digits=4)
 def shapley_sampled(spark, sf_dir):
-    """All rows explained; values of a row add up to its prediction minus base."""
+    """All rows and features explained; values of a row add up to its prediction minus base."""
     rows = _explained(spark, sf_dir)
-    model = models.fit(rows, FEW, "aqi_day1", Config("ridge", "standard"))
-    values = explain.shapley(model, rows, FEW, explain.background(rows, FEW), samples=20)
+    model = models.fit(rows, FEATURE_COLUMNS, "aqi_day1", Config("ridge", "standard"))
+    values = explain.shapley(model, rows, FEATURE_COLUMNS)
     sums = values.groupBy("station", "ts").agg(F.sum("value").alias("total"), F.max("base").alias("base"),
                                                F.max_by("feature", F.abs("value")).alias("strongest"))
     return sums.join(models.predict(model, rows), ["station", "ts"]).select(
@@ -131,9 +128,10 @@ def shapley_sampled(spark, sf_dir):
         (F.col("base") + F.col("total") - F.col("pred")).alias("residue"))
 
 
-_LINEAR = ["us_aqi", "pm2_5", "wind_gusts_10m"]
-_SLOPES_SQL = f"""{sql.OBS}, t AS (SELECT *, {sql.lead('us_aqi', 24, 'aqi_day1')} FROM obs),
-s AS (SELECT station AS st, {', '.join(f'regr_slope(aqi_day1, {c}) AS {c}_b, avg({c}) AS {c}_m' for c in _LINEAR)}
+_LINEAR = FEATURE_COLUMNS
+_SLOPES_SQL = f"""{sql.FEATURES}, t AS (SELECT *, {sql.lead('us_aqi', 24, 'aqi_day1')} FROM features),
+s AS (SELECT station AS st, {', '.join(
+    f'coalesce(CASE WHEN var_pop({c}) > 0 THEN regr_slope(aqi_day1, {c}) END, 0) AS {c}_b, avg({c}) AS {c}_m' for c in _LINEAR)}
   FROM t WHERE aqi_day1 IS NOT NULL GROUP BY 1)"""
 
 
@@ -142,23 +140,25 @@ s AS (SELECT station AS st, {', '.join(f'regr_slope(aqi_day1, {c}) AS {c}_b, avg
         f"SELECT station, ts, '{c}' AS feature, {c}_b * ({c} - {c}_m) AS value FROM t JOIN s ON st = station"
         for c in _LINEAR), "station ts feature", "value"))
 def shapley_linear(spark, sf_dir):
-    obs = tables.observations(spark, sf_dir).select("station", "ts", *_LINEAR)
-    rows = session.store(features.targets(obs, horizons={"aqi_day1": 24}), "targets")
+    built = features.build(tables.observations(spark, sf_dir), {"aqi_day1": 24}).select("station", "ts", *_LINEAR, "aqi_day1")
+    rows = session.store(built, "targets")
     return explain.linear_shapley(rows.drop("aqi_day1"), explain.slopes(rows, _LINEAR, "aqi_day1"))
 
 
 @query("fold_importance")
 def fold_importance(spark, sf_dir):
-    return explain.fold_importance(_explained(spark, sf_dir), FEW, "aqi_day1", Config("ridge", "standard"))
+    return explain.fold_importance(_explained(spark, sf_dir), FEATURE_COLUMNS, "aqi_day1", Config("ridge", "standard"))
 
 
-_PRUNED = ["us_aqi", "pm2_5", "precipitation", "wind_gusts_10m", "flat"]
-_LEAST = 1.0
-_FOLD_SQL = f"""WITH {sql.OBS}, t AS (SELECT *, 3.0::DOUBLE AS flat, {sql.lead('us_aqi', 24, 'aqi_day1')} FROM obs),
+_PRUNED = [*FEATURE_COLUMNS, "flat"]
+_LEAST = 0.01
+_FOLD_SQL = f"""WITH {sql.FEATURES}, t AS (SELECT *, 3.0::DOUBLE AS flat, {sql.lead('us_aqi', 24, 'aqi_day1')} FROM features),
 known AS (SELECT station, ts, aqi_day1, {', '.join(_PRUNED)}, row_number() OVER (PARTITION BY station ORDER BY ts) - 1 AS idx,
   count(*) OVER (PARTITION BY station) AS n FROM t WHERE aqi_day1 IS NOT NULL),
-f AS (SELECT *, CASE WHEN idx < n - (4 - fold) * (n // 4) THEN 'train' ELSE 'test' END AS role
+f0 AS (SELECT *, CASE WHEN idx < n - (4 - fold) * (n // 4) THEN 'train' ELSE 'test' END AS role
   FROM known, range(1, 4) AS r(fold) WHERE idx < n - (4 - fold) * (n // 4) + n // 4),
+f1 AS (SELECT *, min(ts) FILTER (WHERE role = 'test') OVER (PARTITION BY station, fold) AS test_start FROM f0),
+f AS (SELECT * FROM f1 WHERE role = 'test' OR ts + INTERVAL 72 HOUR < test_start),
 s AS (SELECT station AS st, fold AS fo, {', '.join(
     f'coalesce(CASE WHEN var_pop({c}) > 0 THEN regr_slope(aqi_day1, {c}) END, 0) AS {c}_b, avg({c}) AS {c}_m'
     for c in _PRUNED)} FROM f WHERE role = 'train' GROUP BY 1, 2),
@@ -173,8 +173,8 @@ i AS (""" + " UNION ALL ".join(
     "ELSE 'weak' END AS state FROM i GROUP BY 1", "feature state", "mean_importance max_importance"))
 def prune_states(spark, sf_dir):
     """Exact importances of one-feature linear models over three folds."""
-    obs = tables.observations(spark, sf_dir).withColumn("flat", F.lit(3.0)).select("station", "ts", *_PRUNED)
-    known = features.targets(obs, horizons={"aqi_day1": 24}).where("aqi_day1 IS NOT NULL")
+    built = features.build(tables.observations(spark, sf_dir), {"aqi_day1": 24}).withColumn("flat", F.lit(3.0))
+    known = built.where("aqi_day1 IS NOT NULL").select("station", "ts", *_PRUNED, "aqi_day1")
     rows = session.store(splits.folds(session.store(known, "known"), 3), "folds")
     params = explain.slopes(rows.where("role = 'train'"), _PRUNED, "aqi_day1", by=("station", "fold"))
     test = rows.where("role = 'test'").unpivot(["station", "ts", "fold"], _PRUNED, "feature", "x")
@@ -218,5 +218,4 @@ def domain_rules(spark, sf_dir):
 
 @query("explain_report", digits=4)
 def explain_report(spark, sf_dir):
-    columns = ["us_aqi", "pm2_5", "wind_speed_10m", "precipitation", "us_aqi_lag_24h"]
-    return explain.report(_explained(spark, sf_dir, columns), columns, "aqi_day1", Config("ridge", "standard"), samples=10)
+    return explain.report(_explained(spark, sf_dir), FEATURE_COLUMNS, "aqi_day1", Config("ridge", "standard"))
