@@ -77,7 +77,7 @@ def test_shapley_adds_up_and_agrees_with_the_linear_formula(signal):
     fitted = models.fit(signal.where("split = 'train'"), COLUMNS, "aqi_day1", Config("ridge", "standard"))
     few = signal.where("split = 'test'").limit(5)
     reference = explain.background(signal, COLUMNS, rows=1)
-    values = session.store(explain.shapley(fitted, few, COLUMNS, reference, samples=3), "shapley")
+    values = session.store(explain.sampled_shapley(fitted, few, COLUMNS, reference, samples=3), "shapley")
     sums = values.groupBy("ts").agg((F.sum("value") + F.max("base")).alias("total"))
     joined = models.predict(fitted, few).join(sums, "ts").collect()
     assert len(joined) == 5 and all(r.total == pytest.approx(r.pred) for r in joined)
@@ -90,6 +90,25 @@ def test_shapley_adds_up_and_agrees_with_the_linear_formula(signal):
         assert r.value == pytest.approx(slope[r.feature] * (rows[r.ts][r.feature] - at[r.feature]))
 
 
+def test_exact_values_of_a_linear_pipeline_add_up(signal):
+    fitted = models.fit(signal.where("split = 'train'"), COLUMNS, "aqi_day1", Config("ridge", "robust"))
+    few = signal.where("split = 'test'").limit(5)
+    values = explain.shapley(fitted, few, COLUMNS)
+    sums = values.groupBy("ts").agg((F.sum("value") + F.max("base")).alias("total"), F.count("*").alias("n"))
+    joined = models.predict(fitted, few).join(sums, "ts").collect()
+    assert len(joined) == 5 and all(r.total == pytest.approx(r.pred) and r.n == len(COLUMNS) for r in joined)
+
+
+@pytest.mark.parametrize("kind", ["standard", "robust", "none"])
+def test_a_missing_input_counts_as_the_training_median(signal, kind):
+    train = signal.where("split = 'train'")
+    fitted = models.fit(train, COLUMNS, "aqi_day1", Config("ridge", kind))
+    median = train.approxQuantile("us_aqi_lag_12h", [0.5], 0.001)[0]
+    holes = signal.limit(1).withColumn("us_aqi_lag_12h", F.lit(None).cast("double"))
+    filled = signal.limit(1).withColumn("us_aqi_lag_12h", F.lit(median))
+    assert models.predict(fitted, holes).first().pred == models.predict(fitted, filled).first().pred
+
+
 def test_search_accepts_only_validated_gains(signal):
     table = signal.withColumn("random", F.rand(3))
     kept, trials = models.feature_search(table, ["us_aqi"], ["us_aqi_lag_12h", "random"], "aqi_day1")
