@@ -112,7 +112,7 @@ def with_frames(df, build, before=0, after=0, mode="row", key=KEY, ts=TS, block=
         frames = TimeFrames(key, ts)
     else:
         raise ValueError(f"mode is 'row' or 'time', not {mode!r}")
-    kept = [c for c in df.columns if not c.startswith("_") or c in keep]
+    kept = [c for c in df.columns if c not in INDEX or c in keep]
     kept += [c for c in keep if c not in kept]
     added = build(frames)
     computed = spread.select("*", *[column.alias(name) for name, column in added.items()])

@@ -5,10 +5,8 @@ from pyspark.sql import functions as F
 from aerolith import session
 from aerolith.operators import audits, features
 from aerolith.operators.features import (
-    AIR, CANDIDATES, CYCLES, FEATURE_COLUMNS, HORIZONS, MEASURES, REBUILT, STANDARD, WEATHER,
-    change, lag, mean, total,
+    CANDIDATES, CYCLES, FEATURE_COLUMNS, HORIZONS, REBUILT, change, lag, mean, total,
 )
-from aerolith.operators.series import TS
 from aerolith.plans import sql
 from aerolith.plans.registry import query, shown
 from aerolith.sources import tables

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from aerolith import session
 from aerolith.operators import correlation, explain, features, models, splits
-from aerolith.operators.features import FEATURE_COLUMNS, HORIZONS, MEASURES, lag, mean
+from aerolith.operators.features import FEATURE_COLUMNS, HORIZONS, MEASURES, lag
 from aerolith.operators.models import Config
 from aerolith.plans import sql
 from aerolith.plans.audits import MATRIX, MATRIX_SQL

@@ -1,7 +1,7 @@
 """Pieces of SQL shared by the checks."""
 
 from aerolith.operators.features import (
-    AIR, CHANGES, HORIZONS, LAG_HOURS, MEAN_HOURS, SUM_HOURS, WEATHER,
+    AIR, CHANGES, HORIZONS, LAG_HOURS, MEAN_HOURS, SUM_HOURS,
 )
 
 READINGS = """readings AS (
@@ -90,5 +90,3 @@ INDEXED = """indexed AS (
 
 SMALL_TARGETS = f"""{SERIES}, targets AS (
   SELECT station, ts, us_aqi, {', '.join(horizon_leads())} FROM series)"""
-
-MEASURES = " ".join(WEATHER + AIR)
