@@ -17,7 +17,7 @@ HEADLINE = [
     "persistence_metrics", "join_weather_aq", "feature_table", "backfill_training", "targets_time", "aqi_lag_time",
     "new_rows_anti_join", "upsert_latest", "missing_audit", "gap_audit", "diurnal_profile", "box_stats", "aqi_categories",
     "corr_matrix", "acf", "embargo_split", "ts_folds", "smog_weights", "standard_scale", "robust_scale",
-    "benchmark_compliance", "analogue_days", "cosine_topk", "stream_tumbling", "stream_lags",
+    "benchmark_compliance", "analogue_days", "cosine_topk", "stream_tumbling", "stream_lags", "stream_ingest", "score_latest",
 ]
 
 
