@@ -140,13 +140,13 @@ FOUND = "phrase long, block long, tid long, chars long, first long, windows long
 def _locate(batches):
     """Stream (shard, part) groups: first the phrases, then the texts. One row per located block.
 
-    A block's window hashes come with the first block of its content in the group.
+    A block's window hashes come with the first block of its content in the group; the others have none.
     """
     automaton, group, compiled, seen = None, None, False, set()
     for batch in batches:
         column = {n: batch.column(batch.schema.get_field_index(n)) for n in ("shard", "part", "kind", "letters", "tid", "chars", "text")}
         keys = list(zip(column["shard"].to_pylist(), column["part"].to_pylist(), column["kind"].to_pylist()))
-        rows, lists = [], []
+        out = []
         for i, (shard, part, kind) in enumerate(keys):
             if (shard, part) != group:
                 automaton, group, compiled, seen = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), (shard, part), False, set()
@@ -163,27 +163,23 @@ def _locate(batches):
             if not ends:
                 continue
             named, at, first, windows = text.blocks()
-            here = np.isin(at, np.array(ends) - PHRASE + 1)
+            here = np.zeros(text.n, bool)
+            here[np.array(ends) - PHRASE + 1] = True
+            here = here[at]
             named, first, windows = named[here], first[here], windows[here]
-            content = text.ranges(first, windows + WINDOW - 1, "block")
-            tid, chars = column["tid"][i].as_py(), column["chars"][i].as_py()
-            for h, c, f, w in zip(named.view(np.int64).tolist(), content.view(np.int64).tolist(), first.tolist(), windows.tolist()):
-                rows.append((h, c, tid, chars, f, w))
-                if c in seen:
-                    lists.append(None)
-                else:
-                    seen.add(c)
-                    lists.append(text.ranges(np.arange(f, f + w), WINDOW, "window").view(np.int64))
-            if len(rows) > 20_000:
-                yield _found(rows, lists)
-                rows, lists = [], []
-        if rows:
-            yield _found(rows, lists)
-
-
-def _found(rows, lists):
-    names = [f.split()[0] for f in FOUND.split(", ")]
-    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*rows)), pa.array(lists, pa.list_(pa.int64()))], names=names)
+            if not len(named):
+                continue
+            content = text.ranges(first, windows + WINDOW - 1, "block").view(np.int64)
+            new = np.fromiter((c not in seen and not seen.add(c) for c in content.tolist()), bool, len(content))
+            sizes = np.where(new, windows, 0)
+            ends_of = np.cumsum(sizes)
+            flat = np.repeat(first - (ends_of - sizes), sizes) + np.arange(ends_of[-1])
+            ids = np.full((2, len(named)), [[column["tid"][i].as_py()], [column["chars"][i].as_py()]])
+            out.append((named.view(np.int64), content, *ids, first, windows, sizes, text.ranges(flat, WINDOW, "window").view(np.int64)))
+        if out:
+            *columns, sizes, hashes = (np.concatenate(c) for c in zip(*out))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(hashes))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=[f.split()[0] for f in FOUND.split(", ")])
 
 
 def _release(spark):
@@ -235,7 +231,7 @@ def repeated(docs, text_col="text"):
     _release(spark)
     # 3. Blocks by content, then the windows of blocks that are alone.
     blocks = store(found.groupBy("phrase", "block").agg(
-        F.count("*").alias("n"), F.first("hashes", ignorenulls=True).alias("hashes")), "contents")
+        F.count("*").alias("n"), F.max("hashes").alias("hashes")), "contents")
     ragged = blocks.groupBy("phrase").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where(
         "kinds > 1 AND least = 1").select("phrase")
     windows = store(blocks.join(ragged, "phrase", "left_semi").select(
@@ -246,12 +242,12 @@ def repeated(docs, text_col="text"):
     whole = blocks.where("n > 1").select("phrase", "block", F.lit(None).cast("array<long>").alias("some"))
     verdict = store(whole.unionByName(some), "verdict")
     spans = found.select("phrase", "block", "tid", "chars", "first", "windows").join(verdict, ["phrase", "block"])
-    last = WINDOW - 1
-    whole_span = F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("windows") - 1 + last).alias("b")))
-    some_spans = F.transform("some", lambda at: F.struct((F.col("first") + at).alias("a"), (F.col("first") + at + last).alias("b")))
-    # Shards see a copy of a text each; the spans of copies are the same.
-    return store(spans.select("tid", "chars", F.when(F.col("some").isNull(), whole_span).otherwise(some_spans).alias("s")).groupBy(
-        "tid", "chars").agg(F.array_distinct(F.flatten(F.collect_set("s"))).alias("spans")), "spans")
+    first, last = F.col("first"), WINDOW - 1
+    whole_span = F.array(F.struct(first.alias("a"), (first + F.col("windows") - 1 + last).alias("b")))
+    some_spans = F.transform("some", lambda at: F.struct((first + at).alias("a"), (first + at + last).alias("b")))
+    # Copies of a text have the same spans.
+    each = spans.select("tid", "chars", F.inline(F.when(F.col("some").isNull(), whole_span).otherwise(some_spans))).distinct()
+    return store(each.groupBy("tid", "chars").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
 
 
 def _cut(batches):
