@@ -11,11 +11,18 @@ Two ways of keying:
   segments of 23, 23 and 18 bits has no error, and the others have 2 at most; a key joins
   the error-free segment with a codeword of another one.
 - banded(): 184 bits of the set of words, for a shingle similarity of 0.8 and more. A key
-  joins a codeword of a segment with eight bits of the next one. Eight such bands miss few
-  pairs at 0.8 and fewer above; tests measure the share found. Pairs are verified on the texts.
+  joins a codeword of a segment with eight bits of the next one. Pairs are verified on the texts.
+
+Words alone do not tell which texts have common shingles, so near_duplicates() also takes the keys
+of shingled(): each joins the least of DEPTH hash orders of the shingles, which two texts of
+similarity J have in common with probability J^DEPTH whatever was edited. One of TURNS such keys
+is shared by all but (1 - J^DEPTH)^TURNS of the pairs, 1 in 97,000 at 0.8. Members of a key are
+first verified against its two ends; where they are of several classes after that, the texts of
+the group meet in one task and every pair of two classes is verified there (across()).
 
 Crowded keys are cut into blocks and every pair of blocks is one group, so no group has
-more than two blocks of rows; a group larger than ALL_PAIRS gives a spanning forest, not its pairs.
+more than two blocks of rows; a group of near() larger than ALL_PAIRS gives a spanning forest, not
+its pairs, and near_duplicates() relies on shingled() for the pairs that the forest stands for.
 
 Defined cases: a null text is empty; a text without words has fingerprint zero; a text of
 fewer words than a shingle is one shingle; repeated rows have one fingerprint; null
@@ -32,12 +39,16 @@ from aerolith.llm.exact import keep_rows
 from aerolith.session import store
 
 SEED = 42
+BASE = 0x9E3779B97F4A7C15
 SEGMENT = 23
 BANDS, BAND_BITS, MOST_BITS = 8, 8, 42
 SIMILARITY = 0.8
 SHINGLE = 5
 BLOCK = 4096
 ALL_PAIRS = 32
+#: Keys of a text's shingles, and the hash orders that each joins; texts of a block whose shingles are compared.
+TURNS, DEPTH = 16, 3
+TEXT_BLOCK = 1024
 #: Generator polynomial of the binary Golay code [23, 12, 7].
 GENERATOR = 0b110001110101
 
@@ -358,6 +369,91 @@ def _similar(size, least):
     return run
 
 
+def shingled(size):
+    """TURNS keys a text: the least shingles by DEPTH hash orders each. Texts without shingles have the same ones."""
+    draw = np.random.default_rng(SEED)
+    odd, turn = draw.integers(0, 1 << 63, (2, TURNS * DEPTH, 1), dtype=np.uint64)
+    odd = odd * np.uint64(2) + np.uint64(1)
+
+    def keys(data):
+        hashes = np.unique(shingle_hashes(data, size))
+        least = np.full(TURNS * DEPTH, np.iinfo(np.uint64).max)
+        for start in range(0, len(hashes), 1 << 12):
+            mixed = (hashes[start:start + (1 << 12)] ^ turn) * odd
+            mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(BASE)
+            least = np.minimum(least, (mixed ^ mixed >> np.uint64(29)).min(axis=1))
+        least = least.reshape(TURNS, DEPTH)
+        joined = np.arange(1, TURNS + 1, dtype=np.uint64)
+        for k in range(DEPTH):
+            joined = (joined ^ least[:, k]) * np.uint64(BASE)
+            joined ^= joined >> np.uint64(31)
+        return joined.view(np.int64)
+
+    def run(batches):
+        for batch in batches:
+            vertex, texts = (batch.column(batch.schema.get_field_index(n)) for n in ("vertex", "text"))
+            found = [keys(text.as_py()) for text in texts]
+            if found:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(found)), pa.array(np.repeat(vertex.to_numpy(), TURNS))], names=["key", "vertex"])
+
+    return run
+
+
+def across(sets, label, side, least):
+    """Links (i, j) of similar shingle sets of two classes, until no pair of two classes is unverified.
+
+    Of a pair of two classes one is not of the largest, so only the others are compared with all.
+    """
+    label, n = label.copy(), len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    owners, known = np.repeat(np.arange(n), sizes)[order], every[order]
+    names, counts = np.unique(label, return_counts=True)
+    out = []
+    for i in np.flatnonzero(label != names[counts.argmax()]):
+        starts, ends = np.searchsorted(known, sets[i]), np.searchsorted(known, sets[i], "right")
+        spans = ends - starts
+        flat = np.repeat(starts - np.append(0, np.cumsum(spans)[:-1]), spans) + np.arange(spans.sum()) if len(spans) else []
+        both = np.bincount(owners[flat], minlength=n) if len(flat) else np.zeros(n, np.int64)
+        good = (both >= least * (sizes + sizes[i] - both)) & (label != label[i])
+        if side is not None:
+            good &= side != side[i]
+        for j in np.flatnonzero(good):
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
+
+
+def _across(size, least):
+    """Links inside the groups of a sorted stream; a group goes on over the ends of batches."""
+    def close(vertex, own, label, sets, lo, hi):
+        # Between two blocks only links from one to the other are new.
+        links = across(sets, np.array(label), None if lo == hi else np.array(own), least)
+        a, b = ([vertex[pair[k]] for pair in links] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    def run(batches):
+        group, held = None, ([], [], [], [])
+        for batch in batches:
+            names = ("key", "lo", "hi", "vertex", "own", "class", "text")
+            key, lo, hi, vertex, own, label, text = (batch.column(batch.schema.get_field_index(n)) for n in names)
+            for i, here in enumerate(zip(key.to_pylist(), lo.to_pylist(), hi.to_pylist())):
+                if here != group:
+                    if group is not None:
+                        yield close(*held, *group[1:])
+                    group, held = here, ([], [], [], [])
+                for column, value in zip(held, (vertex[i].as_py(), own[i].as_py(), label[i].as_py(),
+                                                np.unique(shingle_hashes(text[i].as_py(), size)))):
+                    column.append(value)
+        if group is not None:
+            yield close(*held, *group[1:])
+
+    return run
+
+
 def near_duplicates(docs, id_col="doc_id", text_col="text", shingle=SHINGLE, similarity=SIMILARITY):
     """Rows (row, id, hash, root): root is the row of the smallest identifier of the class."""
     rows = fingerprints(docs, id_col, text_col)
@@ -365,20 +461,46 @@ def near_duplicates(docs, id_col="doc_id", text_col="text", shingle=SHINGLE, sim
     order = F.struct(F.col("id").isNull().alias("n"), F.col("id"), F.col("row"))
     firsts = store(rows.groupBy("hash").agg(F.min_by(F.struct("row", "id", "w0", "w1", "w2"), order).alias("f")).select(
         "hash", "f.*"), "texts")
-    pairs = store(near(firsts.withColumnRenamed("row", "vertex"), banded, MOST_BITS), "pairs")
-    ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # One text of each hash is enough, whichever row it comes from.
-    needed = firsts.select("hash", "row").join(ends, "row", "left_semi")
-    texts = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("hash"), text.cast("binary").alias("text"))
-    owners = needed.join(firsts.select("row", F.col("id").alias("i")), "row")
-    texts = texts.alias("t").join(owners.alias("o"), F.expr("t.hash = o.hash AND t.i <=> o.i")).select("o.row", "t.text")
-    # A row that repeats identifier and text would double the pair; distinct links are taken after.
-    left = texts.select(F.col("row").alias("a"), F.col("text").alias("s"))
-    right = texts.select(F.col("row").alias("b"), F.col("text").alias("t"))
-    verified = pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(
-        _similar(shingle, similarity), "a long, b long").distinct()
+    given = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text).alias("hash"), text.cast("binary").alias("text"))
+
+    def texts(rows):
+        owners = rows.join(firsts.select("row", F.col("id").alias("i"), "hash"), "row")
+        # A row that repeats identifier and text would double the pair; distinct links are taken after.
+        return given.alias("t").join(owners.alias("o"), F.expr("t.hash = o.hash AND t.i <=> o.i")).select("o.row", "t.text")
+
+    # Only keys of several texts go on; a text that is given twice has its keys once.
+    keyed = store(texts(firsts.select("row")).withColumnRenamed("row", "vertex").mapInArrow(
+        shingled(shingle), "key long, vertex long"), "keyed")
+    ends_of = store(keyed.groupBy("key").agg(F.min("vertex").alias("low"), F.max("vertex").alias("high")).where("low < high"), "ends")
+    members = store(keyed.join(ends_of, "key").distinct(), "members")
+    v = F.col("vertex")
+    stars = members.select(v.alias("a"), F.col("low").alias("b")).where("a > b").union(
+        members.select(F.col("high").alias("a"), v.alias("b")).where("a > b"))
+    pairs = store(near(firsts.withColumnRenamed("row", "vertex"), banded, MOST_BITS).union(stars).distinct(), "pairs")
+    ends = pairs.select(F.col("a").alias("row")).union(pairs.select(F.col("b").alias("row"))).distinct()
+    needed = texts(ends)
+    left = needed.select(F.col("row").alias("a"), F.col("text").alias("s"))
+    right = needed.select(F.col("row").alias("b"), F.col("text").alias("t"))
+    verified = store(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t").mapInArrow(
+        _similar(shingle, similarity), "a long, b long").distinct(), "verified")
     found = components(verified)
+    # Groups of several classes: every pair of two of them is compared. Of two members the one pair is verified already.
+    classed = members.join(found.withColumnRenamed("id", "v"), v == F.col("v"), "left").select(
+        "key", "vertex", F.coalesce("component_id", "vertex").alias("class"))
+    mixed = store(classed.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y")).where(
+        "n > 2 AND x < y").select("key", F.ceil(F.col("n") / TEXT_BLOCK).cast("long").alias("blocks")), "mixed")
+    if not mixed.isEmpty():
+        rows_in = store(classed.join(mixed, "key"), "open")
+        rows_in = rows_in.withColumn("own", F.pmod(F.xxhash64("vertex"), F.col("blocks")))
+        rows_in = rows_in.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows_in = rows_in.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+        shown = texts(rows_in.select(v.alias("row")).distinct()).withColumnRenamed("row", "vertex")
+        grouped = rows_in.join(shown, "vertex").select("key", "lo", "hi", "vertex", "own", "class", "text").repartition(
+            "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "vertex")
+        more = grouped.mapInArrow(_across(shingle, similarity), "a long, b long").distinct()
+        found = components(verified.union(more))
     named = firsts.join(found.withColumnRenamed("id", "v"), firsts["row"] == F.col("v"), "left").select(
         "hash", "row", "id", F.coalesce("component_id", "row").alias("class"))
     roots = named.groupBy("class").agg(F.min_by("row", order).alias("root"))

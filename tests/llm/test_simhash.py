@@ -167,3 +167,33 @@ def test_odd_rows(spark):
     assert len(classes) == len(rows)
     assert {r["component_id"] for r in classes if r["id"] in (3, 4)} == {3}
     assert simhash.classes(docs(spark, [])).count() == 0
+
+
+def test_a_link_in_a_crowd_of_equal_words_is_found(spark):
+    """Texts of the same words in other orders win every tree by bits; the one link must still be found."""
+    draw = random.Random(5)
+    words = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(200)]
+    rows = [(i, " ".join(draw.sample(words, 200))) for i in range(40)]
+    rows += [(100, " ".join(words)), (101, " ".join(words[:100] + ["zz"] + words[101:]))]
+    assert jaccard(rows[-1][1], rows[-2][1]) > 0.8
+    got = {r["id"]: r["root"] for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got[100] == got[101] and len(set(got.values())) == 41
+
+
+@pytest.mark.parametrize("block", [1024, 16])
+def test_classes_in_a_template_equal_brute_force(spark, block, monkeypatch):
+    """Texts that share most of a template, most of them under the similarity: groups of many classes."""
+    monkeypatch.setattr(simhash, "TEXT_BLOCK", block)
+    draw = random.Random(6)
+    words = ["".join(draw.choices("abcdefghij", k=6)) for _ in range(200)]
+    rows = []
+    for i in range(120):
+        fill = ["".join(draw.choices("qxzjk", k=6)) for _ in range(draw.choice([18, 22, 26, 30, 40]))]
+        rows.append((i, " ".join(words + fill)))
+        if i % 10 == 0:
+            rows.append((1000 + i, " ".join([*words[2:], *fill])))
+    text = dict(rows)
+    want = plain_classes(list(text), lambda a, b: jaccard(text[a], text[b]) >= 0.8)
+    got = {r["id"]: r["root"] for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    assert all((got[a] == got[b]) == (want[a] == want[b]) for a in text for b in text)
+    assert 1 < len(set(want.values())) < len(text)
