@@ -197,3 +197,31 @@ def test_classes_in_a_template_equal_brute_force(spark, block, monkeypatch):
     got = {r["id"]: r["root"] for r in simhash.near_duplicates(docs(spark, rows)).collect()}
     assert all((got[a] == got[b]) == (want[a] == want[b]) for a in text for b in text)
     assert 1 < len(set(want.values())) < len(text)
+
+
+def cut_and_extended(draw, pairs):
+    """Pairs of texts by kind of edit, each of similarity 0.8 to 0.93."""
+    def fresh(n):
+        return ["".join(draw.choices("abcdefghij", k=7)) for _ in range(n)]
+
+    kinds = {"404 words, 100 appended": (404, 0, 100), "404 words, 60 appended": (404, 0, 60), "24 words, 5 appended": (24, 0, 5),
+             "404 words, 44 dropped in front and 44 added": (404, 44, 44), "14 words, the first dropped": (14, 1, 0)}
+    for kind, (n, dropped, added) in kinds.items():
+        for _ in range(pairs):
+            words = fresh(n)
+            yield kind, " ".join(words), " ".join(words[dropped:] + fresh(added))
+
+
+def shares_found(spark, pairs):
+    rows, of = [], {}
+    for kind, a, b in cut_and_extended(random.Random(7), pairs):
+        assert jaccard(a, b) >= 0.8
+        of.setdefault(kind, []).append(len(rows))
+        rows += [(len(rows), a), (len(rows) + 1, b)]
+    got = {r["id"]: r["root"] for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    return {kind: sum(got[i] == got[i + 1] for i in ids) / len(ids) for kind, ids in of.items()}
+
+
+def test_cut_and_extended_texts_are_found(spark):
+    found = shares_found(spark, 200)
+    assert min(found.values()) >= 0.99, found
