@@ -3,8 +3,11 @@
 Documents fall into cells, one per combination of dimension values (source, language,
 topic). Iterative proportional fitting multiplies the cells' tokens by one factor per
 dimension value, in turn, until every marginal has its target share. A document's weight is
-the factor of its cell and it is drawn with a probability proportional to that factor, so
-the expected tokens of the sample have the target shares.
+the factor of its cell and it is drawn with the probability min(1, c * factor). c is solved over all
+cells so that the sample is expected to hold SHARE of the tokens, or more where no cell needs
+to be drawn for less. A cell that is whole before its share is reached is drawn whole, and its
+documents carry how often they are to be repeated (mix_repeats, 1 for all others): tokens times
+repeats have the target shares. So a tiny cell never shrinks the sample of the others.
 
 Only DataFrame functions; the fitting sees cells, never documents. Draws follow from a
 hash of the identifier: repeated tasks repeat them.
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 from aerolith.session import store
 
 ROUNDS = 8
+#: Share of the tokens that a sample is expected to hold at least.
+SHARE = 0.5
 WORDS = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[%$#&*!]"
 
@@ -59,11 +64,31 @@ def _targets(spark, cells, dim, wanted):
     return store(shares.select(dim, (F.col("goal") / F.lit(total)).alias("goal")), "goals")
 
 
-def rake(measured, targets, rounds=ROUNDS):
-    """Stored cells: dimension values, tokens, ratio, probability.
+def _scale(cells, share):
+    """(largest factor, c): tokens * min(1, c * ratio) add up to `share` of the tokens, to more if 1 / largest does.
+
+    Cells that c would draw more than whole are taken whole and c is solved for the others, until no more are.
+    """
+    mass = F.col("tokens") * F.col("ratio")
+    most, c, rest, total = cells.where("tokens > 0").agg(
+        F.max("ratio"), F.lit(0.0), F.sum(mass), F.sum("tokens").cast("double")).first()
+    wanted = share * total if total else 0.0
+    while most and rest:
+        whole = F.col("ratio") * F.lit(c) >= 1
+        full, rest = cells.agg(F.sum(F.when(whole, F.col("tokens").cast("double")).otherwise(0.0)),
+                               F.sum(F.when(whole, 0.0).otherwise(mass))).first()
+        if not rest or wanted <= full or (wanted - full) / rest <= c * (1 + 1e-12):
+            break
+        c = (wanted - full) / rest
+    return most, max(c, 1 / most) if most else None
+
+
+def rake(measured, targets, rounds=ROUNDS, share=SHARE):
+    """Stored cells: dimension values, tokens, ratio, probability, repeats.
 
     targets: dimension column to {value: share} or to an exponent. A round fits every
-    dimension once; after the last the factors are scaled so that the largest draws surely.
+    dimension once; after the last the factors are scaled to draw `share` of the tokens, or, if that
+    is None, so that the largest draws surely and no other does.
     """
     spark, dims = measured.sparkSession, list(targets)
     cells = store(measured.groupBy(*dims).agg(F.sum("mix_tokens").alias("tokens")), "cells")
@@ -78,9 +103,12 @@ def rake(measured, targets, rounds=ROUNDS):
                 F.col("m") > 0, F.coalesce("goal", F.lit(0.0)) * total / F.col("m")).otherwise(1.0).alias("factor"))
             fitted = fitted.join(factor, dim).select(*dims, "tokens", (F.col("ratio") * F.col("factor")).alias("ratio"))
         fitted = store(fitted, "raked")
-    most = fitted.where("tokens > 0").agg(F.max("ratio")).first()[0]
-    share = F.least(F.lit(1.0), F.col("ratio") / F.lit(most)) if most else F.lit(1.0)
-    return fitted.select(*dims, "tokens", "ratio", share.alias("probability"))
+    most, scale = _scale(fitted, share or 0.0)
+    # Divided by the largest where that is the scale, so that the largest is 1 to the last bit.
+    scaled = F.lit(1.0) if not most else F.col("ratio") / F.lit(most) if scale * most <= 1 else F.col("ratio") * F.lit(scale)
+    # A cell without tokens has a factor that no token stands for.
+    repeats = F.when(F.col("tokens") > 0, F.greatest(F.lit(1.0), scaled)).otherwise(1.0)
+    return fitted.select(*dims, "tokens", "ratio", F.least(F.lit(1.0), scaled).alias("probability"), repeats.alias("repeats"))
 
 
 def uniform(key):
@@ -89,8 +117,9 @@ def uniform(key):
 
 
 def draw(measured, cells, dims):
-    """measured with mix_weight, mix_probability, mix_kept. A hot cell is split by adaptive joins."""
-    named = cells.select(*dims, F.col("ratio").alias("mix_weight"), F.col("probability").alias("mix_probability"))
+    """measured with mix_weight, mix_probability, mix_repeats, mix_kept. A hot cell is split by adaptive joins."""
+    named = cells.select(*dims, F.col("ratio").alias("mix_weight"), F.col("probability").alias("mix_probability"),
+                         F.col("repeats").alias("mix_repeats"))
     drawn = measured.join(named, dims)
     return drawn.withColumn("mix_kept", uniform(F.col("mix_id")) < F.col("mix_probability"))
 
@@ -98,10 +127,10 @@ def draw(measured, cells, dims):
 DIMS = ["mix_source", "mix_lang", "mix_topic"]
 
 
-def sample(docs, targets, rounds=ROUNDS):
-    """The drawn rows of docs with their own columns."""
+def sample(docs, targets, rounds=ROUNDS, share=SHARE):
+    """The drawn rows of docs with their own columns, each once: what a whole cell lacks is in draw()'s mix_repeats."""
     measured = measure(docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "text", "source", "lang"))
-    cells = rake(measured, dict(zip(DIMS, targets)), rounds)
+    cells = rake(measured, dict(zip(DIMS, targets)), rounds, share)
     return draw(measured, cells, DIMS).where("mix_kept").select("whole.*")
 
 

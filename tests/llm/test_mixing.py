@@ -83,3 +83,17 @@ def test_no_python_on_the_way(spark):
     cells = mixing.rake(measured, dict.fromkeys(mixing.DIMS, 0.7))
     plan = mixing.draw(measured, cells, mixing.DIMS)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_tiny_cell_does_not_shrink_the_sample(spark):
+    """One short document of its own source beside many; the rest is still drawn, the tiny cell repeated."""
+    many = [(i, "w " * 200, "en" if i % 3 else "fr", "ab"[i % 2]) for i in range(3000)]
+    given = docs(spark, [*many, (9999, "w", "en", "odd")])
+    drawn = [r["doc_id"] for r in mixing.sample(given, (0.7, 0.7, 0.7)).select("doc_id").collect()]
+    assert 9999 in drawn and abs(len(drawn) / len(many) - mixing.SHARE) < 0.05
+    cells = mixing.rake(mixing.measure(given), dict.fromkeys(mixing.DIMS, 0.7)).toPandas()
+    assert (cells.tokens * cells.probability).sum() == pytest.approx(mixing.SHARE * cells.tokens.sum(), rel=1e-6)
+    tiny = cells[cells.mix_source == "odd"]
+    assert tiny.probability.item() == 1.0 and tiny.repeats.item() > 1
+    mass, drawn = cells.tokens * cells.ratio, cells.tokens * cells.probability * cells.repeats
+    assert (drawn / drawn.sum()).tolist() == pytest.approx((mass / mass.sum()).tolist())
