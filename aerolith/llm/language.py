@@ -1,7 +1,7 @@
 """Language of web pages by Bayesian fusion of four kinds of evidence.
 
 Text: likelihood of the page's character trigrams in each language, from documents of
-known language (a bounded sample, FIT_ROWS; every page is scored on its whole text). Markup: the
+known language (all languages, at most FIT_ROWS documents of each; every page is scored on its whole text). Markup: the
 language a page declares. Address: the last label of its host. Host: how often each
 language is seen on the host, smoothed towards its domain, which is smoothed towards all pages.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from aerolith.session import store
 
-#: Documents the trigram tables are fitted on, about.
+#: Documents of a language that its trigram table is fitted on, about; a language with fewer gives all.
 FIT_ROWS = 20_000
 BUCKETS = 1 << 15
 #: Trigrams after which a text's evidence no longer grows in proportion.
@@ -97,14 +97,19 @@ def _count(names):
 
 
 def learn(docs, text_col="text", lang_col="lang", id_col="doc_id", rows=FIT_ROWS):
-    """Trigram tables from about `rows` documents of known language, drawn by a hash of the identifier."""
+    """Trigram tables of every language, each from about `rows` of its documents at most, drawn by a hash of identifier and text."""
     known = docs.select(F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                         F.lower(F.col(lang_col).cast("string")).alias("lang")).where("lang IS NOT NULL AND lang <> ''")
-    share = min(1.0, rows / max(1, known.count()))
-    drawn = store(known.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", "lang"), "known")
-    names = sorted(r["lang"] for r in drawn.select("lang").distinct().collect())
+    # One row per language; names come from all documents, never from the sample.
+    of_lang = known.groupBy("lang").count().select(
+        "lang", F.ceil(F.lit(float(rows)) / F.col("count") * (1 << 31)).cast("long").alias("bound"))
+    bounds = {r["lang"]: r["bound"] for r in of_lang.collect()}
+    names = sorted(bounds)
+    # Rows that share an identifier are drawn apart by their texts.
+    drawn = known.join(of_lang, "lang").where(F.pmod(F.xxhash64("i", "text"), F.lit(1 << 31)) < F.col("bound")).select("text", "lang")
     counts = np.zeros((BUCKETS, len(names)))
     if names:
+        drawn = store(drawn, "known")
         parts = drawn.mapInArrow(_count(names), "bucket long, lang long, n long").groupBy("bucket", "lang").agg(F.sum("n").alias("n"))
         for r in parts.collect():  # at most BUCKETS rows per language
             counts[r["bucket"], r["lang"]] = r["n"]

@@ -77,3 +77,13 @@ def test_odd_pages(spark, model):
     assert language.identify(pages.limit(0), model).count() == 0
     nothing = language.learn(spark.createDataFrame([], "doc_id long, text string, lang string"))
     assert [r["lang"] for r in language.identify(pages, nothing).collect()] == [None] * len(rows)
+
+
+def test_a_rare_language_is_in_the_model_at_every_size(spark):
+    """Names come from all documents and each language has a sample of its own."""
+    rows = [(i, "the house and the garden", "en") for i in range(3000)] + [(5000 + i, "það var þó ekki hægt", "is") for i in range(3)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=100)
+    assert model.names == ["en", "is"]
+    assert model.names[int(model.evidence("ekki var það hægt").argmax())] == "is"
+    # Both tables are learnt, not smoothing alone.
+    assert all(len(np.unique(model.log[:, k])) > 1 for k in range(2))
