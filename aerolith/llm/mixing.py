@@ -18,13 +18,15 @@ marginal that holds no tokens keeps its factor, so a table without any word is d
 "null"; rows that repeat an identifier are drawn alike; an empty table gives an empty result.
 """
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from aerolith.session import store
 
-ROUNDS = 8
+#: Rounds of the fit at least, and at most; the largest relative error of a marginal that ends it.
+ROUNDS, MOST_ROUNDS, TOLERANCE = 8, 100, 1e-6
 #: Share of the tokens that a sample is expected to hold at least.
 SHARE = 0.5
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -83,11 +85,22 @@ def _scale(cells, share):
     return most, max(c, 1 / most) if most else None
 
 
-def rake(measured, targets, rounds=ROUNDS, share=SHARE):
+def _error(cells, goals, total):
+    """Largest relative error of the marginals against the goals of values that hold tokens."""
+    worst = []
+    for dim, wanted in goals.items():
+        now = cells.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("ratio")).alias("m"))
+        worst.append(now.join(wanted, dim).where("m > 0 AND goal > 0").select(
+            F.abs(F.col("m") / (F.col("goal") * total) - 1).alias("off")))
+    return reduce(lambda a, b: a.union(b), worst).agg(F.max("off")).first()[0] or 0.0
+
+
+def rake(measured, targets, rounds=None, share=SHARE):
     """Stored cells: dimension values, tokens, ratio, probability, repeats.
 
     targets: dimension column to {value: share} or to an exponent. A round fits every
-    dimension once; after the last the factors are scaled to draw `share` of the tokens, or, if that
+    dimension once; rounds go on until every marginal is within TOLERANCE, or for `rounds` if that is
+    given. Targets that are not met after the last are reported as a warning. After the last the factors are scaled to draw `share` of the tokens, or, if that
     is None, so that the largest draws surely and no other does.
     """
     spark, dims = measured.sparkSession, list(targets)
@@ -95,14 +108,19 @@ def rake(measured, targets, rounds=ROUNDS, share=SHARE):
     goals = {dim: _targets(spark, cells, dim, wanted) for dim, wanted in targets.items()}
     fitted = cells.withColumn("ratio", F.lit(1.0))
     total = F.lit(cells.agg(F.sum("tokens").cast("double")).first()[0])
-    for _ in range(rounds):
+    done, off = 0, None
+    while done < (rounds or ROUNDS) or (rounds is None and off > TOLERANCE and done < MOST_ROUNDS):
         for dim in dims:
             mass = F.col("tokens") * F.col("ratio")
             now = fitted.groupBy(dim).agg(F.sum(mass).alias("m")).join(goals[dim], dim, "left")
             factor = now.select(dim, F.when(
                 F.col("m") > 0, F.coalesce("goal", F.lit(0.0)) * total / F.col("m")).otherwise(1.0).alias("factor"))
             fitted = fitted.join(factor, dim).select(*dims, "tokens", (F.col("ratio") * F.col("factor")).alias("ratio"))
-        fitted = store(fitted, "raked")
+        fitted, done = store(fitted, "raked"), done + 1
+        if done >= (rounds or ROUNDS):
+            off = _error(fitted, goals, total)
+    if off > TOLERANCE:
+        warnings.warn(f"after {done} rounds a marginal is off its target share by {off:.2g} of it")
     most, scale = _scale(fitted, share or 0.0)
     # Divided by the largest where that is the scale, so that the largest is 1 to the last bit.
     scaled = F.lit(1.0) if not most else F.col("ratio") / F.lit(most) if scale * most <= 1 else F.col("ratio") * F.lit(scale)
@@ -127,7 +145,7 @@ def draw(measured, cells, dims):
 DIMS = ["mix_source", "mix_lang", "mix_topic"]
 
 
-def sample(docs, targets, rounds=ROUNDS, share=SHARE):
+def sample(docs, targets, rounds=None, share=SHARE):
     """The drawn rows of docs with their own columns, each once: what a whole cell lacks is in draw()'s mix_repeats."""
     measured = measure(docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "text", "source", "lang"))
     cells = rake(measured, dict(zip(DIMS, targets)), rounds, share)

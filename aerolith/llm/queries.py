@@ -75,8 +75,8 @@ def mixing_weights(spark, sf_dir):
     """Per document: its cell, raked weight, probability and whether it is drawn."""
     measured = store(mixing.measure(table(spark, sf_dir, "documents")).select(
         "doc_id", "mix_id", "mix_tokens", *mixing.DIMS), "measured")
-    # The SQL draws the largest factor surely and no other.
-    cells = mixing.rake(measured, dict(zip(mixing.DIMS, TEMPER)), share=None)
+    # The SQL fits this many rounds, draws the largest factor surely and no other.
+    cells = mixing.rake(measured, dict(zip(mixing.DIMS, TEMPER)), rounds=mixing.ROUNDS, share=None)
     return mixing.draw(measured, cells, mixing.DIMS).select(
         "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"),
         F.col("mix_tokens").alias("tokens"), F.round("mix_weight", 6).alias("weight"),

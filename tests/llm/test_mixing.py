@@ -97,3 +97,15 @@ def test_a_tiny_cell_does_not_shrink_the_sample(spark):
     assert tiny.probability.item() == 1.0 and tiny.repeats.item() > 1
     mass, drawn = cells.tokens * cells.ratio, cells.tokens * cells.probability * cells.repeats
     assert (drawn / drawn.sum()).tolist() == pytest.approx((mass / mass.sum()).tolist())
+
+
+def test_production_rounds_reach_the_targets(spark):
+    """Nearly nested cells settle slowly; the fit goes on until every marginal has its share."""
+    rows = [(i, "w " * (5 if i % 2 else 150), lang, source) for i, (source, lang) in enumerate(
+        [("a", "en")] * 60 + [("b", "fr")] * 30 + [("c", "de")] * 20 + [("a", "fr")] * 10 + [("b", "de")] * 10 + [("c", "en")] * 10)]
+    wanted = {"mix_source": {"a": 0.3, "b": 0.4, "c": 0.3}, "mix_lang": {"en": 0.35, "fr": 0.3, "de": 0.35}, "mix_topic": 0.7}
+    cells = mixing.rake(mixing.measure(docs(spark, rows)), wanted).toPandas()
+    mass = cells.tokens * cells.ratio
+    for dim in ("mix_source", "mix_lang"):
+        got = (mass.groupby(cells[dim]).sum() / mass.sum()).to_dict()
+        assert got == {k: pytest.approx(v, rel=1e-5) for k, v in wanted[dim].items()}
