@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from aerolith.llm import exact, language, mixing, packing, passages, secretscan, simhash, toxicity, vectors, warc
+from aerolith.llm import (
+    bitsliced, exact, language, mixing, packing, passages, resample, secretscan, sharding, simhash, toxicity, vectors, warc,
+)
 from aerolith.session import prepare, scratch, store
 
 QUERIES = {}
@@ -152,3 +154,64 @@ def page_languages(spark, sf_dir):
     """Per page: the language that text, markup, address and host make likeliest."""
     model = language.learn(table(spark, sf_dir, "documents"))
     return language.identify(table(spark, sf_dir, "pages"), model).drop("posterior").withColumnRenamed("id", "page_id")
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query("op11_search", f"""
+WITH found AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+held AS (SELECT doc_id, term, count(*) AS tf FROM found GROUP BY ALL),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM held GROUP BY 1),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM sizes),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM held, totals GROUP BY term, docs),
+wanted AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // length)))))::BIGINT AS score
+  FROM wanted JOIN weights USING (term) JOIN held USING (term) JOIN sizes USING (doc_id), totals GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+""")
+def ranked_search(spark, sf_dir):
+    """Per benchmark item: its fifty best documents of all."""
+    index = bitsliced.Index(table(spark, sf_dir, "documents"))
+    return bitsliced.search(index, table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
+
+
+@query("op12_sharding", sharding.oracle(40))
+def shard_places(spark, sf_dir):
+    """Per document: its shard of 40, its position there, and its shard if there were one more."""
+    found = sharding.assign(table(spark, sf_dir, "documents"), sharding.grid(40), sharding.grid(41))
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_RUNS = f"""list_concat(ws, list_transform(list_zip(ws[:-2], ws[2:]), lambda p: p[1] || ' ' || p[2]))"""
+
+
+@query("op13_resample", f"""
+WITH own AS (SELECT doc_id, len(ws) AS n_words, {_RUNS} AS fs FROM (SELECT doc_id, {_WORDS} AS ws FROM documents)),
+each AS (SELECT doc_id, unnest(fs) AS f FROM own),
+target AS (SELECT unnest({_RUNS}) AS f FROM (SELECT {_WORDS} AS ws FROM benchmark)),
+sums AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(f)), '..'),
+      lambda x: ('0x' || x)::BIGINT)), lambda v, b: {sharding.nibble_steps('v', 'b')}), 4294967295) % 10000 AS bucket
+  FROM (SELECT f FROM each UNION SELECT f FROM target)),
+s AS (SELECT bucket, count(*) AS s FROM each JOIN sums USING (f) GROUP BY 1),
+t AS (SELECT bucket, count(*) AS t FROM target JOIN sums USING (f) GROUP BY 1),
+gains AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM each) + 10000)
+      / ((s + 1)::DOUBLE * ((SELECT count(*) FROM target) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+weights AS (SELECT doc_id, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM each JOIN sums USING (f) JOIN gains USING (bucket) GROUP BY 1),
+scored AS (
+  SELECT doc_id, n_words, len(fs) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln((
+      ('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5) / 4294967296.0)))::BIGINT AS score
+  FROM own LEFT JOIN weights USING (doc_id)),
+ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank FROM ranked
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE n_words < 20
+""")
+def importance_resample(spark, sf_dir):
+    """Per document: how much likelier its features are in the benchmark, and its place in the draw."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")
