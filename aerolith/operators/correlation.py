@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aerolith.functions.columns import safe_corr
-from aerolith.operators.series import KEY, TS, with_frames
+from aerolith.operators.series import KEY, TS, row_blocks
 
 Z95 = 1.959963984540054
 
@@ -40,21 +40,42 @@ def partners(correlations, threshold=0.85, by=(KEY,)):
     return correlations.where(F.abs("corr") > threshold).select(*by, F.inline(both))
 
 
-def acf(df, value="us_aqi", lags=120, key=KEY, ts=TS):
+def lagged_sums(df, value, lags, key=KEY, ts=TS, block=None):
+    """Per series and lag 0 to ``lags``: the sum of products of a value with its past, and how many there are.
+
+    A block of rows and the ``lags`` rows before it meet in one task, which sums all lags at once; a block gives one row
+    with its sums, whatever its length.
+    """
+    dealt = row_blocks(df.select(key, ts, value), before=lags, key=key, ts=ts, block=block)
+
+    def products(rows):
+        rows = rows.sort_values("_idx")
+        x, own = rows[value].to_numpy(), (rows["_own"] == rows["_block"]).to_numpy()
+        # A block behind the end of the series holds a halo alone.
+        first = int(own.argmax()) if own.any() else len(x)
+        mine = x[first:]
+        sums, counts = [], []
+        for lag in range(lags + 1):
+            past = x[max(0, first - lag):max(0, len(x) - lag)] if len(mine) else mine
+            sums.append(float(mine[len(mine) - len(past):] @ past))
+            counts.append(len(past))
+        return pd.DataFrame({key: [rows[key].iloc[0]], "sums": [sums], "counts": [counts]})
+
+    parts = dealt.groupBy(key, "_block").applyInPandas(products, f"{key} string, sums array<double>, counts array<long>")
+    each = parts.select(key, F.posexplode(F.arrays_zip("sums", "counts")).alias("lag", "p"))
+    return each.groupBy(key, "lag").agg(F.sum("p.sums").alias("_sum"), F.sum("p.counts").alias("_c"))
+
+
+def acf(df, value="us_aqi", lags=120, key=KEY, ts=TS, block=None):
     """Autocorrelation at lags 1 to ``lags`` rows with its 95 % band.
 
-    Null values are dropped first; sums are divided by the full length. One ordered
-    pass gives each row its recent past, whose products are summed per lag; the band
-    follows from the few resulting rows.
+    Null values are dropped first; sums are divided by the full length. The band follows
+    from the few resulting rows.
     """
     known = df.where(F.col(value).isNotNull()).select(key, ts, F.col(value).alias("_v"))
     means = known.groupBy(key).agg(F.avg("_v").alias("_m"))
     centred = known.join(means, key).select(key, ts, (F.col("_v") - F.col("_m")).alias("x"))
-    past = with_frames(
-        centred, lambda f: {"past": F.collect_list("x").over(f.last(lags + 1))}, before=lags, key=key, ts=ts)
-    products = past.select(key, "x", F.size("past").alias("_s"), F.posexplode("past").alias("_p", "_x"))
-    sums = products.groupBy(key, (F.col("_s") - 1 - F.col("_p")).alias("lag")).agg(
-        F.sum(F.col("x") * F.col("_x")).alias("_sum"), F.count("*").alias("_c"))
+    sums = lagged_sums(centred, "x", lags, key, ts, block).where("_c > 0")
     station = Window.partitionBy(key).orderBy("lag")
     whole = station.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     long = sums.select(

@@ -6,21 +6,10 @@ from pyspark.sql import functions as F
 
 from aerolith import session
 from aerolith.functions.columns import safe_corr
-from aerolith.operators import correlation, models, splits
+from aerolith.operators import correlation, models, splits, walks
 from aerolith.operators.series import KEY, TS
 
 
-def _numbers(columns):
-    return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns])
-
-
-def background(df, columns, rows=50, key=KEY, ts=TS):
-    """A fixed-size reference set in one row, picked by the hash of the key."""
-    picked = df.select(F.xxhash64(key, ts).alias("_h"), key, ts, _numbers(columns).alias("_v")).orderBy(
-        "_h", key, ts).limit(rows)
-    return picked.agg(F.collect_list("_v").alias("_background"))
-
-
 def is_linear(model):
     """A scaler and a linear regression, with nothing between."""
     return len(model.stages) == 2 and isinstance(model.stages[-1], LinearRegressionModel)
@@ -35,54 +24,11 @@ def exact_shapley(model, df, columns, key=KEY, ts=TS):
     return df.select(key, ts, F.inline(rows)).withColumn("base", F.lit(float(model.stages[-1].intercept)))
 
 
-def shapley(model, df, columns, reference=None, samples=100, key=KEY, ts=TS):
-    """Shapley values of a pipeline: exact ones if it is linear, else sampled ones."""
+def shapley(model, df, columns, train=None, samples=100, key=KEY, ts=TS):
+    """Shapley values of a pipeline: exact ones if it is linear, else sampled ones against all rows of `train`."""
     if is_linear(model):
         return exact_shapley(model, df, columns, key, ts)
-    return sampled_shapley(model, df, columns, reference, samples, key, ts)
-
-
-def sampled_shapley(model, df, columns, reference, samples=100, key=KEY, ts=TS):
-    """Sampled Shapley values of any pipeline (Castro, Gomez and Tejada, 2009).
-
-    Each row walks ``samples`` random feature orders from a background row to
-    itself; the change in prediction when a feature joins is its share. The walk
-    is laid out as rows, scored in bulk and summed, so the work spreads over the
-    cluster and the sums combine before the shuffle. Orders follow from a hash of
-    the key, so a repeated task repeats its numbers.
-
-    Long result: key, time, feature, value, base. Values add up to the prediction
-    minus base exactly.
-    """
-    size = len(columns)
-    places = F.sequence(F.lit(0), F.lit(size - 1))
-    walks = (
-        df.select(key, ts, _numbers(columns).alias("_x"))
-        .withColumn("_background", reference.scalar())
-        .withColumn("_s", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-        .withColumn("_h", F.xxhash64(key, ts, "_s"))
-    )
-    chosen = F.get("_background", F.pmod(F.xxhash64("_h", F.lit(-1)), F.size("_background")).cast("int"))
-    shuffled = F.array_sort(F.transform(places, lambda j: F.struct(F.xxhash64("_h", j).alias("h"), j.alias("j"))))
-    walks = walks.select(key, ts, "_x", chosen.alias("_b"), F.transform(shuffled, lambda p: p["j"]).alias("_order"))
-    walks = walks.withColumn(
-        "_rank", F.transform(places, lambda j: F.array_position("_order", j) - 1)
-    ).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(size))))
-    mixed = F.transform(places, lambda j: F.when(F.get("_rank", j) < F.col("_k"), F.get("_x", j)).otherwise(F.get("_b", j)))
-    walks = walks.withColumn("_z", mixed).select(
-        key, ts, "_k", "_order", *[F.get("_z", F.lit(i)).alias(c) for i, c in enumerate(columns)])
-    scored = models.predict(model, walks, "_f").select(key, ts, "_k", "_order", "_f")
-    joined = F.struct(F.get("_order", F.col("_k") - 1).alias("j"), F.col("_f").alias("v"))
-    joining = F.struct(F.get("_order", F.col("_k")).alias("j"), (-F.col("_f")).alias("v"))
-    start = F.struct(F.lit(-1).alias("j"), F.when(F.col("_k") == 0, F.col("_f")).alias("v"))
-    parts = scored.select(key, ts, F.inline(F.array(joined, joining, start))).where("j IS NOT NULL AND v IS NOT NULL")
-    sums = parts.groupBy(key, ts, "j").agg((F.sum("v") / samples).alias("value"))
-    names = F.array(*[F.lit(c) for c in columns])
-    per_row = sums.groupBy(key, ts).agg(
-        F.max(F.when(F.col("j") == -1, F.col("value"))).alias("base"),
-        F.collect_list(F.when(F.col("j") >= 0, F.struct("j", "value"))).alias("_values"))
-    return per_row.select(key, ts, "base", F.inline("_values")).select(
-        key, ts, F.get(names, F.col("j")).alias("feature"), "value", "base")
+    return walks.sampled(model, df, columns, walks.Reference(train, columns), samples, key, ts)
 
 
 def linear_shapley(df, params, key=KEY, ts=TS):
@@ -123,7 +69,7 @@ def fold_importance(df, columns, label, config, n_splits=3, samples=100):
     for fold in range(1, n_splits + 1):
         train, test = splits.one_fold(rows, fold, n_splits)
         model = models.fit(train, columns, label, config)
-        values = shapley(model, test, columns, background(train, columns), samples)
+        values = shapley(model, test, columns, train, samples)
         tables.append(values.groupBy("feature").agg(F.avg(F.abs("value")).alias("importance")).withColumn(
             "fold", F.lit(fold)))
     long = tables[0]
@@ -197,7 +143,7 @@ def report(df, columns, label, config, n_splits=3, samples=100, least=0.01, corr
     rows = session.store(splits.embargoed(df), "explained")
     train, test = rows.where("split = 'train'").drop("split"), rows.where("split = 'test'").drop("split")
     model = models.fit(train, columns, label, config)
-    values = session.store(shapley(model, test, columns, background(train, columns), samples), "shapley")
+    values = session.store(shapley(model, test, columns, train, samples), "shapley")
     named = {name: first_match(columns, words) for name, words, _, _ in RULES}
     effects = values.groupBy(KEY, TS).agg(*[
         F.max(F.when(F.col("feature") == c, F.col("value"))).alias(f"{c}__effect")

@@ -6,6 +6,7 @@ machine or an ordered booster, in the same roles.
 """
 
 import math
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -20,11 +21,12 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import functions as F
 
 from aerolith import session
-from aerolith.operators import metrics, scaling, splits
+from aerolith.operators import gram, metrics, scaling, splits
 from aerolith.operators.features import HORIZONS, missing_count
 from aerolith.operators.series import KEY, TS
 
 FLOOR = 30.0
+RIDGE = {"elasticNetParam": 0.0, "regParam": 1e-2, "standardization": False}
 
 
 class ScaledVector(Transformer, HasInputCols, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -91,15 +93,19 @@ class FourierFeatures(Transformer, HasInputCol, HasOutputCol, DefaultParamsReada
         self._setDefault(size=256, seed=42)
         self._set(**self._input_kwargs)
 
-    def _transform(self, dataset):
+    def frequencies(self):
+        """Frequencies and phases of the map."""
         width, size, seed = (self.getOrDefault(p) for p in (self.width, self.size, self.seed))
+        draw = np.random.default_rng(seed)
+        # gamma = 1 / width on scaled inputs
+        return draw.normal(0.0, math.sqrt(2.0 / width), (width, size)), draw.uniform(0.0, 2.0 * math.pi, size)
+
+    def _transform(self, dataset):
+        frequencies, phases = self.frequencies()
+        size = len(phases)
 
         @F.pandas_udf("array<double>")
         def to_fourier(x: pd.Series) -> pd.Series:
-            draw = np.random.default_rng(seed)
-            # gamma = 1 / width on scaled inputs
-            frequencies = draw.normal(0.0, math.sqrt(2.0 / width), (width, size))
-            phases = draw.uniform(0.0, 2.0 * math.pi, size)
             if not len(x):
                 return pd.Series([], dtype=object)
             return pd.Series(list(math.sqrt(2.0 / size) * np.cos(np.vstack(x.to_numpy()) @ frequencies + phases)))
@@ -137,7 +143,7 @@ def pipeline(columns, label, config):
             "loss": "huber", "regParam": 1e-3, "standardization": False, "maxIter": 100, **options})
         return Pipeline(stages=[scale, fourier, linear])
     estimators = {
-        "ridge": (LinearRegression, {"elasticNetParam": 0.0, "regParam": 1e-2, "standardization": False}),
+        "ridge": (LinearRegression, RIDGE),
         "forest": (RandomForestRegressor, {"numTrees": 100, "seed": 42}),
         "boosted": (GBTRegressor, {"stepSize": 0.03, "maxDepth": 6, "maxIter": 500, "seed": 42,
                                    "checkpointInterval": 10}),
@@ -224,52 +230,97 @@ def importances(model, columns, limit=6, least=1.0):
                       F.bround("gain", 1).alias("impact"), F.lit("tree gain").alias("method"))
 
 
-def _rmse(df, truth, pred):
-    return metrics.regression(df.withColumn("_all", F.lit(1)), truth, pred, ["_all"]).first().rmse
+def _penalty(config):
+    if config.model != "ridge" or config.weight or set(config.options) - {"regParam"}:
+        raise ValueError("an unweighted ridge is solved from sums of products; other models are fitted")
+    return config.options.get("regParam", RIDGE["regParam"])
 
 
 def feature_search(df, base, candidates, label, config=None, least=0.005):
     """Try candidate features one after another on the validation part.
 
     A candidate stays when the validation RMSE falls and its mean absolute
-    attribution reaches ``least``. Every trial is returned. The loop runs over
-    candidates; each trial is one distributed fit.
+    attribution reaches ``least``. Every trial is returned. One pass over the training and validation rows
+    gives the sums of products of all columns; every ridge trial is solved from them, whatever the number of candidates.
     """
-    from aerolith.operators.explain import linear_contributions
-
     config = config or Config("ridge")
-    train, held = df.where("split = 'train'"), df.where("split = 'validation'")
-    kept, trials = list(base), []
-    best = _rmse(predict(fit(train, kept, label, config), held), label, "pred")
-    for candidate in candidates:
-        columns = kept + [candidate]
-        model = fit(train, columns, label, config)
-        rmse = _rmse(predict(model, held), label, "pred")
-        effect = linear_contributions(model, held, columns)[candidate]
-        attribution = held.agg(F.avg(F.abs(effect)).alias("a")).first().a
-        accepted = rmse < best and attribution >= least
-        trials.append((candidate, best, rmse, rmse - best, attribution, accepted))
+    if config.scaler not in ("standard", "none"):
+        raise ValueError("a search scales by deviation or not at all")
+    reg, columns = _penalty(config), list(base) + list(candidates)
+    rows = df.where("split IN ('train', 'validation')")
+    train = rows.where("split = 'train'")
+    medians = train.select(*[F.col(c).cast("double").alias(c) for c in columns]).approxQuantile(columns, [0.5], 0.001)
+    fill = {c: m[0] for c, m in zip(columns, medians) if m}
+    sums = gram.gram(rows, columns, label, "split", fill)
+    fit_on, held = sums.of("train"), sums.of("validation")
+    centre = gram.moments(fit_on)[1] + sums.shift
+    distance = rows.where((F.col("split") == "validation") & F.col(label).isNotNull()).agg(*[
+        F.avg(F.abs(F.coalesce(F.col(c).cast("double"), F.lit(float(fill.get(c, m)))) - F.lit(float(m)))).alias(c)
+        for c, m in zip(columns, centre)]).first()
+    scale = np.ones(len(columns)) if config.scaler == "none" else None
+
+    def trial(chosen):
+        slopes, intercept = gram.ridge(fit_on, chosen, reg, scale)
+        return slopes, gram.rmse(held, chosen, slopes, intercept)
+
+    kept, trials = list(range(len(base))), []
+    best = trial(kept)[1]
+    for number in range(len(base), len(columns)):
+        slopes, error = trial(kept + [number])
+        attribution = float(abs(slopes[-1]) * distance[number])
+        accepted = bool(error < best and attribution >= least)
+        trials.append((columns[number], best, error, error - best, attribution, accepted))
         if accepted:
-            kept, best = columns, rmse
+            kept, best = kept + [number], error
     schema = "feature string, rmse_before double, rmse double, delta double, attribution double, accepted boolean"
-    return kept, df.sparkSession.createDataFrame(trials, schema)
+    return [columns[i] for i in kept], df.sparkSession.createDataFrame(trials, schema)
+
+
+def ridge_folds(df, columns, label, config, n_splits=5):
+    """RMSE of a ridge per fold, without refitting: sums of products of the stretches between fold edges, added up.
+
+    Rows that play the same parts in all folds form a stretch. Only the robust scaler, whose
+    quartiles do not add up, reads the training rows of the folds once more.
+    """
+    reg = _penalty(config)
+    parts = session.store(splits.fold_parts(df, n_splits), "parts")
+    sums = gram.gram(parts, columns, label, "parts")
+    scales = {}
+    if config.scaler == "robust":
+        each = parts.where(F.col(label).isNotNull()).withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(n_splits)))).where(
+            F.substring("parts", F.col("fold"), F.lit(1)) == "T")
+        found = {(r.fold, r.feature): r.scale for r in scaling.fit(each, columns, "robust", ["fold"]).collect()}
+        scales = {f: np.array([found.get((f, c), 1.0) for c in columns]) for f in range(1, n_splits + 1)}
+    out, chosen = [], np.arange(len(columns))
+    for fold in range(1, n_splits + 1):
+        train, test = (sums.of(*[g for g in sums.matrices if g[fold - 1] == role]) for role in "Tt")
+        if not train[0, 0] or not test[0, 0]:
+            continue
+        scale = np.ones(len(columns)) if config.scaler == "none" else scales.get(fold)
+        out.append((fold, gram.rmse(test, chosen, *gram.ridge(train, chosen, reg, scale))))
+    return df.sparkSession.createDataFrame(out, "fold int, rmse double")
 
 
 def compare_by_fold(df, columns, label, configs, n_splits=5):
-    """RMSE of each model on the same folds and the paired difference to the first."""
+    """RMSE of each model on the same folds and the paired difference to the first. A ridge is solved from sums of products, others are refitted."""
     rows = session.store(splits.indexed(df), "numbered")
-    names, tables = list(configs), []
-    for fold in range(1, n_splits + 1):
+    names, solved, tables = list(configs), [], []
+    for name in names:
+        if configs[name].model == "ridge" and not configs[name].weight:
+            solved.append(ridge_folds(rows, columns, label, configs[name], n_splits).select(
+                "fold", F.lit(name).alias("model"), "rmse"))
+    fitted = [n for n in names if configs[n].model != "ridge" or configs[n].weight]
+    for fold in range(1, n_splits + 1) if fitted else ():
         train, test = splits.one_fold(rows, fold, n_splits)
-        if any(c.weight for c in configs.values()):
+        if any(configs[n].weight for n in fitted):
             train = with_weights(train)
-        for name in names:
+        for name in fitted:
             held = predict(fit(train, columns, label, configs[name]), test)
             tables.append(held.select(F.lit(fold).alias("fold"), F.lit(name).alias("model"), F.col(label).alias("truth"), "pred"))
-    long = tables[0]
-    for table in tables[1:]:
-        long = long.unionByName(table)
-    scores = metrics.regression(long, "truth", "pred", ["fold", "model"])
+    if tables:
+        long = reduce(lambda a, b: a.unionByName(b), tables)
+        solved.append(metrics.regression(long, "truth", "pred", ["fold", "model"]).select("fold", "model", "rmse"))
+    scores = reduce(lambda a, b: a.unionByName(b), solved)
     wide = scores.groupBy("fold").agg(*[
         F.max(F.when(F.col("model") == n, F.col("rmse"))).alias(f"rmse_{n}") for n in names])
     return wide.withColumns({f"diff_{n}": F.col(f"rmse_{n}") - F.col(f"rmse_{names[0]}") for n in names[1:]})

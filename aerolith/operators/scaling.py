@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from aerolith.functions.quantiles import quantiles
+from aerolith.functions.quantiles import quantiles_of
 from aerolith.operators.series import KEY
 
 
@@ -12,14 +12,15 @@ def fit(df, columns, kind="standard", by=(KEY,)):
     ``standard`` is mean and population deviation, ``robust`` exact median and
     interquartile range. A scale of 0 becomes 1.
     """
-    long = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        list(by), list(columns), "feature", "value")
     if kind == "standard":
-        found = long.groupBy(*by, "feature").agg(
-            F.avg("value").alias("centre"), F.stddev_pop("value").alias("scale"))
+        # Side by side in one pass; the one row a group gives is then laid out by column.
+        sums = df.groupBy(*by).agg(*[f(F.col(c).cast("double")).alias(f"{c}__{n}") for c in columns
+                                     for n, f in (("centre", F.avg), ("scale", F.stddev_pop))])
+        found = sums.select(*by, F.inline(F.array(*[F.struct(
+            F.lit(c).alias("feature"), F.col(f"{c}__centre").alias("centre"), F.col(f"{c}__scale").alias("scale")) for c in columns])))
     elif kind == "robust":
         at = lambda p: F.max(F.when(F.col("prob") == F.lit(p), F.col("value")))
-        found = quantiles(long, [*by, "feature"], "value", [0.25, 0.5, 0.75]).groupBy(*by, "feature").agg(
+        found = quantiles_of(df, by, columns, [0.25, 0.5, 0.75]).groupBy(*by, "feature").agg(
             at(0.5).alias("centre"), (at(0.75) - at(0.25)).alias("scale"))
     else:
         raise ValueError(f"kind is 'standard' or 'robust', not {kind!r}")

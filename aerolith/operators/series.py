@@ -94,6 +94,12 @@ def rolling(frames, aggregate, column, n):
     return F.when(F.count(column).over(over) == n, aggregate(column).over(over))
 
 
+def row_blocks(df, before=0, after=0, key=KEY, ts=TS, block=None):
+    """Numbered rows dealt to blocks with their halo: ``_idx``, ``_block``, and ``_own``, the block a row belongs to."""
+    indexed = df if "_idx" in df.columns else row_index(df, key, ts)
+    return _spread(indexed, F.col("_idx"), max(block or BLOCK_ROWS, before, after), before, after)
+
+
 def with_frames(df, build, before=0, after=0, mode="row", key=KEY, ts=TS, block=None, keep=()):
     """Add the columns ``build(frames)`` returns, computed block by block.
 
@@ -101,9 +107,7 @@ def with_frames(df, build, before=0, after=0, mode="row", key=KEY, ts=TS, block=
     and ahead. ``keep`` names helper columns (``_idx``, ``_n``) to leave in place.
     """
     if mode == "row":
-        size = max(block or BLOCK_ROWS, before, after)
-        indexed = df if "_idx" in df.columns else row_index(df, key, ts)
-        spread = _spread(indexed, F.col("_idx"), size, before, after)
+        spread = row_blocks(df, before, after, key, ts, block)
         frames = RowFrames(key, ts)
     elif mode == "time":
         size = max(block or BLOCK_HOURS, before, after)

@@ -79,6 +79,19 @@ def folds(df, n_splits=3, embargo_hours=EMBARGO_HOURS, key=KEY, ts=TS):
     return _tidy(kept.drop("_start"))
 
 
+def fold_parts(df, n_splits, embargo_hours=EMBARGO_HOURS, key=KEY, ts=TS):
+    """Each row once, with ``parts``: its part in fold 1, 2 ... as letters, T trains, t tests, - neither. The embargo is that of ``folds``."""
+    rows = indexed(df, key, ts)
+    roles = {fold: fold_role(F.lit(fold), n_splits) for fold in range(1, n_splits + 1)}
+    starts = rows.groupBy(key).agg(*[
+        F.min(F.when(role == "test", F.col(ts))).alias(f"_start{fold}") for fold, role in roles.items()])
+    letters = [F.when(role == "test", "t").when(
+        (role == "train") & (F.unix_seconds(ts) + embargo_hours * HOUR < F.unix_seconds(f"_start{fold}")), "T").otherwise("-")
+        for fold, role in roles.items()]
+    dropped = [f"_start{fold}" for fold in roles]
+    return _tidy(rows.join(starts, key).withColumn("parts", F.concat(*letters)).drop(*dropped))
+
+
 def one_fold(rows, fold, n_splits, embargo_hours=EMBARGO_HOURS, key=KEY, ts=TS):
     """Training and test rows of one fold of a numbered table, with the same embargo."""
     role = fold_role(F.lit(fold), n_splits)

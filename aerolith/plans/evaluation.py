@@ -8,7 +8,7 @@ from aerolith.operators.features import FEATURE_COLUMNS, HORIZONS, mean
 from aerolith.operators.series import INDEX
 from aerolith.plans import sql
 from aerolith.plans.registry import query, shown
-from aerolith.sources import tables
+from aerolith.sources import forecasts, tables
 
 KEYS = "station ts"
 INDEXED = f"{sql.SMALL_TARGETS}, {sql.INDEXED.format(source='targets')}"
@@ -316,3 +316,30 @@ def analogue_days(spark, sf_dir):
     built = session.store(features.build(tables.observations(spark, sf_dir)), "features")
     found = analogues.top_days(built, FEATURE_COLUMNS)
     return session.store(found, "analogues")
+
+
+_ISSUED_SQL = f"""{sql.SERIES}, rolled AS (SELECT station, ts, us_aqi, {sql.rolling('avg', 'us_aqi', 24, 'mean_24h')} FROM series),
+issued AS (SELECT station, model, horizon, ts AS issued, ts + hours * INTERVAL 1 HOUR AS valid,
+    CASE model WHEN 'persistence' THEN us_aqi ELSE mean_24h END AS prediction
+  FROM rolled, (VALUES ('persistence'), ('mean_24h')) AS m(model),
+       (VALUES {', '.join(f"('{h}', {k})" for h, k in HORIZONS.items())}) AS h(horizon, hours)),
+pairs AS (SELECT i.*, s.us_aqi AS truth FROM issued AS i LEFT JOIN series AS s ON s.station = i.station AND s.ts = i.valid
+  WHERE prediction IS NOT NULL)"""
+
+
+@query("forecast_vs_truth", shown(
+    f"WITH {_ISSUED_SQL} SELECT station, model, horizon, count(*) AS issued, count(truth) AS n, count(*) - count(truth) AS pending, "
+    "sqrt(avg((truth - prediction) * (truth - prediction))) AS rmse, avg(abs(truth - prediction)) AS mae, "
+    "1 - avg((truth - prediction) * (truth - prediction)) / nullif(var_pop(truth), 0) AS r2 FROM pairs GROUP BY 1, 2, 3",
+    "station model horizon issued n pending", "rmse mae r2"))
+def forecast_vs_truth(spark, sf_dir):
+    """Forecasts of every hour, stored in two runs, against observations that arrive later in four scrambled deliveries, one of them twice."""
+    rows = session.store(features.add(_rows(spark, sf_dir), [mean("us_aqi", 24)]), "issued")
+    long = forecasts.lead_forecasts(rows, HORIZONS, {"persistence": "us_aqi", "mean_24h": "us_aqi_rolling_mean_24h"})
+    path, truth = session.scratch(spark, "forecasts"), session.scratch(spark, "truth")
+    part = F.pmod(F.xxhash64("station", F.to_date("ts")), F.lit(4))
+    for publish in (long.where("hour(issued) < 12"), long):
+        forecasts.publish(spark, publish, path)
+    for delivery in (2, 0, 3, 1, 0):
+        forecasts.mature(spark, rows.where(part == delivery), path, truth)
+    return forecasts.scores(spark, path, truth)

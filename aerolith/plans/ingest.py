@@ -12,17 +12,39 @@ from aerolith.plans.registry import query, shown
 from aerolith.sources import landing, outputs, store, tables
 
 KEYS = "station ts"
-LANDED = ["temperature_2m", "wind_speed_10m", "precipitation"]
+CITY = "Springfield"
 
 
 @query("explode_hourly", shown(
     f"WITH {sql.READINGS}, {sql.WEATHER_CTE}, slots AS (SELECT d.station, d.day + h.h * INTERVAL 1 HOUR AS ts "
     "FROM (SELECT DISTINCT station, date_trunc('day', ts) AS day FROM weather) AS d, range(24) AS h(h)) "
-    f"SELECT s.station, s.ts, {', '.join('w.' + c for c in LANDED)} FROM slots AS s "
-    "LEFT JOIN weather AS w ON w.station = s.station AND w.ts = s.ts", KEYS, " ".join(LANDED)))
+    f"SELECT s.station, '{CITY}' AS city, s.ts, {', '.join('w.' + c for c in WEATHER)} FROM slots AS s "
+    "LEFT JOIN weather AS w ON w.station = s.station AND w.ts = s.ts", KEYS + " city", " ".join(WEATHER)))
 def explode_hourly(spark, sf_dir):
-    landed = landing.pack_hourly(tables.weather(spark, sf_dir), LANDED)
-    return landing.explode_hourly(landed, LANDED)
+    """Weather landed as JSON responses of a station and day, read from the files; lines broken on the way are put aside."""
+    path = session.scratch(spark, "responses")
+    weather = session.store(tables.weather(spark, sf_dir), "weather")
+    landing.write_responses(landing.pack_hourly(weather, WEATHER), WEATHER, path, CITY)
+    broken = weather.select("station").distinct().select(F.concat(F.lit('{"station": "'), "station", F.lit('", "hourly": {"rain": [1.0')).alias("value"))
+    broken.write.mode("append").text(path)
+    responses, _ = landing.read_responses(spark, path, WEATHER)
+    return landing.explode_hourly(responses, WEATHER)
+
+
+@query("broken_responses", f"WITH {sql.READINGS} SELECT 'not readable' AS reason, count(DISTINCT station) AS lines FROM readings "
+       "UNION ALL SELECT 'arrays of another length', count(DISTINCT station) FROM readings")
+def broken_responses(spark, sf_dir):
+    """Of every station a cut line and one whose arrays are too short, among whole ones: what is put aside and why."""
+    path = session.scratch(spark, "responses")
+    weather = session.store(tables.weather(spark, sf_dir), "weather")
+    landing.write_responses(landing.pack_hourly(weather, WEATHER), WEATHER, path, CITY)
+    lines = spark.read.text(path).select("value", F.get_json_object("value", "$.station").alias("station"))
+    one = lines.groupBy("station").agg(F.min("value").alias("value"))
+    cut = one.select(F.expr("substring(value, 1, length(value) div 2)").alias("value"))
+    longer = one.select(F.regexp_replace("value", '"end":(\\d+)', '"end":9$1').alias("value"))
+    session.store(cut.unionByName(longer), "broken").write.mode("append").text(path)
+    _, broken = landing.read_responses(spark, path, WEATHER)
+    return broken.groupBy("reason").agg(F.count("*").alias("lines"))
 
 
 @query("scan_date_range", shown(

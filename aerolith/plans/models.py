@@ -98,9 +98,12 @@ def top_importances(spark, sf_dir):
 
 @query("feature_search")
 def feature_search(spark, sf_dir):
-    """Lags, rolling values, changes and cycles tried one after another on top of what is measured."""
-    rows = _training(spark, sf_dir)
-    return models.feature_search(rows, MEASURES, [c for c in FEATURE_COLUMNS if c not in MEASURES], "aqi_day1")[1]
+    """Lags, rolling values, changes, cycles and the further candidates tried one after another on top of what is measured."""
+    built = features.add(tables.observations(spark, sf_dir), features.STANDARD + features.CANDIDATES, HORIZONS)
+    tried = [c for c in FEATURE_COLUMNS if c not in MEASURES] + [f.name for f in features.CANDIDATES]
+    rows = features.complete(features.calendar(built).select("station", "ts", *MEASURES, *tried, *HORIZONS), MEASURES + tried + list(HORIZONS))
+    parts = splits.embargoed(session.store(rows, "candidates"), test_ratio=0.2, val_ratio=0.15)
+    return models.feature_search(session.store(parts, "searched"), MEASURES, tried, "aqi_day1")[1]
 
 
 @query("cv_compare")
@@ -115,17 +118,42 @@ def _explained(spark, sf_dir):
     return session.store(features.complete(built).select("station", "ts", *FEATURE_COLUMNS, *HORIZONS), "explained")
 
 
+#: Walks of a row in the queries; two to a pair.
+_WALKS = 4
+_NONLINEAR = {"forest": Config("forest", "none"), "kernel": Config("kernel", "standard")}
+
+
+def _sampled(spark, sf_dir):
+    """All rows and features explained, once for a forest and once for the kernel model: one row per model and hour."""
+    rows = _explained(spark, sf_dir)
+    tables_of = []
+    for name, config in _NONLINEAR.items():
+        model = models.fit(rows, FEATURE_COLUMNS, "aqi_day1", config)
+        values = explain.shapley(model, rows, FEATURE_COLUMNS, rows, _WALKS)
+        sums = values.groupBy("station", "ts").agg(
+            F.sum("value").alias("total"), F.max("base").alias("base"), F.count("*").alias("features"),
+            F.max_by("feature", F.abs("value")).alias("strongest"))
+        tables_of.append(sums.join(models.predict(model, rows), ["station", "ts"]).select(
+            F.lit(name).alias("model"), "station", "ts", "strongest", "features", "total", "base", "pred",
+            (F.col("base") + F.col("total") - F.col("pred")).alias("residue")))
+    return tables_of[0].unionByName(tables_of[1])
+
+
 @query("shapley_sampled", digits=4)
 def shapley_sampled(spark, sf_dir):
-    """All rows and features explained; values of a row add up to its prediction minus base."""
-    rows = _explained(spark, sf_dir)
-    model = models.fit(rows, FEATURE_COLUMNS, "aqi_day1", Config("ridge", "standard"))
-    values = explain.shapley(model, rows, FEATURE_COLUMNS)
-    sums = values.groupBy("station", "ts").agg(F.sum("value").alias("total"), F.max("base").alias("base"),
-                                               F.max_by("feature", F.abs("value")).alias("strongest"))
-    return sums.join(models.predict(model, rows), ["station", "ts"]).select(
-        "station", "ts", "strongest", "total", "base", "pred",
-        (F.col("base") + F.col("total") - F.col("pred")).alias("residue"))
+    """Values of a row add up to its prediction minus base."""
+    return _sampled(spark, sf_dir).drop("features")
+
+
+@query("shapley_identity", shown(
+    f"WITH {sql.TRAINING} SELECT model, station, count(*) AS rows, {len(FEATURE_COLUMNS)} * count(*) AS shares, 0.0::DOUBLE AS largest_residue "
+    "FROM features, (VALUES ('forest'), ('kernel')) AS m(model) WHERE "
+    + " AND ".join(f"{c} IS NOT NULL" for c in FEATURE_COLUMNS + list(HORIZONS)) + " GROUP BY 1, 2",
+    "model station rows shares", "largest_residue"))
+def shapley_identity(spark, sf_dir):
+    """Per model and station: rows explained, shares given, and how far any row's shares miss its prediction."""
+    return _sampled(spark, sf_dir).groupBy("model", "station").agg(
+        F.count("*").alias("rows"), F.sum("features").alias("shares"), F.max(F.abs("residue")).alias("largest_residue"))
 
 
 _LINEAR = FEATURE_COLUMNS
@@ -147,7 +175,7 @@ def shapley_linear(spark, sf_dir):
 
 @query("fold_importance")
 def fold_importance(spark, sf_dir):
-    return explain.fold_importance(_explained(spark, sf_dir), FEATURE_COLUMNS, "aqi_day1", Config("ridge", "standard"))
+    return explain.fold_importance(_explained(spark, sf_dir), FEATURE_COLUMNS, "aqi_day1", _NONLINEAR["forest"], samples=_WALKS)
 
 
 _PRUNED = [*FEATURE_COLUMNS, "flat"]
@@ -184,13 +212,39 @@ def prune_states(spark, sf_dir):
     return explain.prune_states(importances, _LEAST)
 
 
-@query("corr_partners", shown(
-    f"WITH {sql.OBS}, {MATRIX_SQL} SELECT station, column_a AS feature, column_b AS partner, corr FROM matrix "
-    "WHERE abs(corr) > 0.5 UNION ALL SELECT station, column_b, column_a, corr FROM matrix WHERE abs(corr) > 0.5",
-    "station feature partner", "corr"))
+_ALIKE = 0.85
+_PARTNERS_SQL = f"""{sql.OBS}, {MATRIX_SQL}, pairs AS (SELECT station, column_a AS feature, column_b AS partner, corr FROM matrix WHERE abs(corr) > {_ALIKE}
+  UNION ALL SELECT station, column_b, column_a, corr FROM matrix WHERE abs(corr) > {_ALIKE})"""
+
+
+@query("corr_partners", shown(f"WITH {_PARTNERS_SQL} SELECT * FROM pairs", "station feature partner", "corr"))
 def corr_partners(spark, sf_dir):
     found = correlation.matrix(tables.observations(spark, sf_dir), MATRIX)
-    return correlation.partners(found, threshold=0.5)
+    return correlation.partners(found, threshold=_ALIKE)
+
+
+_CLOSE = 0.5
+
+
+@query("prune_decision", f"""WITH RECURSIVE {sql.OBS}, {MATRIX_SQL}, near AS (
+  SELECT DISTINCT feature, partner FROM (SELECT column_a AS feature, column_b AS partner FROM matrix WHERE abs(corr) > {_CLOSE}
+    UNION ALL SELECT column_b, column_a FROM matrix WHERE abs(corr) > {_CLOSE})),
+listed AS (SELECT f.feature, row_number() OVER (ORDER BY f.feature) AS i, list(partner ORDER BY partner) FILTER (partner IS NOT NULL) AS others
+  FROM (VALUES {', '.join(f"('{c}')" for c in MATRIX)}) AS f(feature) LEFT JOIN near ON near.feature = f.feature GROUP BY 1),
+walk AS (
+  SELECT 0::BIGINT AS i, []::VARCHAR[] AS gone, NULL::VARCHAR AS feature, NULL::VARCHAR AS kept_partners
+  UNION ALL
+  SELECT l.i, CASE WHEN others IS NULL OR len(list_filter(others, lambda x: NOT list_contains(gone, x))) > 0
+      THEN list_append(gone, l.feature) ELSE gone END, l.feature,
+    coalesce(array_to_string(list_filter(others, lambda x: NOT list_contains(gone, x)), ', '), '')
+  FROM walk JOIN listed AS l ON l.i = walk.i + 1)
+SELECT feature, list_contains(gone, feature) AS dropped, kept_partners FROM walk WHERE i > 0""")
+def prune_decision(spark, sf_dir):
+    """If every measured column were prunable: which go, and which correlated partners stay for them."""
+    found = correlation.matrix(tables.observations(spark, sf_dir), MATRIX)
+    partners = correlation.partners(found, threshold=_CLOSE).select("feature", "partner").distinct()
+    candidates = spark.createDataFrame([(c,) for c in MATRIX], "feature string")
+    return explain.prune(candidates, partners)
 
 
 def _sql_corr(x, y):
@@ -204,18 +258,31 @@ _RULES_SQL = {
     "lag carries on": ("us_aqi_lag_1h", "r > 0.2")}
 
 
+def _attribution_sql(c):
+    known = "FILTER (WHERE aqi_day1 IS NOT NULL)"
+    return (f"CASE WHEN var_pop({c}) {known} OVER w > 0 THEN regr_slope(aqi_day1, {c}) {known} OVER w ELSE 0 END "
+            f"* ({c} - avg({c}) {known} OVER w)")
+
+
 @query("domain_rules", shown(
-    f"WITH {sql.FEATURES}, g AS (SELECT *, 0.0::DOUBLE AS flat FROM features), u AS ("
+    f"WITH {sql.FEATURES}, g AS (SELECT *, 0.0::DOUBLE AS flat, {sql.lead('us_aqi', 24, 'aqi_day1')} FROM features), e AS (SELECT *, "
+    + ", ".join(f"{_attribution_sql(c)} AS {c}__effect" for c, _ in _RULES_SQL.values())
+    + " FROM g WINDOW w AS (PARTITION BY station)), u AS ("
     + " UNION ALL ".join(
         f"SELECT station, '{rule}' AS rule, '{c}' AS feature, corr, CASE WHEN r IS NULL THEN 'NOT_EVALUABLE' "
-        f"WHEN {good} THEN 'PASS' ELSE 'WARN' END AS status FROM (SELECT station, {_sql_corr(c, 'us_aqi')} AS corr, "
-        f"{_sql_corr(c, 'us_aqi')} AS r FROM g GROUP BY station) AS x"
+        f"WHEN {good} THEN 'PASS' ELSE 'WARN' END AS status FROM (SELECT station, {_sql_corr(c, f'{c}__effect')} AS corr, "
+        f"{_sql_corr(c, f'{c}__effect')} AS r FROM e GROUP BY station) AS x"
         for rule, (c, good) in _RULES_SQL.items()) + ") SELECT * FROM u", "station rule feature status", "corr"))
 def domain_rules(spark, sf_dir):
-    built = features.add(tables.observations(spark, sf_dir), [lag("us_aqi", 1)]).withColumn("flat", F.lit(0.0))
-    return explain.domain_rules(built, {rule: (c, "us_aqi") for rule, (c, _) in _RULES_SQL.items()})
+    """Each rule's feature against its attribution: the share of a one-feature linear model of the next day's index."""
+    columns = [c for c, _ in _RULES_SQL.values()]
+    built = features.add(tables.observations(spark, sf_dir), [lag("us_aqi", 1)], {"aqi_day1": 24}).withColumn("flat", F.lit(0.0))
+    rows = session.store(built.select("station", "ts", *columns, "aqi_day1"), "ruled")
+    effects = explain.linear_shapley(rows.drop("aqi_day1"), explain.slopes(rows, columns, "aqi_day1")).groupBy("station", "ts").agg(*[
+        F.max(F.when(F.col("feature") == c, F.col("value"))).alias(f"{c}__effect") for c in columns])
+    return explain.domain_rules(rows.join(effects, ["station", "ts"]), {rule: (c, f"{c}__effect") for rule, (c, _) in _RULES_SQL.items()})
 
 
 @query("explain_report", digits=4)
 def explain_report(spark, sf_dir):
-    return explain.report(_explained(spark, sf_dir), FEATURE_COLUMNS, "aqi_day1", Config("ridge", "standard"))
+    return explain.report(_explained(spark, sf_dir), FEATURE_COLUMNS, "aqi_day1", _NONLINEAR["kernel"], samples=_WALKS)

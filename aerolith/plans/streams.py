@@ -97,6 +97,32 @@ def stream_targets(spark, sf_dir):
     return streams.published(streams.shifted(_hourly(spark, sf_dir), "us_aqi", _AHEAD), "targets", ["station", "ts"])
 
 
+_MEANS = {f"us_aqi_rolling_mean_{n}h": n for n in features.MEAN_HOURS["us_aqi"]}
+
+
+def _range_mean(name, n):
+    frame = f"OVER (PARTITION BY station ORDER BY ts RANGE BETWEEN INTERVAL {n - 1} HOURS PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count(us_aqi) {frame} = {n} THEN avg(us_aqi) {frame} END AS {name}"
+
+
+@query("stream_rolling", shown(
+    f"WITH {sql.SERIES} SELECT station, ts, us_aqi, {', '.join(_range_mean(c, n) for c, n in _MEANS.items())} "
+    "FROM series WHERE us_aqi IS NOT NULL", KEYS, "us_aqi " + " ".join(_MEANS)))
+def stream_rolling(spark, sf_dir):
+    """Rolling means kept in state by station and block of hours."""
+    return streams.published(streams.rolling(_hourly(spark, sf_dir), "us_aqi", _MEANS), "rolling", ["station", "ts"])
+
+
+@query("stream_labels", shown(
+    f"WITH {sql.SERIES} SELECT s.station, s.ts, s.us_aqi, h.horizon, t.us_aqi AS label FROM series AS s, (VALUES "
+    + ", ".join(f"('{h}', {k})" for h, k in features.HORIZONS.items()) + ") AS h(horizon, hours) JOIN series AS t "
+    "ON t.station = s.station AND t.ts = s.ts + h.hours * INTERVAL 1 HOUR", KEYS + " horizon", "us_aqi label"))
+def stream_labels(spark, sf_dir):
+    """Every hour's index a day, two and three days later, from an interval join of two streams."""
+    rows, truth = _hourly(spark, sf_dir), _hourly(spark, sf_dir)
+    return streams.result(streams.labels(rows, truth, features.HORIZONS, keep=["us_aqi"]), "labels")
+
+
 @query("stream_join", shown(
     f"WITH {sql.OBS} SELECT station, ts, temperature_2m, us_aqi FROM obs", KEYS, "temperature_2m us_aqi"))
 def stream_join(spark, sf_dir):

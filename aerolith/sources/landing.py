@@ -1,6 +1,7 @@
 """From landed hourly responses to joined observations and training rows."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aerolith.operators import features
 from aerolith.operators.series import KEY, TS
@@ -10,9 +11,10 @@ def explode_hourly(df, fields, key=KEY, ts=TS):
     """One row per step of a response: ``start`` and ``step`` in epoch seconds and
     one array per field. The end is not part of the response."""
     steps = F.posexplode(F.arrays_zip(*[F.col(f) for f in fields])).alias("_i", "_v")
-    exploded = df.select(key, "start", "step", steps)
+    place = [c for c in ("city",) if c in df.columns]
+    exploded = df.select(key, *place, "start", "step", steps)
     when = F.timestamp_seconds(F.col("start") + F.col("_i") * F.col("step")).alias(ts)
-    return exploded.select(key, when, *[F.col(f"_v.{f}").cast("double").alias(f) for f in fields])
+    return exploded.select(key, *place, when, *[F.col(f"_v.{f}").cast("double").alias(f) for f in fields])
 
 
 def pack_hourly(df, fields, key=KEY, ts=TS):
@@ -30,6 +32,44 @@ def pack_hourly(df, fields, key=KEY, ts=TS):
     return packed.select(key, "start", F.lit(3600).cast("long").alias("step"), *map(slots_of, fields))
 
 
+def response_schema(fields, key=KEY):
+    """A landed response: place, first and end time in epoch seconds, step, and one array a field below ``hourly``."""
+    arrays = T.StructType([T.StructField(f, T.ArrayType(T.DoubleType())) for f in fields])
+    return T.StructType([
+        T.StructField(key, T.StringType()), T.StructField("city", T.StringType()), T.StructField("start", T.LongType()),
+        T.StructField("end", T.LongType()), T.StructField("step", T.LongType()), T.StructField("hourly", arrays)])
+
+
+def write_responses(df, fields, path, city, key=KEY):
+    """Packed responses as JSON lines."""
+    count = F.size(F.col(fields[0]))
+    df.select(key, F.lit(city).alias("city"), "start", (F.col("start") + F.col("step") * count).alias("end"), "step",
+              F.struct(*fields).alias("hourly")).write.option("ignoreNullFields", "false").json(path, mode="append")
+    return path
+
+
+def read_responses(spark, path, fields, key=KEY):
+    """(responses, broken) of landed JSON lines: a folder, read with a fixed schema.
+
+    A line that is no JSON, lacks the key, the times or a field, or whose arrays do not have one value a step, is in ``broken`` with
+    its text and the reason; the others are ready for ``explode_hourly``. Neither side fails the other.
+    """
+    schema = response_schema(fields, key)
+    parsed = spark.read.text(path).select("value", F.from_json(
+        "value", T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())]),
+        {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("value", "r.*")
+    steps = F.when(F.col("step") > 0, F.floor((F.col("end") - F.col("start")) / F.col("step")))
+    sizes = F.array(*[F.size(F.col("hourly")[f]) for f in fields])
+    reason = (
+        F.when(F.trim("value") == "", "empty").when(F.col("_corrupt").isNotNull(), "not readable")
+        .when(F.col(key).isNull() | steps.isNull() | (steps < 0), "no key or times")
+        .when(F.exists(sizes, lambda n: F.coalesce(n, F.lit(-1)) < 0), "field missing")
+        .when(F.exists(sizes, lambda n: n != steps), "arrays of another length"))
+    told = parsed.withColumn("reason", reason)
+    good = told.where("reason IS NULL").select(key, "city", "start", "step", *[F.col("hourly")[f].alias(f) for f in fields])
+    return good, told.where("reason IS NOT NULL").select("value", "reason")
+
+
 def join_sources(weather, air, key=KEY, ts=TS):
     """Hours both networks reported."""
     return weather.join(air, [key, ts], "inner")

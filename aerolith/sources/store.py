@@ -64,9 +64,20 @@ def existing_keys(spark, path, days=None, key=KEY, ts=TS):
     return df.select(key, ts).distinct()
 
 
-def new_rows(df, keys, key=KEY, ts=TS):
+def new_rows(df, keys, key=KEY, ts=TS, on=None):
     """Rows whose key is not stored yet."""
-    return df.join(keys, [key, ts], "left_anti")
+    return df.join(keys, list(on or (key, ts)), "left_anti")
+
+
+def read_days(spark, path, days):
+    """The stored rows of some days with their ``day``, or None when there is no table yet."""
+    try:
+        return spark.read.option("basePath", path).parquet(path).where(F.col("day").cast("string").isin(days)).withColumn(
+            "day", F.date_format("day", "yyyy-MM-dd"))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def latest(df, on, order):
@@ -92,15 +103,16 @@ def _days(df):
     return [row.day for row in df.select("day").distinct().collect()]
 
 
-def append(spark, df, path, mode="ignore", order=(), key=KEY, ts=TS):
-    """Add rows to the table, starting it if need be.
+def append(spark, df, path, mode="ignore", order=(), key=KEY, ts=TS, on=None):
+    """Add rows to the table, starting it if need be. ``on`` names the key columns, station and hour if not given.
 
     ``ignore`` adds unseen keys and never touches stored rows. ``latest`` lets a
     new row replace a stored one, rewriting only the touched days. Either may be
     repeated with the same rows without changing the table again.
     """
     incoming = by_day(df, ts)
-    on = [key, ts, "day"]
+    keys = list(on or (key, ts))
+    on = [*keys, "day"]
     # Without an order the largest row wins, so that a repeated task picks the same.
     by = list(order) or [c for c in df.columns if c not in on]
     days = _days(incoming)
@@ -109,7 +121,7 @@ def append(spark, df, path, mode="ignore", order=(), key=KEY, ts=TS):
     incoming = latest(incoming, on, by) if by else incoming.distinct()
     known = stored(spark, path, incoming).where(F.col("day").isin(days))
     if mode == "ignore":
-        _write(new_rows(incoming, known.select(key, ts), key, ts), path, "append")
+        _write(new_rows(incoming, known.select(*keys), on=keys), path, "append")
     elif mode == "latest":
         observed = (lambda d: F.when(d["is_forecast"], 0).otherwise(1)) if "is_forecast" in df.columns \
             else (lambda d: F.lit(1))

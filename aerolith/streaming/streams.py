@@ -6,15 +6,19 @@ will ask for it and the hours are aggregated. Rows later than the watermark are
 counted in the query's progress (``late_rows``).
 """
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor
 
 from aerolith import session
 from aerolith.operators import models
-from aerolith.operators.series import KEY, TS
+from aerolith.operators.series import HOUR, KEY, TS
 from aerolith.sources import store
 
 LATENESS_HOURS = 2
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read(spark, path, schema):
@@ -36,12 +40,17 @@ def hours(n):
 
 def run(df, name, mode="append", path=None, checkpoint=None):
     """Process everything there is into a parquet table; returns the table's path
-    and the finished query. The same checkpoint continues where it stopped."""
+    and the finished query. The same checkpoint continues where it stopped. With ``update``
+    each batch has a folder of its own."""
     spark = df.sparkSession
     path = path or session.scratch(spark, name)
     checkpoint = checkpoint or session.scratch(spark, f"{name}-checkpoint")
-    query = (df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start(path))
+    if mode == "append":
+        writer = df.writeStream.format("parquet")
+    else:
+        writer = df.writeStream.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{path}/batch={number}"))
+    query = writer.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    query = query.start(path) if mode == "append" else query.start()
     query.awaitTermination()
     return path, query
 
@@ -58,15 +67,7 @@ def published(df, name, on, checkpoint=None):
     them; of a key's versions the last counts.
     """
     spark = df.sparkSession
-    path = session.scratch(spark, name)
-    checkpoint = checkpoint or session.scratch(spark, f"{name}-checkpoint")
-
-    def work(batch, number):
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    query = (df.writeStream.outputMode("update").foreachBatch(work).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
+    path, _ = run(df, name, "update", checkpoint=checkpoint)
     shape = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
     versions = spark.read.schema(shape).option("basePath", path).parquet(path)
     return store.latest(versions, list(on), ["batch"]).drop("batch").select(*df.columns)
@@ -129,6 +130,108 @@ def shifted(df, value, offsets, key=KEY, ts=TS, lateness=LATENESS_HOURS):
     return grouped.where("_here > 0").select(key, F.col("w.start").alias(ts), *named)
 
 
+#: Hours of a block of rolling state.
+BLOCK_HOURS = 24 * 7
+
+
+class _RollingBlock(StatefulProcessor):
+    """The hours of one block and of its halo. Of a batch's rows, the hours they change are given again.
+
+    A timer ends the block once the watermark is past every hour that may still change it.
+    """
+
+    def __init__(self, value, windows, lateness):
+        self.value, self.windows, self.lateness = value, windows, lateness
+
+    def init(self, handle):
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "hour long", "value double")
+        self.end = handle.getValueState("end", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        station, block = key
+        fresh = pd.concat(list(rows), ignore_index=True)
+        hours, values = fresh["at_hour"].to_numpy(np.int64), fresh[self.value].to_numpy(float)
+        for hour, value in zip(hours.tolist(), values.tolist()):
+            if not np.isnan(value):
+                self.seen.updateValue((hour,), (value,))
+        if not self.end.exists():
+            at = ((block + 1) * BLOCK_HOURS + self.lateness) * HOUR * 1000
+            self.end.update((at,))
+            self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs() + 1))
+        first, most = block * BLOCK_HOURS, max(self.windows.values())
+        line = np.full(BLOCK_HOURS + most - 1, np.nan)
+        for (hour,), (value,) in self.seen.iterator():
+            line[hour - first + most - 1] = value
+        changed = np.zeros(BLOCK_HOURS, bool)
+        for hour in np.unique(hours).tolist():
+            changed[max(0, hour - first):max(0, hour - first + most)] = True
+        changed &= ~np.isnan(line[most - 1:])
+        if not changed.any():
+            return
+        at = np.flatnonzero(changed)
+        out = {"station": station, "at_hour": at + first, self.value: line[at + most - 1]}
+        for name, n in self.windows.items():
+            frames = np.lib.stride_tricks.sliding_window_view(line[most - n:], n)[at]
+            out[name] = frames.mean(axis=1)  # missing unless every hour is there
+        yield pd.DataFrame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.seen.clear()
+        self.end.clear()
+        return iter(())
+
+    def close(self):
+        pass
+
+
+def rolling(df, value, windows, key=KEY, ts=TS, lateness=LATENESS_HOURS):
+    """Hour-exact rolling means of every hour: ``windows`` maps a result column to its hours.
+
+    A mean is missing until all its hours are there, and is given again when one comes late. State is kept by station and block of
+    hours; a row is also sent to the block after its own if that one's windows reach back to it. A block's state ends
+    ``lateness`` hours of watermark after the block does; rows later than that are dropped and counted.
+    """
+    spark = df.sparkSession
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    reach = max(windows.values()) - 1
+    if reach > BLOCK_HOURS:
+        raise ValueError(f"a window of {reach + 1} hours does not fit blocks of {BLOCK_HOURS}")
+    hour = F.floor(F.unix_seconds(ts) / HOUR)
+    own = F.floor(hour / BLOCK_HOURS)
+    after = F.when(F.pmod(hour, F.lit(BLOCK_HOURS)) >= BLOCK_HOURS - reach, own + 1)
+    sent = df.withWatermark(ts, f"{lateness} hours").select(
+        F.col(key).alias("station"), ts, hour.alias("at_hour"), F.col(value).cast("double").alias(value),
+        F.explode(F.array_compact(F.array(own, after))).alias("in_block"))
+    shape = f"station string, at_hour long, {value} double, " + ", ".join(f"{name} double" for name in windows)
+    found = sent.groupBy("station", "in_block").transformWithStateInPandas(
+        _RollingBlock(value, dict(windows), lateness), shape, outputMode="update", timeMode="eventTime")
+    return found.select(F.col("station").alias(key), F.timestamp_seconds(F.col("at_hour") * HOUR).alias(ts), value, *windows)
+
+
+def labels(df, truth, horizons, value="us_aqi", keep=(), key=KEY, ts=TS, lateness=LATENESS_HOURS):
+    """Rows with the value observed at each horizon, given once it is observed: key, time, horizon, label.
+
+    An interval join of two streams, each with its watermark: a row waits for its hours ahead, an observation for rows that come
+    late. Equality on station and hour spreads the state; the interval bounds it to the horizons and the lateness.
+    """
+    ahead = F.array(*[F.struct(F.lit(name).alias("horizon"), F.lit(int(hours)).alias("_k")) for name, hours in horizons.items()])
+    rows = df.withWatermark(ts, f"{lateness} hours").select(key, ts, *keep, F.inline(ahead)).withColumn(
+        "_due", F.col(ts) + F.make_dt_interval(hours="_k"))
+    seen = truth.select(F.col(key).alias("_key"), F.col(ts).alias("_seen"), F.col(value).alias("label")).withWatermark(
+        "_seen", f"{lateness} hours")
+    least, most = min(horizons.values()), max(horizons.values())
+    met = rows.join(seen, (F.col(key) == F.col("_key")) & (F.col("_due") == F.col("_seen"))
+                    & (F.col("_seen") >= F.col(ts) + hours(least)) & (F.col("_seen") <= F.col(ts) + hours(most)))
+    return met.select(key, ts, *keep, "horizon", "label")
+
+
+def state_rows(query):
+    """Rows of state of a finished query after each of its batches."""
+    return [sum(int(op["numRowsTotal"]) for op in p["stateOperators"]) for p in query.recentProgress]
+
+
 def join(left, right, key=KEY, ts=TS, lateness=LATENESS_HOURS):
     """Hours both streams report; state is kept until the watermark passes."""
     delay = f"{lateness} hours"

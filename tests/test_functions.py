@@ -57,8 +57,8 @@ def test_small_group_quantiles_match_numpy(spark):
     assert got == {0.0: 1.0, 0.25: 1.75, 0.5: 2.5, 1.0: 10.0}
 
 
-def test_bracketed_quantiles_are_exact(spark):
-    """Beyond the bracket-free size, with one group holding most rows and many ties."""
+def test_quantiles_of_large_groups_are_exact(spark):
+    """One group holds most rows and many ties."""
     draw = np.random.default_rng(1)
     hot = np.round(draw.exponential(50.0, 60_000), 1)
     cold = draw.normal(0.0, 1.0, 25_000)
@@ -70,6 +70,26 @@ def test_bracketed_quantiles_are_exact(spark):
         assert [got[name, p] for p in probs] == pytest.approx(list(np.quantile(values, probs)))
 
 
+def test_ordered_bits_keep_order_and_values(spark):
+    """Subnormal, tiny, huge and infinite values of both signs."""
+    values = [float("-inf"), -1.7976931348623157e308, -3.5, -1.0, -2.2250738585072014e-308, -5e-324, 0.0, 5e-324, 1e-310, 2.2250738585072014e-308,
+              0.1, 0.30000000000000004, 1.0, 1.0000000000000002, 2.0, 4503599627370497.0, 1.7976931348623157e308, float("inf")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").withColumn("b", Q.ordered_bits(F.col("v")))
+    rows = df.withColumn("back", Q.from_bits(F.col("b"))).orderBy("i").collect()
+    assert [r.b for r in rows] == sorted({r.b for r in rows}) and [r.back for r in rows] == values
+    zeros = spark.createDataFrame([(0.0,), (-0.0,)], "v double").select(Q.ordered_bits(F.col("v")).alias("b")).collect()
+    assert zeros[0].b == zeros[1].b
+
+
+def test_quantiles_of_several_columns_with_nulls_and_no_group(spark):
+    rows = [(float(i), None if i % 3 else -float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "x double, y double").withColumn("none", F.lit(None).cast("double"))
+    got = {(r.feature, r.prob): r.value for r in Q.quantiles_of(df, [], ["x", "y", "none"], [0.5, 0.9]).collect()}
+    y = [v for _, v in rows if v is not None]
+    assert got == {("x", 0.5): 49.5, ("x", 0.9): pytest.approx(89.1), ("y", 0.5): np.quantile(y, 0.5), ("y", 0.9): pytest.approx(np.quantile(y, 0.9))}
+    assert Q.quantiles(df.limit(0), [], "x", [0.5]).count() == 0
+
+
 def test_scalers(spark):
     df = spark.createDataFrame([("a", v, 7.0) for v in (1.0, 2.0, 3.0, 10.0)], "station string, x double, flat double")
     standard = {r.feature: r for r in scaling.fit(df, ["x", "flat"]).collect()}
@@ -214,3 +234,23 @@ def test_quantile_trend_merges_equal_edges(hourly):
 def test_peak_ramp_offsets(hourly):
     got = column(audits.peak_ramp(hourly([1, 2, 3, 9, 4, 2, 1]), around=2), "offset")
     assert got == [-2, -1, 0, 1, 2]
+
+
+def test_lagged_sums_do_not_depend_on_blocks(spark, hourly):
+    """Blocks shorter and longer than the series; halos at every edge."""
+    values = np.random.default_rng(3).normal(size=700)
+    df = hourly(values).unionByName(hourly(values[:50] * 2, station="b"))
+    whole = {}
+    for block in (40, 130, 10_000):
+        got = {(r.station, r.lag): r for r in correlation.acf(df, lags=30, block=block).collect()}
+        whole[block] = got
+        for station, x in (("a", values), ("b", values[:50] * 2)):
+            x = x - x.mean()
+            for lag in (1, 7, 30):
+                assert got[station, lag].acf == pytest.approx((x[lag:] @ x[:-lag]) / (x @ x)) and got[station, lag].n == len(x)
+    assert whole[40].keys() == whole[10_000].keys()
+
+
+def test_acf_lays_out_no_row_per_lag(spark, hourly):
+    plan = correlation.acf(hourly(range(500)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(past" not in plan and "FlatMapGroupsInPandas" in plan

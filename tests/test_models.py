@@ -1,10 +1,12 @@
+import itertools
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from aerolith import session
-from aerolith.operators import explain, features, models, splits
+from aerolith.operators import explain, features, models, splits, walks
 from aerolith.operators.features import lag, mean
 from aerolith.operators.models import Config
 
@@ -73,21 +75,51 @@ def test_prediction_floor_keeps_the_raw_value(signal):
     assert row.prediction == 1e6 and row.raw_prediction < 1e6
 
 
-def test_shapley_adds_up_and_agrees_with_the_linear_formula(signal):
-    fitted = models.fit(signal.where("split = 'train'"), COLUMNS, "aqi_day1", Config("ridge", "standard"))
-    few = signal.where("split = 'test'").limit(5)
-    reference = explain.background(signal, COLUMNS, rows=1)
-    values = session.store(explain.sampled_shapley(fitted, few, COLUMNS, reference, samples=3), "shapley")
+@pytest.mark.parametrize("config", [
+    Config("forest", "none", None, {"numTrees": 7}), Config("kernel", "robust", None, {"size": 16}),
+    Config("boosted", "standard", None, {"maxIter": 3, "stepSize": 0.3}), Config("ridge", "standard")])
+def test_compiled_pipelines_predict_alike(signal, config):
+    fitted = models.fit(signal.where("split = 'train'"), COLUMNS, "aqi_day1", config)
+    rows = models.predict(fitted, signal.where("split = 'test'")).collect()
+    raw = np.array([[r[c] for c in COLUMNS] for r in rows], float)
+    raw[0, 1] = np.nan  # a missing input is filled as in the pipeline
+    got = walks.Compiled(fitted)(raw)
+    assert np.allclose(got[1:], [r.pred for r in rows[1:]], rtol=1e-9)
+    hole = models.predict(fitted, signal.where(F.col("ts") == F.lit(rows[0].ts)).withColumn(COLUMNS[1], F.lit(None).cast("double")))
+    assert got[0] == pytest.approx(hole.first().pred)
+
+
+@pytest.mark.parametrize("config", [Config("forest", "none", None, {"numTrees": 5}), Config("kernel", "standard", None, {"size": 16})])
+def test_sampled_values_add_up_and_tend_to_the_exact_ones(signal, config):
+    """Against all orders of three features and every one of 40 training rows."""
+    train = signal.where("split = 'train'").orderBy("ts").limit(40)
+    fitted = models.fit(signal.where("split = 'train'"), COLUMNS, "aqi_day1", config)
+    few = signal.where("split = 'test'").orderBy("ts").limit(3)
+    values = session.store(explain.shapley(fitted, few, COLUMNS, train, samples=2000), "shapley")
     sums = values.groupBy("ts").agg((F.sum("value") + F.max("base")).alias("total"))
     joined = models.predict(fitted, few).join(sums, "ts").collect()
-    assert len(joined) == 5 and all(r.total == pytest.approx(r.pred) for r in joined)
-    # With one background row every order gives coefficient times distance.
-    at = dict(zip(COLUMNS, reference.first()[0][0]))
-    linear, scaler = fitted.stages[1], fitted.stages[0]
-    slope = dict(zip(COLUMNS, linear.coefficients.toArray() / np.array(scaler.getOrDefault(scaler.scale))))
-    rows = {r.ts: r for r in few.collect()}
-    for r in values.collect():
-        assert r.value == pytest.approx(slope[r.feature] * (rows[r.ts][r.feature] - at[r.feature]))
+    assert len(joined) == 3 and all(r.total == pytest.approx(r.pred) for r in joined)
+    predict, size = walks.Compiled(fitted), len(COLUMNS)
+    starts = np.array([[r[c] for c in COLUMNS] for r in train.collect()])
+    for row in few.collect():
+        x, exact = np.array([row[c] for c in COLUMNS]), np.zeros(size)
+        for order in itertools.permutations(range(size)):
+            state = starts.copy()
+            before = predict(state)
+            for j in order:
+                state[:, j] = x[j]
+                after = predict(state)
+                exact[j] += (after - before).mean() / 6
+                before = after
+        got = {r.feature: r.value for r in values.where(F.col("ts") == F.lit(row.ts)).collect()}
+        spread = predict(starts).std()
+        assert all(abs(got[c] - e) < 0.15 * spread + 0.05 * abs(e) for c, e in zip(COLUMNS, exact))
+
+
+def test_a_walk_starts_at_any_training_row(signal):
+    rows = walks.Reference(signal.repartition(7), COLUMNS)
+    numbers = sorted(r.number for r in rows.rows.collect())
+    assert numbers == list(range(signal.count())) and rows.count == len(numbers)
 
 
 def test_exact_values_of_a_linear_pipeline_add_up(signal):
@@ -116,6 +148,42 @@ def test_search_accepts_only_validated_gains(signal):
     assert got["us_aqi_lag_12h"].accepted and "us_aqi_lag_12h" in kept and len(got) == 2
 
 
+@pytest.mark.parametrize("scaler", ["standard", "none"])
+def test_solved_trials_equal_separate_fits(signal, scaler):
+    """Every trial of a search against a fitted pipeline; a constant column explains nothing in both."""
+    table = session.store(signal.withColumn("flat", F.lit(3.0)).withColumn("square", F.col("us_aqi") * F.col("us_aqi")), "searched")
+    config = Config("ridge", scaler)
+    kept, trials = models.feature_search(table, ["us_aqi"], ["us_aqi_lag_12h", "flat", "square"], "aqi_day1", config)
+    columns = ["us_aqi"]
+    for r in trials.collect():
+        fitted = models.fit(table.where("split = 'train'"), columns + [r.feature], "aqi_day1", config)
+        held = models.predict(fitted, table.where("split = 'validation'")).selectExpr("avg(pow(aqi_day1 - pred, 2)) AS e").first().e
+        assert r.rmse == pytest.approx(held ** 0.5, rel=1e-6)
+        columns += [r.feature] * r.accepted
+    assert kept == columns
+
+
+@pytest.mark.parametrize("scaler", ["standard", "robust"])
+def test_solved_folds_equal_refits(signal, scaler):
+    rows = session.store(splits.indexed(signal.drop("split")), "numbered")
+    config = Config("ridge", scaler)
+    got = {r.fold: r.rmse for r in models.ridge_folds(rows, COLUMNS, "aqi_day2", config, 4).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    for fold, rmse in got.items():
+        train, test = splits.one_fold(rows, fold, 4)
+        held = models.predict(models.fit(train, COLUMNS, "aqi_day2", config), test).selectExpr("avg(pow(aqi_day2 - pred, 2)) AS e").first().e
+        assert rmse == pytest.approx(held ** 0.5, rel=1e-6)
+
+
+def test_fold_parts_say_what_folds_says(hourly):
+    rows = hourly(range(900)).unionByName(hourly(range(500), station="b"))
+    wide = splits.fold_parts(rows, 3).collect()
+    long = {(r.station, r.ts, r.fold): r.role for r in splits.folds(rows, 3).collect()}
+    letters = {"train": "T", "test": "t", None: "-"}
+    assert len(wide) == 1400
+    assert all(r.parts == "".join(letters[long.get((r.station, r.ts, f))] for f in (1, 2, 3)) for r in wide)
+
+
 def test_one_of_two_twins_stays(spark):
     candidates = spark.createDataFrame([("a",), ("b",), ("c",)], "feature string")
     partners = spark.createDataFrame([("a", "b"), ("b", "a")], "feature string, partner string")

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerolith import session
-from aerolith.sources import landing, outputs, store
+from aerolith.sources import forecasts, landing, outputs, store
 
 
 def test_replaying_a_batch_changes_nothing(spark, hourly):
@@ -81,3 +81,56 @@ def test_latest_pollutant_falls_back_to_the_newest_known(hourly, spark):
     assert row.pm2_5 == 2.2 and row.nitrogen_dioxide is None and row.ozone == 4.0
     state = {r.pollutant: r for r in outputs.against_limits(outputs.latest_pollutants(data)).collect()}
     assert state["NO2"].status is None and state["O3"].percent_of_limit == 5
+
+
+def _issued(spark, hourly, values, **more):
+    return forecasts.lead_forecasts(hourly(values, **more), {"day1": 24, "day3": 72}, {"same": "us_aqi"})
+
+
+def test_forecasts_wait_for_their_truth(spark, hourly):
+    """Observations in any order, twice, and before a forecast is published: one match a forecast, replays change nothing."""
+    path, truth = session.scratch(spark, "forecasts"), session.scratch(spark, "truth")
+    seen = hourly(range(200), skip={150})
+    forecasts.mature(spark, seen, path, truth)  # nothing is published yet
+    forecasts.publish(spark, _issued(spark, hourly, range(60)), path)
+    forecasts.publish(spark, _issued(spark, hourly, [9.0] * 100), path)  # hours 0 to 59 stay as they were issued
+    late, early = seen.where("hour(ts) >= 12"), seen.where("hour(ts) < 12")
+    counts = []
+    for delivery in (late, early, late, early):
+        forecasts.mature(spark, delivery, path, truth)
+        counts.append(spark.read.parquet(truth).count())
+    assert counts[1] == counts[3] == 200 - 1 and counts[2] == counts[1] > counts[0]  # hour 150 is ahead of one forecast
+    rows = spark.read.parquet(truth).collect()
+    start = min(r.issued for r in rows)
+    for r in rows:
+        hour = (r.issued - start).total_seconds() / 3600
+        assert r.prediction == (hour if hour < 60 else 9.0) and r.truth == hour + {"day1": 24, "day3": 72}[r.horizon]
+        assert (r.valid - r.issued).total_seconds() == {"day1": 24, "day3": 72}[r.horizon] * 3600
+    found = {r.horizon: r for r in forecasts.scores(spark, path, truth).collect()}
+    assert found["day1"].issued == 100 and found["day1"].n + found["day1"].pending == 100
+
+
+def test_a_corrected_observation_revises_its_matches(spark, hourly):
+    path, truth = session.scratch(spark, "forecasts"), session.scratch(spark, "truth")
+    forecasts.publish(spark, _issued(spark, hourly, range(10)), path)
+    forecasts.mature(spark, hourly(range(100)), path, truth)
+    corrected = hourly([500.0], start="2024-01-02 03:00:00")
+    forecasts.mature(spark, corrected, path, truth)
+    assert spark.read.parquet(truth).where("truth = 500").count() == 0
+    forecasts.mature(spark, corrected, path, truth, revise=True)
+    got = spark.read.parquet(truth)
+    assert got.where("truth = 500").count() == 1 and got.count() == 20
+
+
+def test_landed_lines_are_read_and_broken_ones_put_aside(spark):
+    good = '{"station": "a", "city": "X", "start": 0, "end": 7200, "step": 3600, "hourly": {"rain": [1, null], "dust": [2.5, 3]}}'
+    lines = [good, good[:40], "", "[]", '{"station": "a"}', good.replace("7200", "3600"), good.replace("2.5, 3", "2.5"), good.replace('"dust"', '"other"'),
+             good.replace('"a"', "null")]
+    path = session.scratch(spark, "responses")
+    spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(path)
+    responses, broken = landing.read_responses(spark, path, ["rain", "dust"])
+    rows = landing.explode_hourly(responses, ["rain", "dust"]).orderBy("ts").collect()
+    assert [(r.station, r.city, r.rain, r.dust) for r in rows] == [("a", "X", 1.0, 2.5), ("a", "X", None, 3.0)]
+    told = sorted((r.reason, r.value) for r in broken.collect())
+    assert len(told) == len(lines) - 1 and {r for r, _ in told} == {
+        "empty", "not readable", "no key or times", "field missing", "arrays of another length"}

@@ -1,6 +1,9 @@
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from aerolith import session
+from aerolith.operators import series
 from aerolith.streaming import streams
 from tests.conftest import SMALL
 
@@ -100,3 +103,51 @@ def test_open_windows_are_published_over_several_batches(spark, feed, hourly):
         source = feed(batch)
     got = streams.published(streams.tumbling(source, "us_aqi"), "w", ["station", "window_start", "window_end"], checkpoint)
     assert got.count() == 10
+
+
+def test_rolling_means_over_scrambled_deliveries_equal_the_batch(spark, feed, hourly):
+    """Twenty days with gaps come in five deliveries, hours in no order, some twice; blocks and their halos meet."""
+    whole = hourly([float((i * 37) % 101) for i in range(480)], skip={5, 100, 101, 300, 330}).unionByName(
+        hourly([float(i) for i in range(60)], station="b"))
+    checkpoint, path = session.scratch(spark, "checkpoint"), session.scratch(spark, "rolling")
+    windows = {"m3": 3, "m72": 72}
+    versions = []
+    for k in (3, 0, 4, 1, 2, 1):
+        source = feed(whole.where(f"pmod(xxhash64(station, ts), 5) = {k}"))
+        versions.append(streams.published(streams.rolling(source, "us_aqi", windows, lateness=24 * 60), "rolling", ["station", "ts"], checkpoint).collect())
+    got = {}
+    for rows in versions:
+        got.update({(r.station, r.ts): (r.us_aqi, r.m3, r.m72) for r in rows})
+    batch = series.with_frames(
+        whole, lambda f: {n: series.rolling(f, F.avg, "us_aqi", k) for n, k in windows.items()}, before=71, mode="time").collect()
+    assert len(got) == len(batch) == 535
+    for r in batch:
+        value, m3, m72 = got[r.station, r.ts]
+        assert value == r.us_aqi
+        assert (m3 is None or m3 != m3) if r.m3 is None else m3 == pytest.approx(r.m3)
+        assert (m72 is None or m72 != m72) if r.m72 is None else m72 == pytest.approx(r.m72)
+
+
+def test_rolling_state_ends_with_its_block(spark, feed, hourly):
+    checkpoint = session.scratch(spark, "checkpoint")
+    for start, n in (("2024-01-01", 400), ("2024-03-01", 5), ("2024-03-02", 5)):
+        source = feed(hourly([1.0] * n, start=start))
+        _, query = streams.run(streams.rolling(source, "us_aqi", {"m24": 24}), "rolling", "update", checkpoint=checkpoint)
+    assert 0 < streams.state_rows(query)[-1] < 40
+
+
+def test_labels_come_when_their_hour_is_observed(spark, feed, hourly):
+    """Rows and observations in deliveries of their own; the state holds three days and not the whole past."""
+    out, checkpoint = session.scratch(spark, "labels"), session.scratch(spark, "checkpoint")
+    sizes, days = [], 40
+    for first in range(0, days, 10):
+        part = hourly([float(i) for i in range(24 * first, 24 * (first + 10))], start=str(pd.Timestamp("2024-01-01") + pd.Timedelta(days=first)))
+        joined = streams.labels(feed(part), feed(part), {"day1": 24, "day3": 72})
+        _, query = streams.run(joined, "labels", path=out, checkpoint=checkpoint)
+        sizes.append(streams.state_rows(query)[-1])
+    got = {(r.ts, r.horizon): r.label for r in spark.read.parquet(out).collect()}
+    hours = 24 * days
+    assert len(got) == (hours - 24) + (hours - 72)
+    start = pd.Timestamp("2024-01-01")
+    assert all(label == (pd.Timestamp(ts) - start).total_seconds() / 3600 + {"day1": 24, "day3": 72}[horizon] for (ts, horizon), label in got.items())
+    assert max(sizes[1:]) <= 1.2 * sizes[1] and sizes[-1] < 24 * 25
