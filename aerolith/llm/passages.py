@@ -116,40 +116,54 @@ def _named_phrases(batches):
                                              names=["phrase", "tid", "times"])
 
 
-def _spelled(batches):
-    """The letters of the phrases a home text has to give."""
+PREPARED = ("kind int, shard long, letters string, copy long, tid long, chars long, phrases array<long>, at array<long>, "
+            "first array<long>, windows array<long>, blocks array<long>")
+_NAMES = [f.split()[0] for f in PREPARED.split(", ")]
+_LONGS = pa.list_(pa.int64())
+_KINDS = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), *[_LONGS] * 5]
+
+
+def _prepared(batches):
+    """Texts as their shards need them: letters, and those blocks whose phrases lie in the shard. Of a home text, its phrases too."""
     for batch in batches:
-        text, own, shards = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "own", "own_shard"))
+        text, copy, tid, chars, held = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "copy", "tid", "chars", "held"))
         out = []
         for i in range(batch.num_rows):
-            wanted = np.array(own[i].as_py(), np.int64).view(np.uint64)
+            mine = held[i].as_py()
+            wanted = np.array([h["phrase"] for h in mine], np.int64)
+            order = np.argsort(wanted)
+            wanted, shards = wanted[order], np.array([h["shard"] for h in mine], np.int64)[order]
+            own = np.array([h["own"] for h in mine], bool)[order]
             text_i = Text(text[i].as_py())
-            named, at, _, _ = text_i.blocks()
-            letters = text_i.letters()
-            _, first = np.unique(named, return_index=True)
-            first = first[np.isin(named[first], wanted)]
-            out += [(shards[i].as_py(), letters[p:p + PHRASE]) for p in at[first].tolist()]
+            named, at, first, windows = text_i.blocks()
+            letters, named = text_i.letters(), named.view(np.int64)
+            place = np.minimum(np.searchsorted(wanted, named), len(wanted) - 1)
+            keep = wanted[place] == named
+            named, at, first, windows, place = named[keep], at[keep], first[keep], windows[keep], place[keep]
+            content = text_i.ranges(first, windows + WINDOW - 1, "block").view(np.int64)
+            for phrase, p in zip(*(x[own[place]] for x in (place, at))):
+                out.append((0, shards[phrase], letters[p:p + PHRASE], *[None] * 8))
+            for shard in np.unique(shards[place]):
+                here = shards[place] == shard
+                out.append((1, shard, letters, copy[i].as_py(), tid[i].as_py(), chars[i].as_py(),
+                            *(x[here] for x in (named, at, first, windows, content))))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([x for _, x in out])],
-                                             names=["shard", "letters"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], names=_NAMES)
 
 
-FOUND = "phrase long, block long, tid long, chars long, first long, windows long, hashes array<long>"
+FOUND = "phrase long, block long, tid long, chars long, copy long, first long, windows long"
 
 
 def _locate(batches):
-    """Stream (shard, part) groups: first the phrases, then the texts. One row per located block.
-
-    A block's window hashes come with the first block of its content in the group; the others have none.
-    """
-    automaton, group, compiled, seen = None, None, False, set()
+    """Stream (shard, part) groups: first the phrases, then the texts. One row per block of the shard whose phrase is located."""
+    automaton, group, compiled = None, None, False
     for batch in batches:
-        column = {n: batch.column(batch.schema.get_field_index(n)) for n in ("shard", "part", "kind", "letters", "tid", "chars", "text")}
+        column = {n: batch.column(batch.schema.get_field_index(n)) for n in [*_NAMES, "part"]}
         keys = list(zip(column["shard"].to_pylist(), column["part"].to_pylist(), column["kind"].to_pylist()))
         out = []
         for i, (shard, part, kind) in enumerate(keys):
             if (shard, part) != group:
-                automaton, group, compiled, seen = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), (shard, part), False, set()
+                automaton, group, compiled = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), (shard, part), False
             if kind == 0:
                 automaton.add_word(column["letters"][i].as_py())
                 continue
@@ -158,28 +172,37 @@ def _locate(batches):
             if not compiled:
                 automaton.make_automaton()
                 compiled = True
-            text = Text(column["text"][i].as_py())
-            ends = [end for end, _ in automaton.iter(text.letters())]
+            letters = column["letters"][i].as_py()
+            ends = [end for end, _ in automaton.iter(letters)]
             if not ends:
                 continue
-            named, at, first, windows = text.blocks()
-            here = np.zeros(text.n, bool)
-            here[np.array(ends) - PHRASE + 1] = True
-            here = here[at]
-            named, first, windows = named[here], first[here], windows[here]
-            if not len(named):
-                continue
-            content = text.ranges(first, windows + WINDOW - 1, "block").view(np.int64)
-            new = np.fromiter((c not in seen and not seen.add(c) for c in content.tolist()), bool, len(content))
-            sizes = np.where(new, windows, 0)
-            ends_of = np.cumsum(sizes)
-            flat = np.repeat(first - (ends_of - sizes), sizes) + np.arange(ends_of[-1])
-            ids = np.full((2, len(named)), [[column["tid"][i].as_py()], [column["chars"][i].as_py()]])
-            out.append((named.view(np.int64), content, *ids, first, windows, sizes, text.ranges(flat, WINDOW, "window").view(np.int64)))
+            # Letters of different phrases may be equal: a block counts if it stands where a phrase was located and names one of the shard's.
+            there = np.zeros(len(letters), bool)
+            there[np.array(ends) - PHRASE + 1] = True
+            phrases, at, first, windows, blocks = (
+                column[n][i].values.to_numpy() for n in ("phrases", "at", "first", "windows", "blocks"))
+            here = there[at]
+            count = int(here.sum())
+            out.append((phrases[here], blocks[here], *(np.full(count, column[n][i].as_py()) for n in ("tid", "chars", "copy")), first[here], windows[here]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=[f.split()[0] for f in FOUND.split(", ")])
+
+
+WINDOWS = "phrase long, block long, n long, at long, hash long"
+
+
+def _windows(batches):
+    """Hashes of the windows of the blocks a text stands for."""
+    for batch in batches:
+        out = []
+        for text, asked in zip(batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("asked")).to_pylist()):
+            text = Text(text.as_py())
+            for block in asked:
+                at = np.arange(block["windows"])
+                hashes = text.ranges(block["first"] + at, WINDOW, "window").view(np.int64)
+                out.append((*(np.full(len(at), block[n]) for n in ("phrase", "block", "n")), at, hashes))
         if out:
-            *columns, sizes, hashes = (np.concatenate(c) for c in zip(*out))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(hashes))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=[f.split()[0] for f in FOUND.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=[f.split()[0] for f in WINDOWS.split(", ")])
 
 
 def _release(spark):
@@ -203,39 +226,32 @@ def repeated(docs, text_col="text"):
         "phrase", "home"), "recurring")
     shards = max(1, -(-recurring.count() // PHRASES))
     dealt = F.pmod(F.xxhash64("home"), F.lit(shards)).cast("long")
-    held = named.select("phrase", "tid").join(recurring.withColumn("shard", dealt), "phrase")
-    tasks = store(held.groupBy("tid").agg(
-        F.collect_set("shard").alias("shards"),
-        F.collect_set(F.when(F.col("home") == F.col("tid"), F.col("phrase"))).alias("own"),
-        F.first(F.when(F.col("home") == F.col("tid"), F.col("shard")), ignorenulls=True).alias("own_shard")), "tasks")
+    held = named.select("phrase", "tid").distinct().join(recurring.withColumn("shard", dealt), "phrase")
+    tasks = store(held.groupBy("tid").agg(F.collect_set(
+        F.struct("phrase", "shard", (F.col("home") == F.col("tid")).alias("own"))).alias("held")), "tasks")
     _release(spark)
-    # 2. Texts that name any, once; the automata of the shards.
-    involved = store(texts.join(tasks, "tid"), "involved")
+    # 2. Texts that name any, numbered as they are stored; each is hashed once for all of its shards.
+    involved = store(texts.join(tasks, "tid").withColumn("copy", F.monotonically_increasing_id()), "involved")
     _release(spark)
-    phrases = store(involved.where(F.size("own") > 0).select("text", "own", "own_shard").mapInArrow(
-        _spelled, "shard long, letters string").distinct(), "phrases")
-    # Numbered at the scan of a stored table, so a repeated task deals its rows alike.
-    routes = involved.select(F.monotonically_increasing_id().alias("copy"), "shards", "tid", "chars", "text").select(
-        F.explode("shards").alias("shard"), "copy", "tid", "chars", "text")
-    loads = routes.groupBy("shard").agg(F.ceil(F.sum("chars") / (6 * WORDS)).cast("long").alias("parts"))
+    prepared = store(involved.mapInArrow(_prepared, PREPARED), "prepared")
+    phrases = prepared.where("kind = 0").select("shard", "letters").distinct()
+    routes = prepared.where("kind = 1")
+    loads = routes.groupBy("shard").agg(F.ceil(F.sum(F.length("letters")) / WORDS).cast("long").alias("parts"))
     loads = store(loads.select("shard", F.greatest("parts", F.lit(1)).cast("long").alias("parts")), "loads")
-    none = F.lit(None)
     first = phrases.join(loads, "shard").select(
-        "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), "letters",
-        none.cast("long").alias("tid"), none.cast("long").alias("chars"), none.cast("binary").alias("text"))
-    then = routes.join(loads, "shard").select(
-        "shard", F.pmod(F.xxhash64("tid", "copy"), F.col("parts")).alias("part"), F.lit(1).alias("kind"),
-        none.cast("string").alias("letters"), "tid", "chars", "text")
-    stream = first.unionByName(then).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
+        F.lit(0).alias("kind"), "shard", "letters", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    then = routes.join(loads, "shard").withColumn("part", F.pmod(F.xxhash64("copy"), F.col("parts"))).drop("parts")
+    stream = then.unionByName(first, allowMissingColumns=True).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
     found = store(stream.mapInArrow(_locate, FOUND), "blocks")
     _release(spark)
-    # 3. Blocks by content, then the windows of blocks that are alone.
+    # 3. Blocks by content, then the windows of blocks that are alone, from one text that stands for each content.
     blocks = store(found.groupBy("phrase", "block").agg(
-        F.count("*").alias("n"), F.max("hashes").alias("hashes")), "contents")
+        F.count("*").alias("n"), F.min(F.struct("copy", "first", "windows")).alias("one")), "contents")
     ragged = blocks.groupBy("phrase").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where(
         "kinds > 1 AND least = 1").select("phrase")
-    windows = store(blocks.join(ragged, "phrase", "left_semi").select(
-        "phrase", "block", "n", F.posexplode("hashes").alias("at", "hash")), "windows")
+    asked = blocks.join(ragged, "phrase", "left_semi").groupBy("one.copy").agg(
+        F.collect_list(F.struct("phrase", "block", "n", "one.first", "one.windows")).alias("asked"))
+    windows = store(involved.select("copy", "text").join(asked, "copy").mapInArrow(_windows, WINDOWS), "windows")
     twice = windows.groupBy("phrase", "hash").agg(F.sum("n").alias("m")).where("m > 1").select("phrase", "hash")
     some = windows.where("n = 1").join(twice, ["phrase", "hash"], "left_semi").groupBy("phrase", "block").agg(
         F.collect_list(F.col("at").cast("long")).alias("some"))

@@ -97,3 +97,34 @@ def test_equal_windows_name_equal_phrases():
         assert first[k] <= len(before) < first[k] + windows[k]
         named.append(int(phrase[k]))
     assert len(set(named)) == 1
+
+
+def colliding(n=60):
+    """Pairs of different words with the same letter in the automata."""
+    words = [f"n{i}".encode() for i in range(60_000)]
+    letters = passages.Text(b" ".join(words)).letters()
+    seen, pairs = {}, []
+    for word, letter in zip(words, letters):
+        if letter in seen:
+            pairs.append((seen[letter].decode(), word.decode()))
+        seen[letter] = word
+    assert len(pairs) >= n
+    return pairs[:n]
+
+
+@pytest.mark.parametrize("phrases", [5, 50_000])
+def test_phrases_of_equal_letters_in_several_shards(spark, monkeypatch, phrases):
+    """Templates that differ in words of equal letters: nothing more is cut than what repeats."""
+    monkeypatch.setattr(passages, "PHRASES", phrases)
+    draw = random.Random(11)
+    base, pairs, rows = [f"t{i}" for i in range(60)], colliding(), []
+    for i in range(60):
+        words = list(base)
+        for at in range(3, 60, 7):
+            pair = draw.choice(pairs)
+            words[at] = pair[draw.randrange(2)]
+        rows.append((i, " ".join(words)))
+        twin = [next((p[1 - p.index(w)] for p in pairs if w in p), w) for w in words]
+        rows.append((100 + i, " ".join(twin)))
+    rows += [(300 + i, " ".join([*rows[i][1].split()[:40], f"end{i}"])) for i in range(6)]
+    check(spark, rows)
