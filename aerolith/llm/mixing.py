@@ -19,14 +19,14 @@ marginal that holds no tokens keeps its factor, so a table without any word is d
 """
 
 import warnings
-from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aerolith.session import store
 
-#: Rounds of the fit at least, and at most; the largest relative error of a marginal that ends it.
-ROUNDS, MOST_ROUNDS, TOLERANCE = 8, 100, 1e-6
+#: Rounds of the fit at least, at most, and of a job; the largest relative error of a marginal that ends it, and that is not reported.
+ROUNDS, MOST_ROUNDS, STEP, TOLERANCE, REPORTED = 8, 100, 2, 1e-12, 1e-6
 #: Share of the tokens that a sample is expected to hold at least.
 SHARE = 0.5
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -85,14 +85,8 @@ def _scale(cells, share):
     return most, max(c, 1 / most) if most else None
 
 
-def _error(cells, goals, total):
-    """Largest relative error of the marginals against the goals of values that hold tokens."""
-    worst = []
-    for dim, wanted in goals.items():
-        now = cells.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("ratio")).alias("m"))
-        worst.append(now.join(wanted, dim).where("m > 0 AND goal > 0").select(
-            F.abs(F.col("m") / (F.col("goal") * total) - 1).alias("off")))
-    return reduce(lambda a, b: a.union(b), worst).agg(F.max("off")).first()[0] or 0.0
+def _margin(dim):
+    return F.sum(F.col("tokens") * F.col("ratio")).over(Window.partitionBy(dim))
 
 
 def rake(measured, targets, rounds=None, share=SHARE):
@@ -102,24 +96,32 @@ def rake(measured, targets, rounds=None, share=SHARE):
     dimension once; rounds go on until every marginal is within TOLERANCE, or for `rounds` if that is
     given. Targets that are not met after the last are reported as a warning. After the last the factors are scaled to draw `share` of the tokens, or, if that
     is None, so that the largest draws surely and no other does.
+
+    Goals are joined to the cells once. A round then is one window per dimension over the few cells, and the
+    marginals' errors come with the factors of the same job, so plans stay small for any number of rounds.
     """
     spark, dims = measured.sparkSession, list(targets)
     cells = store(measured.groupBy(*dims).agg(F.sum("mix_tokens").alias("tokens")), "cells")
-    goals = {dim: _targets(spark, cells, dim, wanted) for dim, wanted in targets.items()}
-    fitted = cells.withColumn("ratio", F.lit(1.0))
     total = F.lit(cells.agg(F.sum("tokens").cast("double")).first()[0])
+    fitted = cells.withColumn("ratio", F.lit(1.0))
+    for dim, wanted in targets.items():
+        goals = _targets(spark, cells, dim, wanted).withColumnRenamed("goal", f"goal_{dim}")
+        fitted = fitted.join(goals, dim, "left").withColumn(f"goal_{dim}", F.coalesce(f"goal_{dim}", F.lit(0.0)))
+    fitted = store(fitted, "goals")
     done, off = 0, None
     while done < (rounds or ROUNDS) or (rounds is None and off > TOLERANCE and done < MOST_ROUNDS):
-        for dim in dims:
-            mass = F.col("tokens") * F.col("ratio")
-            now = fitted.groupBy(dim).agg(F.sum(mass).alias("m")).join(goals[dim], dim, "left")
-            factor = now.select(dim, F.when(
-                F.col("m") > 0, F.coalesce("goal", F.lit(0.0)) * total / F.col("m")).otherwise(1.0).alias("factor"))
-            fitted = fitted.join(factor, dim).select(*dims, "tokens", (F.col("ratio") * F.col("factor")).alias("ratio"))
-        fitted, done = store(fitted, "raked"), done + 1
-        if done >= (rounds or ROUNDS):
-            off = _error(fitted, goals, total)
-    if off > TOLERANCE:
+        for _ in range(min(STEP, rounds - done) if rounds else STEP):
+            for dim in dims:
+                margin = fitted.withColumn("margin", _margin(dim))
+                factor = F.when(F.col("margin") > 0, F.col(f"goal_{dim}") * total / F.col("margin")).otherwise(1.0)
+                fitted = margin.withColumn("ratio", F.col("ratio") * factor).drop("margin")
+            done += 1
+        errors = [F.when((_margin(dim) > 0) & (F.col(f"goal_{dim}") > 0), F.abs(_margin(dim) / (F.col(f"goal_{dim}") * total) - 1))
+                  for dim in dims[:-1]]
+        worst = F.greatest(F.lit(0.0), F.lit(0.0), *[F.coalesce(e, F.lit(0.0)) for e in errors])
+        raked = store(fitted.withColumn("off", worst), "raked")
+        fitted, off = raked.drop("off"), raked.agg(F.max("off")).first()[0] or 0.0
+    if off > REPORTED:
         warnings.warn(f"after {done} rounds a marginal is off its target share by {off:.2g} of it")
     most, scale = _scale(fitted, share or 0.0)
     # Divided by the largest where that is the scale, so that the largest is 1 to the last bit.
@@ -152,31 +154,39 @@ def sample(docs, targets, rounds=None, share=SHARE):
     return draw(measured, cells, DIMS).where("mix_kept").select("whole.*")
 
 
-def oracle(table, targets, rounds=ROUNDS):
-    """The same fit as SQL; the last table expression is `drawn`."""
+def oracle(table, targets, share=SHARE, rounds=100):
+    """The same fit as SQL, with rounds enough to settle and the scale from its definition; the last table expression is `drawn`.
+
+    The scale c draws `share` of the tokens: of all sets of largest cells taken whole, the one that asks the largest c for the rest decides.
+    """
     text, number = "coalesce(text, '')", "len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))"
-    steps = [f"""mix_measured AS MATERIALIZED (SELECT *, coalesce(source, '') AS mix_source, coalesce(lang, '') AS mix_lang,
-  CASE WHEN len(regexp_extract_all({text}, '[%$#&*!]')) * 2 > mix_tokens THEN 'noisy' WHEN mix_tokens < 100 THEN 'brief'
-       WHEN mix_tokens >= 1000 THEN 'long' ELSE 'plain' END AS mix_topic
-  FROM (SELECT *, {number} AS mix_tokens FROM {table}))""",
-             f"""mix_cells AS MATERIALIZED (SELECT {', '.join(DIMS)}, sum(mix_tokens)::DOUBLE AS tokens, 1.0::DOUBLE AS ratio
-  FROM mix_measured GROUP BY ALL)"""]
+    goals, picked = [], []
     for dim, power in zip(DIMS, targets):
-        steps.append(f"""goal_{dim} AS MATERIALIZED (SELECT {dim}, g / sum(g) OVER () AS goal FROM (
+        goals.append(f"""goal_{dim} AS (SELECT {dim}, g / sum(g) OVER () AS g_{dim} FROM (
   SELECT {dim}, CASE WHEN sum(tokens) > 0 THEN pow(sum(tokens), {float(power)}) ELSE 0 END AS g FROM mix_cells GROUP BY 1))""")
-
-    def fit(before, step):
-        dim = DIMS[step % len(DIMS)]
-        steps.append(f"""fit_{step} AS MATERIALIZED (SELECT {', '.join('f.' + d for d in DIMS)}, tokens, ratio * CASE WHEN m > 0
-  THEN goal * (SELECT sum(tokens) FROM mix_cells) / m ELSE 1 END AS ratio FROM {before} f
-  JOIN (SELECT {dim}, sum(tokens * ratio) AS m FROM {before} GROUP BY 1) n ON f.{dim} = n.{dim}
-  JOIN goal_{dim} g ON f.{dim} = g.{dim})""")
-        return f"fit_{step}"
-
-    last = reduce(fit, range(rounds * len(DIMS)), "mix_cells")
-    steps.append(f"""mix_last AS (SELECT *, least(1.0, coalesce(ratio / (SELECT max(ratio) FROM {last} WHERE tokens > 0), 1.0)) AS probability
-  FROM {last})""")
-    steps.append("""drawn AS (SELECT m.*, c.ratio AS mix_weight, c.probability AS mix_probability,
-  ('0x' || substr(sha256(coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 < c.probability AS mix_kept
-  FROM mix_measured m JOIN mix_last c USING (mix_source, mix_lang, mix_topic))""")
-    return "WITH " + ",\n".join(steps)
+    for kind in ("{}", "g_{}"):
+        picked.append("CASE step % 3 " + " ".join(f"WHEN {i} THEN {kind.format(d)}" for i, d in enumerate(DIMS)) + " END")
+    margin = f"sum(tokens * ratio) OVER (PARTITION BY {picked[0]})"
+    names = ", ".join(DIMS)
+    return f"""WITH RECURSIVE mix_measured AS MATERIALIZED (SELECT *, coalesce(source, '') AS mix_source, coalesce(lang, '') AS mix_lang,
+  CASE WHEN len(regexp_extract_all({text}, '[%$#&*!]')) * 2 > mix_tokens THEN 'noisy' WHEN mix_tokens < 100 THEN 'brief'
+       WHEN mix_tokens >= 1000 THEN 'long' ELSE 'plain' END AS mix_topic
+  FROM (SELECT *, {number} AS mix_tokens FROM {table})),
+mix_cells AS MATERIALIZED (SELECT {names}, sum(mix_tokens)::DOUBLE AS tokens FROM mix_measured GROUP BY ALL),
+{", ".join(goals)},
+fit AS (
+  SELECT 0 AS step, {names}, tokens, g_mix_source, g_mix_lang, g_mix_topic, 1.0::DOUBLE AS ratio, sum(tokens) OVER () AS total
+  FROM mix_cells JOIN goal_mix_source USING (mix_source) JOIN goal_mix_lang USING (mix_lang) JOIN goal_mix_topic USING (mix_topic)
+  UNION ALL
+  SELECT step + 1, {names}, tokens, g_mix_source, g_mix_lang, g_mix_topic,
+         ratio * CASE WHEN {margin} > 0 THEN {picked[1]} * total / {margin} ELSE 1 END, total
+  FROM fit WHERE step < {3 * rounds}),
+mix_ratios AS (SELECT * FROM fit WHERE step = {3 * rounds}),
+whole AS (
+  SELECT ratio, total, sum(tokens) OVER larger - tokens AS held, sum(tokens * ratio) OVER () - (sum(tokens * ratio) OVER larger - tokens * ratio) AS rest
+  FROM mix_ratios WHERE tokens > 0 WINDOW larger AS (ORDER BY ratio DESC, {names})),
+scale AS (SELECT greatest(1 / max(ratio), max(({share} * total - held) / rest)) AS c FROM whole WHERE rest > 0),
+drawn AS (SELECT m.*, r.ratio AS mix_weight, least(1.0, coalesce(r.ratio * c, 1.0)) AS mix_probability,
+  CASE WHEN r.tokens > 0 THEN greatest(1.0, coalesce(r.ratio * c, 1.0)) ELSE 1.0 END AS mix_repeats,
+  ('0x' || substr(sha256(coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 < least(1.0, coalesce(r.ratio * c, 1.0)) AS mix_kept
+  FROM mix_measured m JOIN mix_ratios r USING ({names}), scale)"""

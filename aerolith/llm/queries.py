@@ -70,19 +70,18 @@ TEMPER = (0.7, 0.7, 0.7)
 
 @query("op9_mixing", mixing.oracle("documents", TEMPER) + """
 SELECT doc_id, mix_source AS source, mix_lang AS lang, mix_topic AS topic, mix_tokens AS tokens,
-       round(mix_weight, 6) AS weight, round(mix_probability, 6) AS probability, mix_kept AS kept
+       round(mix_weight, 6) AS weight, round(mix_probability, 6) AS probability, round(mix_repeats, 6) AS repeats, mix_kept AS kept
 FROM drawn
 """)
 def mixing_weights(spark, sf_dir):
-    """Per document: its cell, raked weight, probability and whether it is drawn."""
+    """Per document: its cell, raked weight, probability, repeats and whether it is drawn."""
     measured = store(mixing.measure(table(spark, sf_dir, "documents")).select(
         "doc_id", "mix_id", "mix_tokens", *mixing.DIMS), "measured")
-    # The SQL fits this many rounds, draws the largest factor surely and no other.
-    cells = mixing.rake(measured, dict(zip(mixing.DIMS, TEMPER)), rounds=mixing.ROUNDS, share=None)
+    cells = mixing.rake(measured, dict(zip(mixing.DIMS, TEMPER)))
     return mixing.draw(measured, cells, mixing.DIMS).select(
         "doc_id", F.col("mix_source").alias("source"), F.col("mix_lang").alias("lang"), F.col("mix_topic").alias("topic"),
         F.col("mix_tokens").alias("tokens"), F.round("mix_weight", 6).alias("weight"),
-        F.round("mix_probability", 6).alias("probability"), F.col("mix_kept").alias("kept"))
+        F.round("mix_probability", 6).alias("probability"), F.round("mix_repeats", 6).alias("repeats"), F.col("mix_kept").alias("kept"))
 
 
 @query("op7_simhash")
