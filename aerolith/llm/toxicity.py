@@ -4,7 +4,9 @@ Texts are folded first: lower case, accents and look-alike letters to plain ones
 signs inside words to the letters they stand for, everything else to a space. Lexicon entries
 are words, or stems that open a word; exceptions are two-word phrases around an entry that
 are innocent and cancel it. Both are learned, with their weights, from a bounded sample of
-labelled rows (FIT_ROWS). Every whole text is then scored: the weights of its matches, in
+labelled rows (FIT_ROWS), which bounds their number too. Innocent phrases are found first: those that are rare in
+toxic texts and make up much of what clean texts have of a word. An entry is then weighed on
+what no innocent phrase covers, so a word of one common phrase still enters. Every whole text is then scored: the weights of its matches, in
 sum and by length, go through a logistic curve fitted on the same sample.
 
 Defined cases: a null text is an empty one and has the score of a text without a match;
@@ -27,9 +29,9 @@ from aerolith.session import store
 
 #: Labelled rows the lexicon and the curve are fitted on, about.
 FIT_ROWS = 20_000
-#: Entries that may be tried, entries and exceptions that may be kept.
-CANDIDATES, ENTRIES, EXCEPTIONS = 50_000, 3_000, 3_000
 LEAST_DOCS, LEAST_WEIGHT = 5, 2.0
+#: Share of the clean texts with an entry that hold it in a phrase, from which the phrase may excuse it.
+PHRASE_SHARE = 0.2
 STEMS = (4, 5, 6)
 #: Look-alikes that Unicode does not decompose, by the letter they pass for.
 LOOKALIKES = {
@@ -98,12 +100,29 @@ def _count_entries(batches):
         yield pa.RecordBatch.from_arrays([pa.array(list(seen)), pa.array(list(seen.values()), pa.int64())], names=["entry", "docs"])
 
 
-def _count_known(known):
+def _uncovered(words, innocent):
+    """The distinct words of a text that stand somewhere outside innocent phrases."""
+    if not innocent:
+        return set(words)
+    free = [True] * len(words)
+    for i, pair in enumerate(zip(words, words[1:])):
+        if pair in innocent:
+            free[i] = free[i + 1] = False
+    return {w for w, f in zip(words, free) if f}
+
+
+def _tally(known, innocent=frozenset(), phrases=False):
+    """Texts per known entry, outside innocent phrases, or per two-word phrase around one; by label."""
     def run(batches):
         wanted, seen = set(known), {0: Counter(), 1: Counter()}
         for batch in batches:
             for text, toxic in zip(_texts(batch), batch.column(batch.schema.get_field_index("toxic")).to_pylist()):
-                seen[toxic].update(wanted.intersection(_entries(set(fold(text).split()))))
+                words = fold(text).split()
+                if phrases:
+                    near = {w for w in set(words) if not wanted.isdisjoint(_entries((w,)))}
+                    seen[toxic].update({f"{a} {b}" for a, b in zip(words, words[1:]) if a in near or b in near})
+                else:
+                    seen[toxic].update(wanted.intersection(_entries(_uncovered(words, innocent))))
         for toxic, counts in seen.items():
             if counts:
                 yield pa.RecordBatch.from_arrays(
@@ -113,8 +132,14 @@ def _count_known(known):
     return run
 
 
+def _counted(sample, tally):
+    return sample.mapInArrow(tally, "entry string, toxic long, docs long").groupBy("entry").agg(
+        F.sum(F.when(F.col("toxic") == 1, F.col("docs")).otherwise(0)).alias("bad"),
+        F.sum(F.when(F.col("toxic") == 0, F.col("docs")).otherwise(0)).alias("good"))
+
+
 class Lexicon:
-    """Entries with weights, exception phrases, and the curve. Its size is bounded by ENTRIES and EXCEPTIONS."""
+    """Entries with weights, exception phrases, and the curve. Its size is bounded by that of the sample."""
 
     def __init__(self, weights, exceptions=(), curve=(0.0, 0.0, 0.0, 0.0)):
         self.weights, self.exceptions, self.curve = weights, sorted(exceptions), curve
@@ -129,26 +154,25 @@ class Lexicon:
             for entry, weight in self.weights.items():
                 self._automaton.add_word(entry, (len(entry), weight))
             for phrase in self.exceptions:
-                self._automaton.add_word(phrase, (len(phrase), None))
+                self._automaton.add_word(phrase, (len(phrase), -phrase.index(" ", 1)))
             if len(self._automaton):
                 self._automaton.make_automaton()
         return self._automaton
 
     def hits(self, folded):
         """Matches as {start: weight}: the heaviest entry of a word, if no exception covers it."""
-        found, excused = {}, []
+        found, excused = {}, set()
         automaton = self.automaton()
         if not len(automaton):
             return found
         for end, (length, weight) in automaton.iter(folded):
             start = end - length + 1
-            if weight is None:
-                excused.append((start, end))
+            if weight < 0:  # of a phrase: where its second word starts
+                excused.update((start, start - weight))
             elif weight > found.get(start, 0):
                 found[start] = weight
-        for a, b in excused:
-            for start in [s for s in found if a <= s < b]:
-                del found[start]
+        for start in excused:
+            found.pop(start, None)
         return found
 
     def features(self, folded):
@@ -163,25 +187,15 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, x))))
 
 
-def _phrases(lexicon):
-    """Per document: its features; and the two-word phrases around its matches."""
+def _described(lexicon):
+    """Label and features of each text."""
     def run(batches):
         for batch in batches:
-            rows = []
-            for text, toxic in zip(_texts(batch), batch.column(batch.schema.get_field_index("toxic")).to_pylist()):
-                folded = fold(text)
-                around = set()
-                for start in lexicon.hits(folded):
-                    end = folded.index(" ", start + 1)
-                    if start > 0:
-                        around.add(folded[folded.rindex(" ", 0, start):end + 1])
-                    if end + 1 < len(folded):
-                        around.add(folded[start:folded.index(" ", end + 1) + 1])
-                rows.append((toxic, sorted(around), *lexicon.features(folded)))
+            rows = [(toxic, *lexicon.features(fold(text))) for text, toxic in zip(
+                _texts(batch), batch.column(batch.schema.get_field_index("toxic")).to_pylist())]
             if rows:
-                kinds = [pa.int64(), pa.list_(pa.string()), pa.float64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)],
-                                                 names=["toxic", "phrases", "f1", "f2", "f3"])
+                kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["toxic", "f1", "f2", "f3"])
 
     return run
 
@@ -213,7 +227,7 @@ def labelled(docs, labels, id_col="doc_id", text_col="text", rows=FIT_ROWS):
 
 
 def learn(docs, labels, id_col="doc_id", text_col="text", rows=FIT_ROWS):
-    """A Lexicon from labelled rows. What reaches the driver is bounded by the constants above."""
+    """A Lexicon from labelled rows. What reaches the driver is bounded by the sample of FIT_ROWS."""
     sample = labelled(docs, labels, id_col, text_col, rows)
     totals = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
@@ -222,22 +236,21 @@ def learn(docs, labels, id_col="doc_id", text_col="text", rows=FIT_ROWS):
         edge = 40.0 if share else -40.0
         return Lexicon({}, (), (edge, 0.0, 0.0, 0.0))
     tried = sample.where("toxic = 1").mapInArrow(_count_entries, "entry string, docs long").groupBy("entry").agg(
-        F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_DOCS).orderBy(F.desc("docs"), "entry").limit(CANDIDATES)
-    known = [r["entry"] for r in tried.collect()]
-    counts = sample.mapInArrow(_count_known(known), "entry string, toxic long, docs long").groupBy("entry").agg(
-        F.sum(F.when(F.col("toxic") == 1, F.col("docs")).otherwise(0)).alias("bad"),
-        F.sum(F.when(F.col("toxic") == 0, F.col("docs")).otherwise(0)).alias("good"))
+        F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_DOCS)
+    known = sorted(r["entry"] for r in tried.collect())
+    clean_docs = {r["entry"]: r["good"] for r in _counted(sample, _tally(known)).collect()}
+    rare = (F.col("good") >= LEAST_DOCS) & (F.col("bad") * clean * 2 < F.col("good") * toxic)
+    innocent = set()
+    for r in _counted(sample, _tally(known, phrases=True)).where(rare).collect():
+        pair = tuple(r["entry"].split(" "))
+        if any(r["good"] >= PHRASE_SHARE * clean_docs[e] for e in _entries(pair) if e in clean_docs):
+            innocent.add(pair)
     odds = F.log((F.col("bad") + 0.5) / (toxic + 1)) - F.log((F.col("good") + 0.5) / (clean + 1))
-    best = counts.select("entry", "bad", odds.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT).orderBy(
-        F.desc(F.col("weight") * F.log1p("bad")), "entry").limit(ENTRIES)
-    lexicon = Lexicon({r["entry"]: r["weight"] for r in best.collect()})
-    shape = "toxic long, phrases array<string>, f1 double, f2 double, f3 double"
-    around = sample.mapInArrow(_phrases(lexicon), shape).select("toxic", F.explode("phrases").alias("phrase"))
-    innocent = around.groupBy("phrase").agg(
-        F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")).where(
-        (F.col("good") >= LEAST_DOCS) & (F.col("bad") * clean * 2 < F.col("good") * toxic))
-    lexicon = Lexicon(lexicon.weights, [r["phrase"] for r in innocent.orderBy(F.desc("good"), "phrase").limit(EXCEPTIONS).collect()])
-    seen = sample.mapInArrow(_phrases(lexicon), shape).select("toxic", "f1", "f2", "f3").collect()
+    best = _counted(sample, _tally(known, frozenset(innocent))).where(F.col("bad") >= LEAST_DOCS).select("entry", odds.alias("weight"))
+    weights = {r["entry"]: r["weight"] for r in best.where(F.col("weight") >= LEAST_WEIGHT).orderBy("entry").collect()}
+    excuses = [f" {a} {b} " for a, b in innocent if any(e in weights for e in _entries((a, b)))]
+    lexicon = Lexicon(weights, excuses)
+    seen = sample.mapInArrow(_described(lexicon), "toxic long, f1 double, f2 double, f3 double").collect()
     values = np.array(sorted(tuple(r) for r in seen), float)
     return Lexicon(lexicon.weights, lexicon.exceptions, _curve(values[:, 1:], values[:, 0]))
 
