@@ -6,10 +6,11 @@ base64): chi-squared of the alphabet's uniformity, number of runs above and belo
 alphabet's middle, and correlation of neighbours. The least of the three p-values, times
 three, is the token's p; ordinary text has a p near zero.
 
-How many ordinary tokens pass by chance depends on the length. Tokens of letters of one
-case only are taken as ordinary: for each length class (powers of the square root of two)
+How many ordinary tokens pass by chance depends on the length. Tokens of letters only, words run
+together in any case, are taken as ordinary: for each length class (powers of the square root of two)
 the lowest bar on p is chosen at which their share that passes, applied to all tokens, stays
-below RATE of the tokens that pass.
+below RATE of the tokens that pass. That share leans on the share of all classes as if on PRIOR tokens more, and one
+ordinary token is always assumed to pass: a class with few ordinary tokens, or none, has no laxer bar for it.
 
 Only DataFrame functions. Positions are code points; they follow from the pieces between
 matches, which Spark's split gives. What reaches the driver is one row per length class.
@@ -31,6 +32,8 @@ KINDS = ["assign", "access", "hex", "random"]
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
 LEAST = 20
 RATE = 0.05
+#: Ordinary tokens that the share of all classes counts for in each class.
+PRIOR = 20
 BARS = [0.001, 0.003, 0.01, 0.03, 0.1, 0.3]
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -124,7 +127,7 @@ def scored(candidates):
     p = _battery({name: F.col(name) for name in ("k", "n", "squares", "high", "runs", "total", "powers", "products")})
     return rows.withColumns({
         "p": F.coalesce(F.nanvl(p, F.lit(0.0)), F.lit(0.0)), "length_class": F.floor(2 * F.log2("n")).cast("int"),
-        "ordinary": F.col("plain").rlike("^(?:[a-z]+|[A-Z]+)$")})
+        "ordinary": F.col("plain").rlike("^[A-Za-z]+$")})
 
 
 def bars(tested):
@@ -133,11 +136,13 @@ def bars(tested):
     plain = [F.sum((F.col("ordinary") & (F.col("p") >= bar)).cast("long")).alias(f"plain{i}") for i, bar in enumerate(BARS)]
     rows = tested.groupBy("length_class").agg(
         F.count("*").alias("n"), F.sum(F.col("ordinary").cast("long")).alias("m"), *counts, *plain).collect()
+    every = sum(row["m"] for row in rows)
+    pooled = [(1 + sum(row[f"plain{i}"] for row in rows)) / (1 + every) for i in range(len(BARS))]
     found = {}
     for row in rows:
         for i, bar in enumerate(BARS):
-            expected = row["n"] * row[f"plain{i}"] / row["m"] if row["m"] else 0.0
-            if row[f"all{i}"] and expected <= RATE * row[f"all{i}"]:
+            share = (row[f"plain{i}"] + PRIOR * pooled[i]) / (row["m"] + PRIOR)
+            if row[f"all{i}"] and row["n"] * share <= RATE * row[f"all{i}"]:
                 found[row["length_class"]] = bar
                 break
     return found

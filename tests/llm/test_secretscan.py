@@ -109,6 +109,37 @@ def test_random_tokens_are_added_and_prose_is_not(spark):
     assert "random:10:" in found[100] or "random:10:" in found[101]
 
 
+def test_names_of_run_together_words_are_no_secrets(spark):
+    """Three hundred names in mixed case, and nothing else that could tell how often such names pass."""
+    draw = random.Random(3)
+    nouns = "apple river table stone light cloud paper green house music winter garden silver mountain window".split()
+    rows = [(i, f"call {''.join(w.title() for w in draw.choices(nouns, k=7))} now") for i in range(300)]
+    found = secretscan.digest(secretscan.scan(docs(spark, rows))).collect()
+    assert sum("random:" in r["spans"] for r in found) == 0
+
+
+@pytest.mark.parametrize("ordinary", [0, 3, 400])
+def test_bars_equal_brute_force(spark, ordinary):
+    draw = random.Random(ordinary)
+    tokens = ["".join(draw.choices(secretscan.ALPHABETS["base64"], k=draw.randint(20, 70))) for _ in range(80)]
+    tokens += ["".join(draw.choices("etaoinshrdluETAOINSHRDLU", k=draw.randint(20, 40))) for _ in range(ordinary)]
+    tested = secretscan.scored(spark.createDataFrame([(t,) for t in tokens], "token string"))
+    rows = [(r["length_class"], r["p"], r["token"].isalpha()) for r in tested.collect()]
+    passing = lambda bar, some: sum(p >= bar for _, p, o in some if o)
+    every, want = sum(o for _, _, o in rows), {}
+    for length in {c for c, _, _ in rows}:
+        mine = [r for r in rows if r[0] == length]
+        for bar in secretscan.BARS:
+            pooled = (1 + passing(bar, rows)) / (1 + every)
+            share = (passing(bar, mine) + 20 * pooled) / (sum(o for _, _, o in mine) + 20)
+            hits = sum(p >= bar for _, p, _ in mine)
+            if hits and len(mine) * share <= 0.05 * hits:
+                want[length] = bar
+                break
+    assert secretscan.bars(tested) == want
+    assert bool(want) == (ordinary == 400)
+
+
 def test_empty_table_and_native_plan(spark):
     empty = secretscan.digest(secretscan.scan(docs(spark, [])))
     assert empty.count() == 0
