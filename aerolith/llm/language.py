@@ -10,7 +10,7 @@ grouped aggregation, with the language of the text alone standing for the unknow
 page's own count is left out of its host's and domain's prior. Long texts weigh less per
 trigram, as their trigrams repeat each other's evidence.
 
-Defined cases: a null page is empty; without text, declaration or address a page has what the
+Defined cases: a language is the two or three letters that open a tag ("en-US" is "en"), other values are none; a null page is empty; without text, declaration or address a page has what the
 rest says, at last the share of languages over all pages; an address without a host has
 the host ""; repeated rows are pages of their own; null identifiers are carried; without a
 document of known language the result has null languages; an empty table gives an empty result.
@@ -98,15 +98,18 @@ def _count(names):
 
 def learn(docs, text_col="text", lang_col="lang", id_col="doc_id", rows=FIT_ROWS):
     """Trigram tables of every language, each from about `rows` of its documents at most, drawn by a hash of identifier and text."""
+    # The primary subtag of a language tag; what has no such shape is no language.
+    code = F.regexp_extract(F.lower(F.trim(F.col(lang_col).cast("string"))), r"^([a-z]{2,3})(?:[-_].*)?$", 1)
     known = docs.select(F.col(id_col).cast("string").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
-                        F.lower(F.col(lang_col).cast("string")).alias("lang")).where("lang IS NOT NULL AND lang <> ''")
+                        code.alias("lang")).where("lang IS NOT NULL AND lang <> ''")
     # One row per language; names come from all documents, never from the sample.
     of_lang = known.groupBy("lang").count().select(
         "lang", F.ceil(F.lit(float(rows)) / F.col("count") * (1 << 31)).cast("long").alias("bound"))
     bounds = {r["lang"]: r["bound"] for r in of_lang.collect()}
     names = sorted(bounds)
-    # Rows that share an identifier are drawn apart by their texts.
-    drawn = known.join(of_lang, "lang").where(F.pmod(F.xxhash64("i", "text"), F.lit(1 << 31)) < F.col("bound")).select("text", "lang")
+    # Drawn where the texts lie, before anything is moved; rows that share an identifier are drawn apart by their texts.
+    bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("lang")] if names else F.lit(0)
+    drawn = known.where(F.pmod(F.xxhash64("i", "text"), F.lit(1 << 31)) < bound).select("text", "lang")
     counts = np.zeros((BUCKETS, len(names)))
     if names:
         drawn = store(drawn, "known")
@@ -161,25 +164,28 @@ def identify(pages, model, id_col="page_id", url_col="url", html_col="html"):
     for by in ("declared", "suffix", "host", "domain"):
         rows = rows.join(_seen(read, by).withColumnRenamed(by, f"k_{by}"), F.col(by) == F.col(f"k_{by}"), "left")
 
-    def seen(by, lang):
-        return F.coalesce(F.element_at(f"n_{by}", F.lit(lang)), F.lit(0)).cast("double")
+    # Sums of a value's pages once a row; languages as an array, so that the plan is as long for a hundred as for four.
+    whole = {by: F.aggregate(F.coalesce(F.map_values(f"n_{by}"), F.array().cast("array<long>")), F.lit(0).cast("long"), lambda a, n: a + n)
+             for by in ("host", "domain")}
+    rows = rows.withColumns({f"t_{by}": F.greatest(F.lit(0.0), total_of - F.col("text_lang").isNotNull().cast("double"))
+                             for by, total_of in whole.items()})
+    listed, pages_in = F.array(*map(F.lit, names)), F.array(*[F.lit(float(shares.get(n, 0))) for n in names])
 
-    scores = []
-    for i, lang in enumerate(names):
+    def score(evidence, i):
+        lang, of_lang = F.get(listed, i), F.get(pages_in, i)
+        seen = lambda by: F.coalesce(F.element_at(f"n_{by}", lang), F.lit(0)).cast("double")
         own = F.when(F.col("text_lang") == lang, 1.0).otherwise(0.0)
-        base = (shares.get(lang, 0) + 1.0) / (total + len(names))
-        pages_of = lambda by: F.greatest(
-            F.lit(0.0), sum((seen(by, n) for n in names), F.lit(0.0)) - F.col("text_lang").isNotNull().cast("double"))
-        domain = (F.greatest(F.lit(0.0), seen("domain", lang) - own) + PARENT * base) / (pages_of("domain") + PARENT)
-        host = (F.greatest(F.lit(0.0), seen("host", lang) - own) + PARENT * domain) / (pages_of("host") + PARENT)
-        of_lang = shares.get(lang, 0)
-        says = (seen("declared", lang) + OTHER + F.when(F.col("declared") == lang, AGREES).otherwise(0.0)) / (
+        base = (of_lang + 1.0) / (total + len(names))
+        domain = (F.greatest(F.lit(0.0), seen("domain") - own) + PARENT * base) / (F.col("t_domain") + PARENT)
+        host = (F.greatest(F.lit(0.0), seen("host") - own) + PARENT * domain) / (F.col("t_host") + PARENT)
+        says = (seen("declared") + OTHER + F.when(F.col("declared") == lang, AGREES).otherwise(0.0)) / (
             of_lang + OTHER * kinds["declared"] + AGREES)
-        ends = (seen("suffix", lang) + OTHER) / (of_lang + OTHER * max(1, kinds["suffix"]))
-        score = F.element_at("evidence", i + 1) + F.log(host) + F.when(F.col("declared").isNotNull(), F.log(says)).otherwise(0.0) + F.when(
+        ends = (seen("suffix") + OTHER) / (of_lang + OTHER * max(1, kinds["suffix"]))
+        value = evidence + F.log(host) + F.when(F.col("declared").isNotNull(), F.log(says)).otherwise(0.0) + F.when(
             F.col("suffix") != "", F.log(ends)).otherwise(0.0)
-        scores.append(F.struct(score.alias("score"), F.lit(lang).alias("lang")))
-    rows = rows.withColumn("scores", F.array(*scores))
+        return F.struct(value.alias("score"), lang.alias("lang"))
+
+    rows = rows.withColumn("scores", F.transform("evidence", score))
     rows = rows.withColumn("best", F.array_max("scores"))
     odds = F.transform("scores", lambda s: F.exp(s["score"] - F.col("best.score")))
     norm = F.aggregate(odds, F.lit(0.0), lambda a, b: a + b)

@@ -87,3 +87,24 @@ def test_a_rare_language_is_in_the_model_at_every_size(spark):
     assert model.names[int(model.evidence("ekki var það hægt").argmax())] == "is"
     # Both tables are learnt, not smoothing alone.
     assert all(len(np.unique(model.log[:, k])) > 1 for k in range(2))
+
+
+def test_tags_are_read_by_their_first_part_and_junk_is_no_language(spark):
+    rows = [(1, "the house", "en-US"), (2, "the garden", " EN"), (3, "das haus", "de_AT"), (4, "x", "english"), (5, "x", "??"), (6, "x", None), (7, "x", "")]
+    assert language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string")).names == ["de", "en"]
+
+
+def test_many_languages_cost_little_more_than_few(spark):
+    """Two hundred languages of invented letters: right answers, and a plan no longer than that of four."""
+    draw = np.random.default_rng(7)
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 1200)]
+    code = lambda k: chr(97 + k // 26) + chr(97 + k % 26)
+    text = lambda k, n: " ".join("".join(draw.choice(letters[6 * k:6 * k + 6], 4)) for _ in range(n))
+    docs = spark.createDataFrame([(k, text(k, 60), code(k)) for k in range(200)], "doc_id long, text string, lang string")
+    pages = spark.createDataFrame([(k, f"http://h{k % 9}.example/{k}", text(k, 20)) for k in range(200)], "page_id long, url string, html string")
+    model = language.learn(docs)
+    found = language.identify(pages, model)
+    assert len(model.names) == 200 and sum(r["lang"] == code(r["id"]) for r in found.collect()) > 195
+    few = language.identify(pages, language.learn(docs.where("doc_id < 4")))
+    size = lambda df: len(df._jdf.queryExecution().optimizedPlan().toString().split("score"))
+    assert size(found) == size(few)
