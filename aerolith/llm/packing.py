@@ -17,6 +17,7 @@ are not read.
 """
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ END = 0
 SHARD, TASK = 512, 4096
 K1, B = 1.2, 0.75
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Runs of one kind of character that the ranks' reader is not given.
+LONG_RUN = re.compile(r"\s{1000}")
 
 _ENCODERS = {}
 
@@ -51,7 +54,10 @@ def encoder(vocabulary):
             with open(vocabulary, "rb") as lines:
                 ranks = {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines)}
             tokens = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _ENCODERS[vocabulary] = lambda texts: [tokens.encode_ordinary(t) for t in texts]
+            patient = f"{vocabulary.removesuffix('.tiktoken')}.json"
+            # The ranks' reader recurs once a character in long runs of white space; the tokenizers file gives the same ids without.
+            _ENCODERS[vocabulary] = lambda texts: [
+                encoder(patient)([t])[0] if LONG_RUN.search(t) else tokens.encode_ordinary(t) for t in texts]
     return _ENCODERS[vocabulary]
 
 

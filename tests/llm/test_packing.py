@@ -93,3 +93,14 @@ def test_a_seed_is_joined_by_its_neighbours():
     alike = [np.full(200, t) for t in (1, 2, 1, 2, 1, 2, 1, 2)]
     windows = packing.fill(alike, 800, np.ones(3), 200.0)
     assert [sorted(i % 2 for i, _, _ in w) for w in windows] == [[0] * 4, [1] * 4]
+
+
+def test_long_runs_of_one_character(tokenizer):
+    """A million blanks, line ends, letters, digits or signs: the same ids as by the tokenizers file."""
+    encode = packing.encoder(public_tokenizers.path(packing.VOCABULARY))
+    for run in (" ", "\n", " \n", "\t"):
+        text = f"a{run * 1_000_000}b"
+        assert [*encode([text])[0], 0] == tokenizer(text)
+    for run in ("a", "7", "!"):
+        text = f"x {run * 20_000} y"
+        assert [*encode([text])[0], 0] == tokenizer(text)
