@@ -44,7 +44,7 @@ AREA, ROWS = 1 << 22, 2048
 #: Queries of a group; blocks of a task; terms whose bounds are held at once.
 QUERIES, BLOCKS, TERMS = 256, 16, 2048
 #: Terms counted before they are handed on, hashes remembered by a task.
-COUNTED, REMEMBERED = 500_000, 1_000_000
+COUNTED, REMEMBERED = 150_000, 200_000
 
 #: A-Z to lower case; every ASCII character that is no letter or digit separates terms.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -325,7 +325,9 @@ def _exact(docs, length):
 
 def _scored(index, queries, pairs):
     """Exact scores above 0 of stored (item, row) pairs, from the whole texts of just those rows."""
-    texts = index.docs.join(pairs.select("row").distinct(), "row", "left_semi").select("row", "text")
+    # Stored, so that the join knows how few the rows are and leaves the other texts where they lie.
+    asked = store(pairs.select("row").distinct(), "asked")
+    texts = index.docs.join(asked, "row", "left_semi").select("row", "text")
     wanted = pairs.select("item", "row").join(queries, "item").groupBy("row", "grp").agg(
         F.collect_list(F.struct("item", "terms", "weights")).alias("wanted"))
     return texts.join(wanted, "row").select("row", "text", "wanted").mapInArrow(
