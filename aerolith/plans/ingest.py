@@ -1,10 +1,11 @@
 """Queries that read, join, store and publish."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from aerolith import session
 from aerolith.functions import columns as C
-from aerolith.operators import analogues, audits, features, metrics
+from aerolith.operators import analogues, audits, explain, features, metrics
 from aerolith.operators.features import FEATURE_COLUMNS, HORIZONS, STORED_COLUMNS, WEATHER, AIR, mean
 from aerolith.plans import sql
 from aerolith.plans.evaluation import similar_sql
@@ -283,6 +284,8 @@ forecast AS (SELECT station, ts, round_even(us_aqi, 1) AS today,
   FROM means WHERE back = 1)"""
 _BAND = "CASE " + " ".join(f"WHEN {{v}} <= {u} THEN '{t}'" for u, t, _ in C.BANDS[:-1]) \
     + f" WHEN {{v}} IS NOT NULL THEN '{C.BANDS[-1][1]}' END"
+_ADVICE = "CASE " + " ".join(f"WHEN {{v}} <= {u} THEN '{t}'" for u, _, t in C.BANDS[:-1]) \
+    + f" WHEN {{v}} IS NOT NULL THEN '{C.BANDS[-1][2]}' END"
 _LONG = f"""long AS (SELECT station, horizon, day, date_add(ts, to_days(CAST(day AS INTEGER))) AS d, CAST(round_even(aqi, 0) AS INTEGER) AS aqi FROM (
   SELECT station, ts, 'today' AS horizon, 0 AS day, today AS aqi FROM forecast UNION ALL
   SELECT station, ts, 'day1', 1, day1 FROM forecast UNION ALL
@@ -293,9 +296,9 @@ _LONG_SELECT = f"""SELECT station, horizon,
   strftime(d, '%b ') || CAST(day(d) AS VARCHAR) AS date_label, aqi, {_BAND.format(v='aqi')} AS band FROM long"""
 
 
-@query("forecast_long", f"WITH {sql.OBS}, {_FORECAST}, {_LONG} {_LONG_SELECT}")
+@query("forecast_long", f"WITH {sql.OBS}, {_FORECAST}, {_LONG} SELECT *, {_ADVICE.format(v='aqi')} AS advice FROM ({_LONG_SELECT})")
 def forecast_long(spark, sf_dir):
-    return outputs.forecast_long(_forecast(tables.observations(spark, sf_dir))).drop("advice")
+    return outputs.forecast_long(_forecast(tables.observations(spark, sf_dir)))
 
 
 @query("forecast_csv", f"WITH {sql.OBS}, {_FORECAST}, {_LONG} SELECT l.*, "
@@ -313,11 +316,35 @@ def forecast_csv(spark, sf_dir):
     return spark.read.option("header", True).schema(rows.schema).csv(path)
 
 
-_DAYS_FEATURES = ["us_aqi", "pm2_5", "wind_speed_10m", "relative_humidity_2m", "surface_pressure"]
+_MODELS = {f"day{i}": f"mean of {n} hours" for i, n in enumerate(HORIZONS.values(), 1)}
+_TOP = 6
 
 
-@query("forecast_payload", f"""WITH {sql.OBS}, features AS (SELECT * FROM obs), {_FORECAST}, {_STATE},
-  {similar_sql(_DAYS_FEATURES)},
+def _shares(features_built):
+    """The newest complete row's largest shares in a one-feature linear model of the next day's index, ranked."""
+    newest = outputs.latest_rows(features.complete(features_built, FEATURE_COLUMNS)).select("station", "ts", *FEATURE_COLUMNS)
+    shares = explain.linear_shapley(newest, explain.slopes(features_built, FEATURE_COLUMNS, "aqi_day1"))
+    order = Window.partitionBy("station").orderBy(F.desc(F.abs("value")), "feature")
+    return shares.withColumn("place", F.row_number().over(order)).where(F.col("place") <= _TOP).select(
+        "station", "place", "feature", C.title_name(F.col("feature")).alias("name"), F.bround(F.abs("value"), 1).alias("impact"),
+        F.lit("linear share").alias("method"))
+
+
+_SHARES_SQL = f"""ahead AS (SELECT *, {sql.lead('us_aqi', 24, 'aqi_day1')} FROM features),
+slopes AS (SELECT station AS st, {', '.join(
+    f'coalesce(CASE WHEN var_pop({c}) > 0 THEN regr_slope(aqi_day1, {c}) END, 0) AS {c}_b, avg({c}) AS {c}_m' for c in FEATURE_COLUMNS)}
+  FROM ahead WHERE aqi_day1 IS NOT NULL GROUP BY 1),
+shares AS ({' UNION ALL '.join(f"SELECT station, '{c}' AS feature, {c}_b * ({c} - {c}_m) AS share FROM now_row JOIN slopes ON st = station"
+                               for c in FEATURE_COLUMNS)}),
+top_shares AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY abs(share) DESC, feature) AS place,
+  regexp_replace(array_to_string(list_transform(string_split(feature, '_'), lambda w: upper(w[1]) || lower(w[2:])), ' '), '([0-9])h$', '\\1H') AS name
+  FROM shares QUALIFY place <= {_TOP}),
+importances AS (SELECT station, to_json(list({{'feature': feature, 'name': name, 'impact': round_even(abs(share), 1), 'method': 'linear share'}}
+  ORDER BY place)) AS importances FROM top_shares GROUP BY 1)"""
+
+
+@query("forecast_payload", f"""WITH {sql.FEATURES}, {_FORECAST}, {_STATE},
+  {similar_sql(FEATURE_COLUMNS)}, {_SHARES_SQL},
   pollutants AS (SELECT station, to_json(list({{'pollutant': pollutant, 'value': value, 'unit': unit,
     'limit_value': limit_value, 'percent_of_limit': percent_of_limit, 'status': status}} ORDER BY place)) AS pollutants
     FROM state GROUP BY 1),
@@ -325,31 +352,50 @@ _DAYS_FEATURES = ["us_aqi", "pm2_5", "wind_speed_10m", "relative_humidity_2m", "
     'humidity_high': humidity_high}} ORDER BY place)) AS similar_days FROM similar_days GROUP BY 1)
   SELECT f.station, strftime(f.ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS last_updated,
     CAST(to_json({{'today': today, 'day1': day1, 'day2': day2, 'day3': day3}}) AS VARCHAR) AS predictions,
-    CAST(pollutants AS VARCHAR) AS pollutants, CAST(similar_days AS VARCHAR) AS similar_days
-  FROM forecast AS f LEFT JOIN pollutants AS p ON p.station = f.station LEFT JOIN days AS d ON d.station = f.station""")
+    CAST(to_json({{{', '.join(f"'{d}': '{m}'" for d, m in _MODELS.items())}}}) AS VARCHAR) AS models,
+    CAST(to_json({{'forecast': CASE WHEN today IS NULL OR day1 IS NULL OR day2 IS NULL OR day3 IS NULL THEN 'incomplete' ELSE 'ok' END}}) AS VARCHAR) AS status,
+    CAST(pollutants AS VARCHAR) AS pollutants, CAST(similar_days AS VARCHAR) AS similar_days, CAST(importances AS VARCHAR) AS importances
+  FROM forecast AS f LEFT JOIN pollutants AS p ON p.station = f.station LEFT JOIN days AS d ON d.station = f.station
+  LEFT JOIN importances AS i ON i.station = f.station""")
 def forecast_payload(spark, sf_dir):
-    """Nested rows as JSON text, written as JSON and read back."""
-    obs = session.store(tables.observations(spark, sf_dir), "hours")
+    """Predictions with their models and status, pollutants, analogue days on all features and importances, as JSON written and read back."""
+    built = session.store(features.build(tables.observations(spark, sf_dir), {"aqi_day1": 24}), "features")
     nested = outputs.payload(
-        _forecast(obs), outputs.against_limits(outputs.latest_pollutants(obs)),
-        analogues.top_days(obs, _DAYS_FEATURES))
+        _forecast(built), outputs.against_limits(outputs.latest_pollutants(built)),
+        analogues.top_days(built, FEATURE_COLUMNS), _shares(built), _MODELS)
     path = session.scratch(spark, "payload")
     nested.write.json(path)
     return outputs.payload_json(spark.read.schema(nested.schema).json(path))
 
 
+_LOGGED = {h: ("mean_24h", scaler, weight) for h, scaler, weight in zip(
+    HORIZONS, ("standard", "robust", None), ("weight_recency", "weight_event", None))}
+
+
+def _text(value):
+    return "NULL::VARCHAR" if value is None else f"'{value}'"
+
+
 @query("metrics_log_append", shown(
-    f"WITH {sql.SMALL_TARGETS}, e AS (SELECT 'aqi_day1' AS horizon, aqi_day1 AS t, us_aqi AS p FROM targets "
-    "UNION ALL SELECT 'aqi_day2', aqi_day2, us_aqi FROM targets UNION ALL SELECT 'aqi_day3', aqi_day3, us_aqi "
-    "FROM targets), m AS (SELECT horizon, count(*) AS n, sqrt(avg((t - p) * (t - p))) AS rmse, "
-    "avg(abs(t - p)) AS mae, 1 - avg((t - p) * (t - p)) / var_pop(t) AS r2 FROM e WHERE t IS NOT NULL GROUP BY 1) "
-    "SELECT run, 'persistence' AS winner, m.* FROM m, (VALUES ('first'), ('second')) AS r(run)",
-    "run winner horizon n", "rmse mae r2"))
+    f"""WITH {sql.SERIES}, wide AS (SELECT station, ts, us_aqi, {sql.rolling('avg', 'us_aqi', 24, 'mean_24h')},
+  {', '.join(sql.lead('us_aqi', k, h) for h, k in HORIZONS.items())} FROM series),
+e AS ({' UNION ALL '.join(f"SELECT '{h}' AS horizon, '{m}' AS model, {h} AS t, {c} AS p FROM wide"
+                          for h in HORIZONS for m, c in (('persistence', 'us_aqi'), ('mean_24h', 'mean_24h')))}),
+m AS (SELECT horizon, model, count(*) AS n, sqrt(avg((t - p) * (t - p))) AS rmse, avg(abs(t - p)) AS mae,
+  1 - avg((t - p) * (t - p)) / var_pop(t) AS r2 FROM e WHERE t IS NOT NULL AND p IS NOT NULL GROUP BY 1, 2)
+SELECT run_at, m.horizon, m.model, c.scaler, c.weighting, 'models/' || m.horizon AS artifact, m.n, m.rmse, m.mae, m.r2,
+  b.rmse AS persistence_rmse, (b.rmse - m.rmse) / nullif(b.rmse, 0) * 100 AS edge_pct
+FROM m JOIN m AS b ON b.horizon = m.horizon AND b.model = 'persistence'
+JOIN (VALUES {', '.join(f"('{h}', {_text(s)}, {_text(w)})" for h, (_, s, w) in _LOGGED.items())}) AS c(horizon, scaler, weighting) ON c.horizon = m.horizon,
+  (VALUES (TIMESTAMP '2024-03-01'), (TIMESTAMP '2024-03-02')) AS r(run_at)
+WHERE m.model = 'mean_24h'""", "run_at horizon model scaler weighting artifact n", "rmse mae r2 persistence_rmse edge_pct"))
 def metrics_log_append(spark, sf_dir):
-    """Two runs appended to one log."""
-    rows = features.targets(tables.series(spark, sf_dir).select("station", "ts", "us_aqi"))
-    found = metrics.persistence(rows, list(HORIZONS))
+    """Two runs appended to one log: a model's errors, how it was made, and its edge over persistence."""
+    wide = features.add(tables.series(spark, sf_dir).select("station", "ts", "us_aqi"), [mean("us_aqi", 24)], HORIZONS)
+    long = session.store(metrics.by_horizon(wide, dict.fromkeys(HORIZONS, "us_aqi_rolling_mean_24h"), list(HORIZONS), ["us_aqi"]), "errors")
+    scores = metrics.regression(long, "truth", "pred", ["horizon"])
+    baseline = metrics.regression(long, "truth", "us_aqi", ["horizon"])
     path = session.scratch(spark, "metrics-log")
-    for run in ("first", "second"):
-        outputs.log_metrics(found.select(F.lit(run).alias("run"), F.lit("persistence").alias("winner"), "*"), path)
+    for run_at in ("2024-03-01", "2024-03-02"):
+        outputs.log_metrics(outputs.log_entries(scores, baseline, _LOGGED, run_at, "models"), path)
     return spark.read.parquet(path)

@@ -1,9 +1,11 @@
 """What the engine publishes: forecasts, pollutant state, the metrics log."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from aerolith.functions.columns import (
-    POLLUTANT_LIMITS, aqi_advice, aqi_band, limit_percent, limit_status,
+    POLLUTANT_LIMITS, aqi_advice, aqi_band, improvement_pct, limit_percent, limit_status,
 )
 from aerolith.operators.series import KEY, TS
 
@@ -61,8 +63,12 @@ def _sorted_list(order, *columns):
     return F.transform(pairs, lambda pair: pair["_v"])
 
 
-def payload(wide, pollutants, analogues, importances=None, key=KEY, ts=TS):
-    """One nested row per station. Every list has a fixed small length."""
+def payload(wide, pollutants, analogues, importances=None, models=None, key=KEY, ts=TS):
+    """One nested row per station. Every list has a fixed small length.
+
+    ``models`` maps a day to the name of the model that gave it. ``status`` says whether every day has a value; a missing
+    one stays missing.
+    """
     names = [name for _, name, *_ in POLLUTANT_LIMITS]
     place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("pollutant"))
     state = pollutants.groupBy(key).agg(
@@ -71,7 +77,10 @@ def payload(wide, pollutants, analogues, importances=None, key=KEY, ts=TS):
         _sorted_list(F.col("place"), "date", "historical_aqi", "similarity", "humidity_high").alias("similar_days"))
     result = (
         wide.select(key, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("last_updated"),
-                    F.struct(*HORIZON_DAYS).alias("predictions"))
+                    F.struct(*HORIZON_DAYS).alias("predictions"),
+                    F.struct(*[F.lit(name).alias(day) for day, name in (models or {}).items()] or [F.lit(None).alias("day1")]).alias("models"),
+                    F.struct(F.when(reduce(lambda a, b: a & b, [F.col(d).isNotNull() for d in HORIZON_DAYS]), "ok").otherwise(
+                        "incomplete").alias("forecast")).alias("status"))
         .join(state, key, "left").join(days, key, "left")
     )
     if importances is not None:
@@ -89,6 +98,21 @@ def payload_json(nested, key=KEY):
         *[F.to_json(c, keep).alias(c) for c in nested.columns if c not in (key, "last_updated")])
 
 
+def log_entries(scores, baseline, configs, run_at, folder=None):
+    """A run's log: per horizon the model, its scaler, weighting and place, its errors, and its edge over the baseline in percent.
+
+    ``configs`` maps a horizon to (model, scaler, weight); ``scores`` and ``baseline`` have one row per horizon.
+    """
+    fields = ("model", "scaler", "weighting")
+    rows = [F.struct(F.lit(h).alias("horizon"), *[F.lit(v).cast("string").alias(f) for f, v in zip(fields, c)]) for h, c in configs.items()]
+    named = scores.drop("model").withColumn("_c", F.filter(F.array(*rows), lambda c: c["horizon"] == F.col("horizon"))[0])
+    base = baseline.select("horizon", F.col("rmse").alias("persistence_rmse"))
+    place = F.concat_ws("/", F.lit(folder), "horizon") if folder else F.lit(None).cast("string")
+    return named.join(base, "horizon").select(
+        F.lit(run_at).cast("timestamp").alias("run_at"), "horizon", *[F.col(f"_c.{f}").alias(f) for f in fields], place.alias("artifact"),
+        "n", "rmse", "mae", "r2", "persistence_rmse", improvement_pct(F.col("persistence_rmse"), F.col("rmse")).alias("edge_pct"))
+
+
 def log_metrics(df, path):
     """Append a run's metrics to the log."""
     df.write.mode("append").parquet(path)
