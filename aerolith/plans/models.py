@@ -17,11 +17,16 @@ from aerolith.sources import outputs, tables
 
 ROUNDS = {"maxIter": 20}
 
-def _training(spark, sf_dir, columns=FEATURE_COLUMNS):
+
+def _built(spark, sf_dir):
+    """The feature table with its targets, written once."""
+    return session.store(features.build(tables.observations(spark, sf_dir), HORIZONS), "features")
+
+
+def _training(spark, sf_dir, columns=FEATURE_COLUMNS, built=None):
     """Complete rows with targets and split labels; both tables are written once, as
     numbering the rows and every fit read them again."""
-    built = session.store(features.build(tables.observations(spark, sf_dir), HORIZONS), "features")
-    rows = features.complete(built).select("station", "ts", *columns, *HORIZONS)
+    rows = features.complete(built or _built(spark, sf_dir)).select("station", "ts", *columns, *HORIZONS)
     return session.store(splits.embargoed(rows, test_ratio=0.2, val_ratio=0.15), "training")
 
 
@@ -79,9 +84,9 @@ def model_roundtrip(spark, sf_dir):
 @query("score_latest")
 def score_latest(spark, sf_dir):
     """The newest row of each station scored for all horizons."""
-    rows = _training(spark, sf_dir)
-    fitted, _ = models.train_all(rows, FEATURE_COLUMNS, {h: Config("ridge", "standard") for h in HORIZONS})
-    scored = outputs.latest_rows(features.build(tables.observations(spark, sf_dir)))
+    built = _built(spark, sf_dir)
+    fitted, _ = models.train_all(_training(spark, sf_dir, built=built), FEATURE_COLUMNS, {h: Config("ridge", "standard") for h in HORIZONS})
+    scored = outputs.latest_rows(built.drop(*HORIZONS))
     for horizon, model in fitted.items():
         scored = models.score(scored, model, FEATURE_COLUMNS, max_missing=3, name=horizon)
     return scored.select("station", "ts", "us_aqi", "n_missing", "status",
@@ -114,8 +119,7 @@ def cv_compare(spark, sf_dir):
 
 
 def _explained(spark, sf_dir):
-    built = session.store(features.build(tables.observations(spark, sf_dir), HORIZONS), "features")
-    return session.store(features.complete(built).select("station", "ts", *FEATURE_COLUMNS, *HORIZONS), "explained")
+    return session.store(features.complete(_built(spark, sf_dir)).select("station", "ts", *FEATURE_COLUMNS, *HORIZONS), "explained")
 
 
 #: Walks of a row in the queries; two to a pair.

@@ -30,9 +30,13 @@ def prepare(spark):
 
 
 def shared_dir(spark):
-    """Folder all executors can reach: the cluster's checkpoint folder, else its warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """Folder all executors can reach: the cluster's checkpoint folder; on one machine, where none is named, the warehouse."""
     context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir")
+        if not context.master.startswith("local") and base.startswith(("file:", "/")):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(base)
     return base
