@@ -81,7 +81,7 @@ def test_slots_sizes_and_digests(spark, parts):
 
 
 def test_one_identifier_with_a_third_of_the_rows(spark):
-    rows = [(7 if i % 3 == 0 else i, "t") for i in range(900)]
+    rows = [(7 if i % 3 == 0 else 1000 + i, "t") for i in range(900)]
     got = sharding.assign(docs(spark, rows, 9), sharding.grid(4)).collect()
     hot = [r for r in got if r["id"] == 7]
     assert len({r["shard"] for r in hot}) == 1 and len({r["slot"] for r in hot}) == 300
