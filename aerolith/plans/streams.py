@@ -123,11 +123,11 @@ def stream_labels(spark, sf_dir):
     return streams.result(streams.labels(rows, truth, features.HORIZONS, keep=["us_aqi"]), "labels")
 
 
-@query("stream_join", shown(
-    f"WITH {sql.OBS} SELECT station, ts, temperature_2m, us_aqi FROM obs", KEYS, "temperature_2m us_aqi"))
+@query("stream_join", shown(f"WITH {sql.OBS} SELECT station, ts, {', '.join(features.MEASURES)} FROM obs", KEYS, " ".join(features.MEASURES)))
 def stream_join(spark, sf_dir):
-    weather = _landed(tables.weather(spark, sf_dir).select("station", "ts", "temperature_2m"), "weather")
-    air = _landed(tables.air_quality(spark, sf_dir).select("station", "ts", "us_aqi"), "air")
+    """Weather and air quality, every column of both, met by station and hour."""
+    weather = _landed(tables.weather(spark, sf_dir).select("station", "ts", *features.WEATHER), "weather")
+    air = _landed(tables.air_quality(spark, sf_dir).select("station", "ts", *features.AIR), "air")
     return streams.result(streams.join(weather, air), "joined")
 
 

@@ -9,7 +9,7 @@ from tests.conftest import SMALL
 
 
 # Too few hours at the smallest scale to train on.
-NEEDS_MORE = {"model_roundtrip": "/root/testdata/sf0.01"}
+NEEDS_MORE = dict.fromkeys(("model_roundtrip", "shapley_identity"), "/root/testdata/sf0.01")
 
 
 def connect(sf_dir):
