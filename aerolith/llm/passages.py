@@ -3,8 +3,10 @@
 A window is WINDOW consecutive words; a word goes if a window that covers it stands anywhere
 else as well. Windows are not compared one by one:
 
+0. All windows of a text that is given more than once are repeated, so it goes whole; it is kept once, with its number,
+   for what it has in common with others.
 1. Every window names one of its PHRASE-word phrases, the one with the least hash, so equal
-   windows name equal phrases (winnowing). Phrases named more than once recur.
+   windows name equal phrases (winnowing). Phrases named by two texts, or twice by one, recur.
 2. Recurring phrases are dealt to shards by their home, the text with the least key that
    names them, so that copies of one text meet in one shard. Each shard compiles its
    phrases into an Aho-Corasick automaton over words (one letter a word) and streams
@@ -34,9 +36,11 @@ from aerolith.session import store
 
 WINDOW, PHRASE = 35, 10
 #: Phrases of an automaton and words streamed through one automaton by one task, about.
-PHRASES, WORDS = 50_000, 4_000_000
+PHRASES, WORDS = 200_000, 4_000_000
 #: Words whose hashes a task remembers.
 REMEMBERED = 1_000_000
+#: End of the span of a text that goes whole, if it has a window.
+WHOLE = -1
 BASE = 0x9E3779B97F4A7C15
 SALTS = {"phrase": 0x5851F42D4C957F2D, "block": 0x2545F4914F6CDD1D, "window": 0xD6E8FEB86659FD93}
 
@@ -116,17 +120,18 @@ def _named_phrases(batches):
                                              names=["phrase", "tid", "times"])
 
 
-PREPARED = ("kind int, shard long, letters string, copy long, tid long, chars long, phrases array<long>, at array<long>, "
+PREPARED = ("kind int, shard long, letters string, copy long, tid long, chars long, copies long, phrases array<long>, at array<long>, "
             "first array<long>, windows array<long>, blocks array<long>")
 _NAMES = [f.split()[0] for f in PREPARED.split(", ")]
 _LONGS = pa.list_(pa.int64())
-_KINDS = [pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), *[_LONGS] * 5]
+_KINDS = [pa.int32(), pa.int64(), pa.string(), *[pa.int64()] * 4, *[_LONGS] * 5]
 
 
 def _prepared(batches):
     """Texts as their shards need them: letters, and those blocks whose phrases lie in the shard. Of a home text, its phrases too."""
     for batch in batches:
-        text, copy, tid, chars, held = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "copy", "tid", "chars", "held"))
+        text, copy, tid, chars, copies, held = (
+            batch.column(batch.schema.get_field_index(n)) for n in ("text", "copy", "tid", "chars", "copies", "held"))
         out = []
         for i in range(batch.num_rows):
             mine = held[i].as_py()
@@ -142,16 +147,16 @@ def _prepared(batches):
             named, at, first, windows, place = named[keep], at[keep], first[keep], windows[keep], place[keep]
             content = text_i.ranges(first, windows + WINDOW - 1, "block").view(np.int64)
             for phrase, p in zip(*(x[own[place]] for x in (place, at))):
-                out.append((0, shards[phrase], letters[p:p + PHRASE], *[None] * 8))
+                out.append((0, shards[phrase], letters[p:p + PHRASE], *[None] * 9))
             for shard in np.unique(shards[place]):
                 here = shards[place] == shard
-                out.append((1, shard, letters, copy[i].as_py(), tid[i].as_py(), chars[i].as_py(),
+                out.append((1, shard, letters, copy[i].as_py(), tid[i].as_py(), chars[i].as_py(), copies[i].as_py(),
                             *(x[here] for x in (named, at, first, windows, content))))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], names=_NAMES)
 
 
-FOUND = "phrase long, block long, tid long, chars long, copy long, first long, windows long"
+FOUND = "phrase long, block long, tid long, chars long, copy long, copies long, first long, windows long"
 
 
 def _locate(batches):
@@ -183,7 +188,7 @@ def _locate(batches):
                 column[n][i].values.to_numpy() for n in ("phrases", "at", "first", "windows", "blocks"))
             here = there[at]
             count = int(here.sum())
-            out.append((phrases[here], blocks[here], *(np.full(count, column[n][i].as_py()) for n in ("tid", "chars", "copy")), first[here], windows[here]))
+            out.append((phrases[here], blocks[here], *(np.full(count, column[n][i].as_py()) for n in ("tid", "chars", "copy", "copies")), first[here], windows[here]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=[f.split()[0] for f in FOUND.split(", ")])
 
@@ -217,12 +222,13 @@ def _keyed(docs, text_col):
 
 
 def repeated(docs, text_col="text"):
-    """Stored rows (tid, chars, spans): first and last word of the stretches to cut, per distinct text that has any."""
+    """Stored rows (tid, chars, spans): first and last word of the stretches to cut, per distinct text that has any; WHOLE for copies."""
     spark = docs.sparkSession
     texts = docs.select(*(c.alias(n) for n, c in _keyed(docs, text_col).items()))
     # 1. Phrases that are named more than once.
     named = store(texts.select("tid", "text").mapInArrow(_named_phrases, "phrase long, tid long, times long"), "named")
-    recurring = store(named.groupBy("phrase").agg(F.sum("times").alias("n"), F.min("tid").alias("home")).where("n > 1").select(
+    recurring = store(named.groupBy("phrase").agg(
+        F.max("times").alias("times"), F.min("tid").alias("home"), F.max("tid").alias("other")).where("times > 1 OR home <> other").select(
         "phrase", "home"), "recurring")
     shards = max(1, -(-recurring.count() // PHRASES))
     dealt = F.pmod(F.xxhash64("home"), F.lit(shards)).cast("long")
@@ -230,8 +236,10 @@ def repeated(docs, text_col="text"):
     tasks = store(held.groupBy("tid").agg(F.collect_set(
         F.struct("phrase", "shard", (F.col("home") == F.col("tid")).alias("own"))).alias("held")), "tasks")
     _release(spark)
-    # 2. Texts that name any, numbered as they are stored; each is hashed once for all of its shards.
-    involved = store(texts.join(tasks, "tid").withColumn("copy", F.monotonically_increasing_id()), "involved")
+    # 2. Texts that name any, each once, numbered as they are stored; each is hashed once for all of its shards.
+    once = texts.join(tasks.select("tid"), "tid", "left_semi").groupBy("tid", "chars").agg(
+        F.first("text").alias("text"), F.count("*").alias("copies"))
+    involved = store(once.join(tasks, "tid").withColumn("copy", F.monotonically_increasing_id()), "involved")
     _release(spark)
     prepared = store(involved.mapInArrow(_prepared, PREPARED), "prepared")
     phrases = prepared.where("kind = 0").select("shard", "letters").distinct()
@@ -246,7 +254,7 @@ def repeated(docs, text_col="text"):
     _release(spark)
     # 3. Blocks by content, then the windows of blocks that are alone, from one text that stands for each content.
     blocks = store(found.groupBy("phrase", "block").agg(
-        F.count("*").alias("n"), F.min(F.struct("copy", "first", "windows")).alias("one")), "contents")
+        F.sum("copies").alias("n"), F.min(F.struct("copy", "first", "windows")).alias("one")), "contents")
     ragged = blocks.groupBy("phrase").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where(
         "kinds > 1 AND least = 1").select("phrase")
     asked = blocks.join(ragged, "phrase", "left_semi").groupBy("one.copy").agg(
@@ -257,13 +265,14 @@ def repeated(docs, text_col="text"):
         F.collect_list(F.col("at").cast("long")).alias("some"))
     whole = blocks.where("n > 1").select("phrase", "block", F.lit(None).cast("array<long>").alias("some"))
     verdict = store(whole.unionByName(some), "verdict")
-    spans = found.select("phrase", "block", "tid", "chars", "first", "windows").join(verdict, ["phrase", "block"])
+    spans = found.where("copies = 1").select("phrase", "block", "tid", "chars", "first", "windows").join(verdict, ["phrase", "block"])
     first, last = F.col("first"), WINDOW - 1
     whole_span = F.array(F.struct(first.alias("a"), (first + F.col("windows") - 1 + last).alias("b")))
     some_spans = F.transform("some", lambda at: F.struct((first + at).alias("a"), (first + at + last).alias("b")))
-    # Copies of a text have the same spans.
-    each = spans.select("tid", "chars", F.inline(F.when(F.col("some").isNull(), whole_span).otherwise(some_spans))).distinct()
-    return store(each.groupBy("tid", "chars").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    each = spans.select("tid", "chars", F.inline(F.when(F.col("some").isNull(), whole_span).otherwise(some_spans)))
+    given = texts.groupBy("tid", "chars").agg(F.count("*").alias("n")).where("n > 1").select(
+        "tid", "chars", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(WHOLE).cast("long").alias("b"))).alias("spans"))
+    return store(each.groupBy("tid", "chars").agg(F.collect_list(F.struct("a", "b")).alias("spans")).unionByName(given), "spans")
 
 
 def _cut(batches):
@@ -274,7 +283,13 @@ def _cut(batches):
             words = texts[i].as_py().split()
             marks = spans[i].as_py()
             words_of.append(len(words))
-            if marks:
+            if marks and marks[0]["b"] == WHOLE:
+                if len(words) >= WINDOW:
+                    gone.append(len(words))
+                    words = []
+                else:
+                    gone.append(0)
+            elif marks:
                 edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, [m["a"] for m in marks], 1)
                 np.add.at(edge, [m["b"] + 1 for m in marks], -1)
