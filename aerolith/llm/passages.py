@@ -9,8 +9,8 @@ else as well. Windows are not compared one by one:
    windows name equal phrases (winnowing). Phrases named by two texts, or twice by one, recur.
 2. Recurring phrases are dealt to shards by their home, the text with the least key that
    names them, so that copies of one text meet in one shard. Each shard compiles its
-   phrases into an Aho-Corasick automaton over words (one letter a word) and streams
-   the texts that were dealt to it; a large shard is streamed by several tasks.
+   phrases into an Aho-Corasick automaton over words (LETTERS letters of few kinds a word, as a node's
+   children are searched one by one) and streams the texts that were dealt to it; a large shard is streamed by several tasks.
 3. A located phrase gives its block: the windows that name it there. Blocks are counted by
    content. Where a block is the only one of its content, its windows are counted against
    those of the other blocks of the phrase.
@@ -36,7 +36,9 @@ from aerolith.session import store
 
 WINDOW, PHRASE = 35, 10
 #: Phrases of an automaton and words streamed through one automaton by one task, about.
-PHRASES, WORDS = 200_000, 4_000_000
+PHRASES, WORDS = 100_000, 4_000_000
+#: Letters of a word in the automata, and kinds of letters.
+LETTERS, KINDS = 3, 64
 #: Words whose hashes a task remembers.
 REMEMBERED = 1_000_000
 #: End of the span of a text that goes whole, if it has a window.
@@ -94,10 +96,9 @@ class Text:
         return hashes[named[first]], named[first], first, np.diff(np.append(first, count))
 
     def letters(self):
-        """One character a word."""
-        codes = self.words % np.uint64(0x10F7FF) + np.uint64(1)
-        codes = np.where(codes >= 0xD800, codes + np.uint64(0x800), codes).astype("<u4")
-        return codes.tobytes().decode("utf-32-le")
+        """LETTERS characters a word."""
+        codes = self.words[:, None] // np.array([KINDS ** k for k in range(LETTERS)], np.uint64) % np.uint64(KINDS)
+        return (codes + np.uint64(48)).astype(np.uint8).tobytes().decode()
 
 
 def _signed(hashes):
@@ -147,7 +148,7 @@ def _prepared(batches):
             named, at, first, windows, place = named[keep], at[keep], first[keep], windows[keep], place[keep]
             content = text_i.ranges(first, windows + WINDOW - 1, "block").view(np.int64)
             for phrase, p in zip(*(x[own[place]] for x in (place, at))):
-                out.append((0, shards[phrase], letters[p:p + PHRASE], *[None] * 9))
+                out.append((0, shards[phrase], letters[LETTERS * p:LETTERS * (p + PHRASE)], *[None] * 9))
             for shard in np.unique(shards[place]):
                 here = shards[place] == shard
                 out.append((1, shard, letters, copy[i].as_py(), tid[i].as_py(), chars[i].as_py(), copies[i].as_py(),
@@ -178,12 +179,13 @@ def _locate(batches):
                 automaton.make_automaton()
                 compiled = True
             letters = column["letters"][i].as_py()
-            ends = [end for end, _ in automaton.iter(letters)]
-            if not ends:
+            ends = np.fromiter((end for end, _ in automaton.iter(letters)), np.int64) + 1
+            ends = ends[ends % LETTERS == 0] // LETTERS
+            if not len(ends):
                 continue
             # Letters of different phrases may be equal: a block counts if it stands where a phrase was located and names one of the shard's.
-            there = np.zeros(len(letters), bool)
-            there[np.array(ends) - PHRASE + 1] = True
+            there = np.zeros(len(letters) // LETTERS, bool)
+            there[ends - PHRASE] = True
             phrases, at, first, windows, blocks = (
                 column[n][i].values.to_numpy() for n in ("phrases", "at", "first", "windows", "blocks"))
             here = there[at]
@@ -244,7 +246,7 @@ def repeated(docs, text_col="text"):
     prepared = store(involved.mapInArrow(_prepared, PREPARED), "prepared")
     phrases = prepared.where("kind = 0").select("shard", "letters").distinct()
     routes = prepared.where("kind = 1")
-    loads = routes.groupBy("shard").agg(F.ceil(F.sum(F.length("letters")) / WORDS).cast("long").alias("parts"))
+    loads = routes.groupBy("shard").agg(F.ceil(F.sum(F.length("letters")) / (LETTERS * WORDS)).cast("long").alias("parts"))
     loads = store(loads.select("shard", F.greatest("parts", F.lit(1)).cast("long").alias("parts")), "loads")
     first = phrases.join(loads, "shard").select(
         F.lit(0).alias("kind"), "shard", "letters", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))

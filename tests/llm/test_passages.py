@@ -104,7 +104,9 @@ def colliding(n=60):
     words = [f"n{i}".encode() for i in range(60_000)]
     letters = passages.Text(b" ".join(words)).letters()
     seen, pairs = {}, []
-    for word, letter in zip(words, letters):
+    n_of = passages.LETTERS
+    for i, word in enumerate(words):
+        letter = letters[n_of * i:n_of * (i + 1)]
         if letter in seen:
             pairs.append((seen[letter].decode(), word.decode()))
         seen[letter] = word
