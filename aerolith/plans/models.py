@@ -216,18 +216,18 @@ def prune_states(spark, sf_dir):
     return explain.prune_states(importances, _LEAST)
 
 
-_ALIKE = 0.85
-_PARTNERS_SQL = f"""{sql.OBS}, {MATRIX_SQL}, pairs AS (SELECT station, column_a AS feature, column_b AS partner, corr FROM matrix WHERE abs(corr) > {_ALIKE}
-  UNION ALL SELECT station, column_b, column_a, corr FROM matrix WHERE abs(corr) > {_ALIKE})"""
+# Partners from the first bound on; from the second on the reference lets one absorb the other's credit.
+_CLOSE, _ALIKE = 0.5, 0.85
+_PARTNERS_SQL = f"""{sql.OBS}, {MATRIX_SQL}, pairs AS (SELECT station, column_a AS feature, column_b AS partner, corr FROM matrix WHERE abs(corr) > {_CLOSE}
+  UNION ALL SELECT station, column_b, column_a, corr FROM matrix WHERE abs(corr) > {_CLOSE})"""
 
 
-@query("corr_partners", shown(f"WITH {_PARTNERS_SQL} SELECT * FROM pairs", "station feature partner", "corr"))
+@query("corr_partners", shown(
+    f"WITH {_PARTNERS_SQL} SELECT *, abs(corr) > {_ALIKE} AS alike FROM pairs", "station feature partner alike", "corr"))
 def corr_partners(spark, sf_dir):
+    """Both directions of every correlated pair, and whether it is close enough for the reference's guard."""
     found = correlation.matrix(tables.observations(spark, sf_dir), MATRIX)
-    return correlation.partners(found, threshold=_ALIKE)
-
-
-_CLOSE = 0.5
+    return correlation.partners(found, threshold=_CLOSE).withColumn("alike", F.abs("corr") > _ALIKE)
 
 
 @query("prune_decision", f"""WITH RECURSIVE {sql.OBS}, {MATRIX_SQL}, near AS (

@@ -6,9 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerolith import session
-from aerolith.operators import explain, features, models, splits, walks
+from aerolith.operators import correlation, explain, features, models, splits, walks
 from aerolith.operators.features import lag, mean
 from aerolith.operators.models import Config
+from aerolith.plans import audits
+from aerolith.plans import models as plans
+from aerolith.sources import tables
+from tests.conftest import SMALL
 
 COLUMNS = ["us_aqi", "us_aqi_lag_12h", "us_aqi_rolling_mean_24h"]
 
@@ -191,6 +195,15 @@ def test_one_of_two_twins_stays(spark):
     assert got == {"a": True, "b": False, "c": True}
 
 
+def test_all_correlated_pairs_are_listed_and_those_of_the_guard_marked(spark):
+    seen = correlation.matrix(tables.observations(spark, SMALL), audits.MATRIX).collect()
+    strong = [r for r in seen if abs(r["corr"] or 0) > 0.5]
+    want = {(r.station, *pair, abs(r["corr"]) > 0.85) for r in strong for pair in ((r.column_a, r.column_b), (r.column_b, r.column_a))}
+    got = plans.corr_partners(spark, SMALL).collect()
+    assert len(got) == len(want) and {(r.station, r.feature, r.partner, r.alike) for r in got} == want
+    assert 0 < sum(r.alike for r in got) < len(got)
+
+
 def test_a_rule_without_variation_stays_open(spark):
     df = spark.createDataFrame([("s", 0.0, float(i), -2.0 * i) for i in range(4)],
                                "station string, rain double, wind double, effect double")
