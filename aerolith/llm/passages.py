@@ -39,38 +39,72 @@ WINDOW, PHRASE = 35, 10
 PHRASES, WORDS = 100_000, 4_000_000
 #: Letters of a word in the automata, and kinds of letters.
 LETTERS, KINDS = 3, 64
-#: Words whose hashes a task remembers.
-REMEMBERED = 1_000_000
+#: Bytes of a word that are hashed by columns, eight at a time; longer words are hashed one by one.
+SHORT = 64
+#: Bytes of texts that are hashed together, about.
+TOGETHER = 1 << 19
 #: End of the span of a text that goes whole, if it has a window.
 WHOLE = -1
 BASE = 0x9E3779B97F4A7C15
 SALTS = {"phrase": 0x5851F42D4C957F2D, "block": 0x2545F4914F6CDD1D, "window": 0xD6E8FEB86659FD93}
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+#: What stays of eight loaded bytes, by the number of them that belong to the word.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word):
-        if len(self) > REMEMBERED:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+def _mixed(h):
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
-_KNOWN = _WordHashes()
+def _word_hashes(data):
+    """64-bit hashes of the words and where they start."""
+    data = b" " + data + b" " * 8
+    gap = _SPACE[np.frombuffer(data, np.uint8)]
+    edges = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    hashes = _mixed(_mixed(eights[starts] & _MASKS[np.minimum(lengths, 8)]) ^ (lengths.astype(np.uint64) * np.uint64(BASE)))
+    more = np.flatnonzero(lengths > 8)
+    for done in range(8, SHORT, 8):
+        if not len(more):
+            break
+        loaded = eights[starts[more] + done] & _MASKS[np.minimum(lengths[more] - done, 8)]
+        hashes[more] = _mixed(_mixed(loaded) ^ (hashes[more] * np.uint64(BASE)))
+        more = more[lengths[more] > done + 8]
+    for i in more.tolist():
+        hashes[i] = xxhash.xxh64_intdigest(data[starts[i]:starts[i] + lengths[i]])
+    return hashes, starts - 1
+
+
+class _Powers:
+    """Powers of BASE and of its inverse, kept for the next text."""
+
+    def __init__(self):
+        self._up = self._down = np.ones(1, np.uint64)
+
+    def __call__(self, n):
+        if n > len(self._up):
+            up, down = (np.full(max(n, 4096), x, np.uint64) for x in (BASE, pow(BASE, -1, 1 << 64)))
+            up[0] = down[0] = 1
+            self._up, self._down = np.cumprod(up), np.cumprod(down)
+        return self._up[:n], self._down[:n]
+
+
+_POWERS = _Powers()
 
 
 class Text:
-    """Hashes of a text's words and of any of its ranges of words."""
-
-    def __init__(self, data):
-        words = data.split()
-        self.n = len(words)
-        self.words = np.fromiter(map(_KNOWN.__getitem__, words), np.uint64, self.n)
-        steps = np.full(self.n, pow(BASE, -1, 1 << 64), np.uint64)
-        rise = np.full(self.n, BASE, np.uint64)
-        if self.n:
-            steps[0] = rise[0] = 1
-        self._down = np.cumprod(steps)
-        self._sums = np.append(np.zeros(1, np.uint64), np.cumsum(self.words * np.cumprod(rise)))
+    """Hashes of the words, and of any range of words, of texts laid end to end; text k has the words from edges[k] on."""
+
+    def __init__(self, *texts):
+        self.words, starts = _word_hashes(b" ".join(texts))
+        self.n = len(self.words)
+        self.edges = np.append(0, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])))
+        rise, self._down = _POWERS(self.n)
+        self._sums = np.zeros(self.n + 1, np.uint64)
+        np.cumsum(self.words * rise, out=self._sums[1:])
 
     def ranges(self, starts, length, kind):
         """64-bit hashes of the words [start, start + length)."""
@@ -80,20 +114,31 @@ class Text:
         return h ^ (h >> np.uint64(32))
 
     def blocks(self):
-        """(phrase hash, position, first window, windows) of each run of windows that name one phrase."""
+        """(phrase hash, position, first window, windows) of each run of windows of a text that name one phrase."""
         count = self.n - WINDOW + 1
         if count <= 0:
             none = np.empty(0, np.int64)
             return none.astype(np.uint64), none, none, none
         hashes = self.ranges(np.arange(self.n - PHRASE + 1), PHRASE, "phrase")
         width = WINDOW - PHRASE + 1
-        named = np.empty(count, np.int64)
-        for a in range(0, count, 1 << 15):
-            b = min(count, a + (1 << 15))
-            view = np.lib.stride_tricks.sliding_window_view(hashes[a:b + width - 1], width)
-            named[a:b] = view.argmin(axis=1) + np.arange(a, b)
-        first = np.flatnonzero(np.append(True, named[1:] != named[:-1]))
-        return hashes[named[first]], named[first], first, np.diff(np.append(first, count))
+        least, seen = hashes, 1
+        while seen < width:
+            step = min(seen, width - seen)
+            least, seen = np.minimum(least[:-step], least[step:]), seen + step
+        # The first place of the least hash is named: a run ends when that place is left behind or a lesser hash comes in.
+        text_of = np.repeat(np.arange(len(self.edges) - 1), np.diff(self.edges))
+        inside = text_of[:count] == text_of[WINDOW - 1:]
+        edge = ~inside
+        edge[0] = True
+        edge[1:] |= ~inside[:-1] | (least[1:] != least[:-1]) | (hashes[:count - 1] == least[:-1])
+        edges = np.flatnonzero(edge)
+        runs = inside[edges]
+        first, windows = edges[runs], np.diff(np.append(edges, count))[runs]
+        near, named = np.lib.stride_tricks.sliding_window_view(hashes, width), first.copy()
+        for a in range(0, len(first), 1 << 15):
+            some = first[a:a + (1 << 15)]
+            named[a:a + (1 << 15)] += (near[some] == least[some][:, None]).argmax(axis=1)
+        return hashes[named], named, first, windows
 
     def letters(self):
         """LETTERS characters a word."""
@@ -101,6 +146,17 @@ class Text:
         return (codes + np.uint64(48)).astype(np.uint8).tobytes().decode()
 
 
+def _laid_out(column):
+    """Stretches [a, b) of a column of texts, each with its texts laid end to end: about TOGETHER bytes, a text at least."""
+    a, taken, size = 0, [], 0
+    for i in range(len(column)):
+        taken.append(column[i].as_py())
+        size += len(taken[-1])
+        if i + 1 == len(column) or size >= TOGETHER:
+            yield a, i + 1, Text(*taken)
+            a, taken, size = i + 1, [], 0
+
+
 def _signed(hashes):
     return pa.array(hashes.view(np.int64))
 
@@ -108,53 +164,68 @@ def _signed(hashes):
 def _named_phrases(batches):
     """Distinct phrases of each text with the number of blocks that name them."""
     for batch in batches:
-        hashes, keys, counts = [], [], []
         texts, tid = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "tid"))
-        for i in range(batch.num_rows):
-            found, times = np.unique(Text(texts[i].as_py()).blocks()[0], return_counts=True)
-            if len(found):
-                hashes.append(found)
-                counts.append(times)
-                keys.append(np.full(len(found), tid[i].as_py()))
-        if hashes:
-            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(hashes)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts))],
-                                             names=["phrase", "tid", "times"])
-
-
-PREPARED = ("kind int, shard long, letters string, copy long, tid long, chars long, copies long, phrases array<long>, at array<long>, "
-            "first array<long>, windows array<long>, blocks array<long>")
+        for a, b, laid in _laid_out(texts):
+            named, _, first, _ = laid.blocks()
+            if not len(named):
+                continue
+            which = np.searchsorted(laid.edges, first, side="right") - 1
+            order = np.lexsort((named, which))
+            named, which = named[order], which[order]
+            new = np.flatnonzero(np.append(True, (named[1:] != named[:-1]) | (which[1:] != which[:-1])))
+            yield pa.RecordBatch.from_arrays(
+                [_signed(named[new]), pa.array(tid.to_numpy()[a:b][which[new]]), pa.array(np.diff(np.append(new, len(named))))],
+                names=["phrase", "tid", "times"])
+
+
+def _lists(column, *fields):
+    """Offsets of the rows' lists of structs, and the fields' values."""
+    structs = column.values
+    return column.offsets.to_numpy(), *(structs.field(f).to_numpy(zero_copy_only=False) for f in fields)
+
+
+PREPARED = ("kind int, shard long, letters string, copy long, tid long, chars long, copies long, phrases binary, at binary, "
+            "first binary, windows binary, blocks binary")
 _NAMES = [f.split()[0] for f in PREPARED.split(", ")]
-_LONGS = pa.list_(pa.int64())
-_KINDS = [pa.int32(), pa.int64(), pa.string(), *[pa.int64()] * 4, *[_LONGS] * 5]
+#: Arrays travel as bytes: as lists they are written value by value, and measured anew for each row.
+_ARRAYS = {"phrases": np.int64, "at": np.int32, "first": np.int32, "windows": np.int32, "blocks": np.int64}
+_KINDS = [pa.int32(), pa.int64(), pa.string(), *[pa.int64()] * 4, *[pa.binary()] * 5]
 
 
 def _prepared(batches):
     """Texts as their shards need them: letters, and those blocks whose phrases lie in the shard. Of a home text, its phrases too."""
     for batch in batches:
-        text, copy, tid, chars, copies, held = (
-            batch.column(batch.schema.get_field_index(n)) for n in ("text", "copy", "tid", "chars", "copies", "held"))
-        out = []
-        for i in range(batch.num_rows):
-            mine = held[i].as_py()
-            wanted = np.array([h["phrase"] for h in mine], np.int64)
-            order = np.argsort(wanted)
-            wanted, shards = wanted[order], np.array([h["shard"] for h in mine], np.int64)[order]
-            own = np.array([h["own"] for h in mine], bool)[order]
-            text_i = Text(text[i].as_py())
-            named, at, first, windows = text_i.blocks()
-            letters, named = text_i.letters(), named.view(np.int64)
-            place = np.minimum(np.searchsorted(wanted, named), len(wanted) - 1)
-            keep = wanted[place] == named
-            named, at, first, windows, place = named[keep], at[keep], first[keep], windows[keep], place[keep]
-            content = text_i.ranges(first, windows + WINDOW - 1, "block").view(np.int64)
-            for phrase, p in zip(*(x[own[place]] for x in (place, at))):
-                out.append((0, shards[phrase], letters[LETTERS * p:LETTERS * (p + PHRASE)], *[None] * 9))
-            for shard in np.unique(shards[place]):
-                here = shards[place] == shard
-                out.append((1, shard, letters, copy[i].as_py(), tid[i].as_py(), chars[i].as_py(), copies[i].as_py(),
-                            *(x[here] for x in (named, at, first, windows, content))))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], names=_NAMES)
+        column = {n: batch.column(batch.schema.get_field_index(n)) for n in ("text", "copy", "tid", "chars", "copies", "held")}
+        known = {n: column[n].to_numpy() for n in ("copy", "tid", "chars", "copies")}
+        ends, all_wanted, all_shards, all_own = _lists(column["held"], "phrase", "shard", "own")
+        for a, b, laid in _laid_out(column["text"]):
+            out = []
+            named, at, first, windows = laid.blocks()
+            content = laid.ranges(first, windows + WINDOW - 1, "block").view(np.int64)
+            named, letters = named.view(np.int64), laid.letters()
+            parts = np.searchsorted(first, laid.edges)
+            for i in range(a, b):
+                start, end = laid.edges[i - a:i - a + 2]
+                mine = slice(*parts[i - a:i - a + 2])
+                wanted = all_wanted[ends[i]:ends[i + 1]]
+                order = np.argsort(wanted)
+                wanted = wanted[order]
+                place = np.minimum(np.searchsorted(wanted, named[mine]), len(wanted) - 1)
+                keep = wanted[place] == named[mine]
+                place = order[place[keep]] + ends[i]
+                arrays = [x[mine][keep] for x in (named, at - start, first - start, windows, content)]
+                shards, own = all_shards[place], all_own[place]
+                text = letters[LETTERS * start:LETTERS * end]
+                # A text's own phrases lie in one shard.
+                if own.any():
+                    phrases = "".join(text[LETTERS * p:LETTERS * (p + PHRASE)] for p in arrays[1][own].tolist())
+                    out.append((0, shards[own][0], phrases, *[None] * 9))
+                for shard in np.unique(shards):
+                    here = shards == shard
+                    out.append((1, shard, text, *(known[n][i] for n in ("copy", "tid", "chars", "copies")),
+                                *(x[here].astype(k).tobytes() for x, k in zip(arrays, _ARRAYS.values()))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), _KINDS)], names=_NAMES)
 
 
 FOUND = "phrase long, block long, tid long, chars long, copy long, copies long, first long, windows long"
@@ -171,7 +242,9 @@ def _locate(batches):
             if (shard, part) != group:
                 automaton, group, compiled = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), (shard, part), False
             if kind == 0:
-                automaton.add_word(column["letters"][i].as_py())
+                letters = column["letters"][i].as_py()
+                for a in range(0, len(letters), LETTERS * PHRASE):
+                    automaton.add_word(letters[a:a + LETTERS * PHRASE])
                 continue
             if not len(automaton):
                 continue
@@ -186,11 +259,11 @@ def _locate(batches):
             # Letters of different phrases may be equal: a block counts if it stands where a phrase was located and names one of the shard's.
             there = np.zeros(len(letters) // LETTERS, bool)
             there[ends - PHRASE] = True
-            phrases, at, first, windows, blocks = (
-                column[n][i].values.to_numpy() for n in ("phrases", "at", "first", "windows", "blocks"))
+            phrases, at, first, windows, blocks = (np.frombuffer(column[n][i].as_buffer(), k) for n, k in _ARRAYS.items())
             here = there[at]
             count = int(here.sum())
-            out.append((phrases[here], blocks[here], *(np.full(count, column[n][i].as_py()) for n in ("tid", "chars", "copy", "copies")), first[here], windows[here]))
+            out.append((phrases[here], blocks[here], *(np.full(count, column[n][i].as_py()) for n in ("tid", "chars", "copy", "copies")),
+                        first[here].astype(np.int64), windows[here].astype(np.int64)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=[f.split()[0] for f in FOUND.split(", ")])
 
@@ -201,15 +274,16 @@ WINDOWS = "phrase long, block long, n long, at long, hash long"
 def _windows(batches):
     """Hashes of the windows of the blocks a text stands for."""
     for batch in batches:
-        out = []
-        for text, asked in zip(batch.column(batch.schema.get_field_index("text")), batch.column(batch.schema.get_field_index("asked")).to_pylist()):
-            text = Text(text.as_py())
-            for block in asked:
-                at = np.arange(block["windows"])
-                hashes = text.ranges(block["first"] + at, WINDOW, "window").view(np.int64)
-                out.append((*(np.full(len(at), block[n]) for n in ("phrase", "block", "n")), at, hashes))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=[f.split()[0] for f in WINDOWS.split(", ")])
+        texts, asked = (batch.column(batch.schema.get_field_index(n)) for n in ("text", "asked"))
+        ends, *fields = _lists(asked, "phrase", "block", "n", "first", "windows")
+        for a, b, laid in _laid_out(texts):
+            phrases, blocks, n, first, windows = (f[ends[a]:ends[b]] for f in fields)
+            first = first + np.repeat(laid.edges[:-1], np.diff(ends[a:b + 1]))
+            block = np.repeat(np.arange(len(windows)), windows)
+            at = np.arange(len(block)) - np.repeat(np.cumsum(windows) - windows, windows)
+            hashes = laid.ranges(first[block] + at, WINDOW, "window").view(np.int64)
+            out = phrases[block], blocks[block], n[block], at, hashes
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=[f.split()[0] for f in WINDOWS.split(", ")])
 
 
 def _release(spark):
@@ -244,7 +318,7 @@ def repeated(docs, text_col="text"):
     involved = store(once.join(tasks, "tid").withColumn("copy", F.monotonically_increasing_id()), "involved")
     _release(spark)
     prepared = store(involved.mapInArrow(_prepared, PREPARED), "prepared")
-    phrases = prepared.where("kind = 0").select("shard", "letters").distinct()
+    phrases = prepared.where("kind = 0").select("shard", "letters")
     routes = prepared.where("kind = 1")
     loads = routes.groupBy("shard").agg(F.ceil(F.sum(F.length("letters")) / (LETTERS * WORDS)).cast("long").alias("parts"))
     loads = store(loads.select("shard", F.greatest("parts", F.lit(1)).cast("long").alias("parts")), "loads")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from aerolith.llm import passages
@@ -99,6 +100,47 @@ def test_equal_windows_name_equal_phrases():
     assert len(set(named)) == 1
 
 
+def test_texts_laid_end_to_end_name_what_each_names_alone():
+    draw = random.Random(5)
+    texts = [b" \t".join(draw.choice([b"a", b"bb", b"%d" % draw.randrange(9), b"%d" % draw.randrange(10**9)])
+                         for _ in range(draw.choice([0, 1, 34, 35, 36, 90, 200]))) for _ in range(60)]
+    texts[7:7] = [b"", b" \n", b"q " * 100]
+    laid = passages.Text(*texts)
+    want = []
+    for start, text in zip(laid.edges.tolist(), texts):
+        alone = passages.Text(text)
+        if alone.n < 35:
+            continue
+        hashes = alone.ranges(np.arange(alone.n - 9), 10, "phrase")
+        named = [i + int(hashes[i:i + 26].argmin()) for i in range(alone.n - 34)]
+        for place in sorted(set(named)):
+            want.append((int(hashes[place]), start + place, start + named.index(place), named.count(place)))
+    assert [tuple(map(int, run)) for run in zip(*laid.blocks())] == want
+
+
+def test_words_are_hashed_by_all_their_bytes():
+    words = [b"x" * n + end for n in range(1, 140) for end in (b"", b"\0", b"y", b"\0\0", "é".encode())]
+    hashes = passages.Text(b"\r".join([*words, *words])).words.tolist()
+    n = len(words)
+    assert hashes[:n] == hashes[n:] and len(set(hashes)) == len(set(words))
+    assert [passages.Text(b"a", b"\x0b" + w, b"b").words.tolist()[1] for w in words] == hashes[:n]
+
+
+def test_what_a_shard_is_sent():
+    """No lists, which cost more than the automata to send, and one row for all phrases a text brings."""
+    words = [b"w%d" % i for i in range(400)]
+    text = b" ".join(words)
+    phrases = np.unique(passages.Text(text).blocks()[0]).view(np.int64).tolist()
+    held = [{"phrase": p, "shard": 3 if i % 2 else 4, "own": bool(i % 2)} for i, p in enumerate(phrases)]
+    batch = pa.RecordBatch.from_pydict({"text": [text], "copy": [5], "tid": [6], "chars": [len(text)], "copies": [1], "held": [held]})
+    rows = [row for sent in passages._prepared(iter([batch])) for row in sent.to_pylist()]
+    assert sorted((row["kind"], row["shard"]) for row in rows) == [(0, 3), (1, 3), (1, 4)]
+    assert not any(isinstance(value, list) for row in rows for value in row.values())
+    own = [row["letters"] for row in rows if row["kind"] == 0][0]
+    assert len(own) == passages.LETTERS * passages.PHRASE * (len(phrases) // 2)
+    assert own[:passages.LETTERS * passages.PHRASE] in passages.Text(text).letters()
+
+
 def colliding(n=60):
     """Pairs of different words with the same letter in the automata."""
     words = [f"n{i}".encode() for i in range(60_000)]
