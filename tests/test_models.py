@@ -152,6 +152,20 @@ def test_search_accepts_only_validated_gains(signal):
     assert got["us_aqi_lag_12h"].accepted and "us_aqi_lag_12h" in kept and len(got) == 2
 
 
+@pytest.mark.parametrize("missing", ["validation", "training", "training and no validation"])
+def test_a_search_without_rows_to_judge_by_lists_all_and_keeps_none(spark, missing):
+    """Of 305 complete rows 45 validate, and the embargo of 72 hours before the test part takes them all."""
+    table = _table(spark, np.random.default_rng(1).normal(100, 10, 1500 if missing == "training" else 400), "short")
+    if missing != "validation":
+        table = table.where("split <> 'train'")
+    parts = {r.split for r in table.select("split").distinct().collect()}
+    assert ("train" in parts, "validation" in parts) == ("training" not in missing, "validation" not in missing)
+    with pytest.warns(UserWarning, match=f"no {missing} row"):
+        kept, trials = models.feature_search(table, ["us_aqi"], ["us_aqi_lag_12h", "us_aqi_rolling_mean_24h"], "aqi_day1")
+    assert kept == ["us_aqi"]
+    assert [tuple(r) for r in trials.collect()] == [(c, None, None, None, None, False) for c in COLUMNS[1:]]
+
+
 @pytest.mark.parametrize("scaler", ["standard", "none"])
 def test_solved_trials_equal_separate_fits(signal, scaler):
     """Every trial of a search against a fitted pipeline; a constant column explains nothing in both."""
